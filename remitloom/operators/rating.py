@@ -172,8 +172,8 @@ def rate_waterfall(lines: DataFrame, spcl_inhouse: DataFrame, rate_comb: DataFra
                    scale: int = 0) -> DataFrame:
     """Add ``rate``, ``amt`` and ``comtype`` from the first tier that yields something.
 
-    Every tier is one column set, so the cascade is an expression: a tier
-    applies while rate and amount are both still 0 or NULL.
+    The cascade is one CASE: the first tier that applies and pays, else the
+    last one that applies (a tier that pays nothing still leaves its name).
     """
     if "ih_rate" not in lines.columns:
         lines = lines.join(inhouse_rates(spcl_inhouse), ["itemcode", "whscode"], "left")
@@ -185,26 +185,38 @@ def rate_waterfall(lines: DataFrame, spcl_inhouse: DataFrame, rate_comb: DataFra
         F.col("pick.amount").alias("b_amt"))
     rows = lines.join(book, (F.col("b_type") == F.col("groupcode")) & (F.col("b_desc") == F.col("ratecomb")), "left")
 
-    group = F.col("groupcode")
-    nothing = F.lit(None).cast(f"decimal(18,{scale})")
-    rate, amt, kind = nothing, nothing, F.lit("")
+    clinician, account = F.col("groupcode") == CLINICIAN, F.col("groupcode") == ACCOUNT
+    house = F.coalesce(F.col("in_house"), F.lit(False))
+    book_hit = F.coalesce(F.col("in_book"), F.lit(False))
+    tagged = F.coalesce(F.col("rbprclvl"), F.lit(0)) != 0
+    ih_rate, ih_amt = at_scale(F.col("ih_rate"), scale), at_scale(F.col("ih_amt"), scale)
+    b_rate, b_amt = at_scale(F.col("b_rate"), scale), at_scale(F.col("b_amt"), scale)
+    # the account's own rate leaves the amount as the in-house tier stored it
+    left_over = F.when(house, ih_amt)
     tiers = [
-        ("CLI10001", (group == CLINICIAN) & F.col("in_house"), F.col("ih_rate"), F.col("ih_amt")),
-        ("CLI10002", (group == CLINICIAN) & F.col("in_book"), F.col("b_rate"), F.col("b_amt")),
-        ("ACC10001", (group == ACCOUNT) & F.col("in_house"), F.col("ih_rate"), F.col("ih_amt")),
-        ("ACC10002", (group == ACCOUNT) & (F.coalesce(F.col("rbprclvl"), F.lit(0)) != 0), F.col("rebrates"), None),
-        ("ACC10003", (group == ACCOUNT) & F.col("in_book"), F.col("b_rate"), F.col("b_amt")),
+        ("CLI10001", clinician & house, ih_rate, ih_amt),
+        ("CLI10002", clinician & book_hit, b_rate, b_amt),
+        ("ACC10001", account & house, ih_rate, ih_amt),
+        ("ACC10002", account & tagged, at_scale(F.col("rebrates"), scale), left_over),
+        ("ACC10003", account & book_hit, b_rate, b_amt),
     ]
-    for name, applies, new_rate, new_amt in tiers:
-        rows = rows.withColumns({"_rate": rate, "_amt": amt, "_kind": kind})
-        open_ = (F.coalesce(F.col("_rate"), F.lit(0)) == 0) & (F.coalesce(F.col("_amt"), F.lit(0)) == 0)
-        take = F.coalesce(applies, F.lit(False)) & open_
-        rate = F.when(take, at_scale(new_rate, scale)).otherwise(F.col("_rate"))
-        amt = F.col("_amt") if new_amt is None else F.when(take, at_scale(new_amt, scale)).otherwise(F.col("_amt"))
-        kind = F.when(take, name).otherwise(F.col("_kind"))
-    return rows.withColumns({"rate": rate, "amt": amt, "comtype": kind}).drop(
-        "_rate", "_amt", "_kind", "b_type", "b_desc", "in_book", "b_rate", "b_amt", "in_house", "ih_rate", "ih_amt",
-        "rebrates")
+    zero = F.lit(0)
+    pays = [(name, applies & ((F.coalesce(rate, zero) != 0) | (F.coalesce(amt, zero) != 0)))
+            for name, applies, rate, amt in tiers]
+    fallback = [(name, applies) for name, applies, _, _ in reversed(tiers)]
+    chosen = rows.withColumn("comtype", _first_match(pays + fallback, F.lit("")))
+    values = {column: _first_match([(tier[i], F.col("comtype") == tier[0]) for tier in tiers], F.lit(None))
+              for column, i in (("rate", 2), ("amt", 3))}
+    return chosen.withColumns(values).drop(
+        "b_type", "b_desc", "in_book", "b_rate", "b_amt", "in_house", "ih_rate", "ih_amt", "rebrates")
+
+
+def _first_match(cases: list, default: Column) -> Column:
+    """CASE over (value, condition) pairs."""
+    chain = F
+    for value, condition in cases:
+        chain = chain.when(condition, value)
+    return chain.otherwise(default)
 
 
 def payee_sharing_split(lines: DataFrame, payees: DataFrame, sharing: DataFrame, ocrd: DataFrame,

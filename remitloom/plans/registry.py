@@ -43,4 +43,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that fill the catalogue."""
-    from . import commission, rating  # noqa: F401
+    from . import aging, budget, commission, rating, review  # noqa: F401

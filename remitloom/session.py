@@ -38,6 +38,7 @@ def local_session(app: str = "remitloom", cores: str | int = "*", partitions: in
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     return tune(builder.getOrCreate())

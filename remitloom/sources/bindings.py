@@ -3,8 +3,9 @@
 The operators expect invoices, masters, rates and cheques; the provided data
 are orders, line items, customers, suppliers, parts, nations and events.  Each
 function below derives one input table with Spark, so every registered query
-grows with the given data.  Three results that the business would have stored
-(rated details, commission details, runs) are staged as written tables.
+grows with the given data.  What the business would find stored (invoices and
+their lines, runs, rated details, commission details) is staged as written
+tables, so each query reads it the way it would read its warehouse.
 
 ``nn`` is a nation key padded to three digits (the branch code); ``genid`` of a
 month is ``(year - 1995) * 12 + month``.
@@ -54,23 +55,27 @@ def _nn(key: str) -> str:
 
 @recipe
 def oinv(t, raw) -> DataFrame:
-    return raw.orders.join(raw.customer, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
-        "o_orderkey as docentry", "concat('L', o_orderkey) as labno",
-        "concat('C', c_custkey) as cardcode", "c_name as cardname",
-        "to_date(o_orderdate) as docdate", "to_date(o_orderdate) as recondate",
-        f"{_nn('c_nationkey')} as whscode", "left(o_orderpriority, 1) as pmode")
+    def build():
+        return raw.orders.join(raw.customer, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
+            "o_orderkey as docentry", "concat('L', o_orderkey) as labno",
+            "concat('C', c_custkey) as cardcode", "c_name as cardname",
+            "to_date(o_orderdate) as docdate", "to_date(o_orderdate) as recondate",
+            f"{_nn('c_nationkey')} as whscode", "left(o_orderpriority, 1) as pmode")
+    return staged(t._spark, t._scope, "invoices", build)
 
 
 @recipe
 def line_base(t, raw) -> DataFrame:
     """Line items brought to one row per (order, line number), with their branch."""
-    lines = raw.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_partkey").alias("partkey"), F.min("l_suppkey").alias("suppkey"),
-        F.sum(F.col("l_extendedprice").cast(AMOUNT)).cast(AMOUNT).alias("linetotal"),
-        F.min("l_returnflag").alias("rf"), F.min("l_linestatus").alias("ls"))
-    head = t.oinv.selectExpr("docentry", "labno", "whscode", "docdate")
-    return lines.join(head, F.col("l_orderkey") == F.col("docentry")).withColumnRenamed(
-        "l_linenumber", "linenum")
+    def build():
+        lines = raw.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+            F.min("l_partkey").alias("partkey"), F.min("l_suppkey").alias("suppkey"),
+            F.sum(F.col("l_extendedprice").cast(AMOUNT)).cast(AMOUNT).alias("linetotal"),
+            F.min("l_returnflag").alias("rf"), F.min("l_linestatus").alias("ls"))
+        head = t.oinv.selectExpr("docentry", "labno", "whscode", "docdate")
+        return lines.join(head, F.col("l_orderkey") == F.col("docentry")).drop("l_orderkey").withColumnRenamed(
+            "l_linenumber", "linenum")
+    return staged(t._spark, t._scope, "invoice_lines", build)
 
 
 @recipe
