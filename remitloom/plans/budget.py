@@ -69,21 +69,25 @@ register("payment_lines", lambda t: b.payment_lines(*core(t), AS_OF),
          f"select u_paycode, whscode, {sum2('rebate')} rebate from {_PAYABLE} group by 1, 2")
 
 
-def created(t, gen_id=LAST):
-    return b.branch_budget_create(t.jdt1, t.ojdt, t.oact, *core(t), t.soadate, gen_id, FIRST)
+LAST_FULL = 79
+
+
+def created(t):
+    """The budget of the last full month, against everything rated up to it."""
+    return b.branch_budget_create(t.jdt1, t.ojdt, t.oact, *core(t), t.soadate, LAST_FULL, FIRST)
 
 
 _SOLD = f"""(select a.segment_1, cast(cast(sum(j.credit) as {D2}) - cast(sum(j.debit) as {D2}) as decimal(11,2)) sales from fx_jdt1 j
-    join fx_oact a on a.acctcode = j.account join fx_ojdt t on t.transid = j.transid join fx_soadate r on r.genid = {LAST}
+    join fx_oact a on a.acctcode = j.account join fx_ojdt t on t.transid = j.transid join fx_soadate r on r.genid = {LAST_FULL}
     where a.segment_0 = '40100' and t.refdate between r.fdate and r.tdate group by 1)"""
-_GATED = _gate(_rows(_OPEN), _BY_BRANCH)
+_GATED = _gate(_rows(_OPEN + f' and d.genid between {FIRST} and {LAST_FULL}'), _BY_BRANCH)
 register("branch_budget_create", lambda t: created(t).lines,
-         f"""select {LAST} genid, s.segment_1 whscode, s.sales, cast(2 as {D2}) percnt, cast({pct('s.sales', '2')} as decimal(11,2)) budgetamt,
+         f"""select {LAST_FULL} genid, s.segment_1 whscode, s.sales, cast(2 as {D2}) percnt, cast({pct('s.sales', '2')} as decimal(11,2)) budgetamt,
          {zero('g.v')} rebates from {_SOLD} s left join (select whscode, {sum2('rebate')} v from {_GATED} where budgetstat = 1 group by 1) g
          on g.whscode = s.segment_1""")
 register("branch_budget_create_header", lambda t: created(t).header,
-         f"""select {LAST} genid, r.fdate startdate, r.tdate enddate, (select cast(sum(sales) as decimal(11,2)) from {_SOLD}) totalsales,
-         {zero('(select ' + sum2('rebate') + ' from ' + _GATED + ')')} totalrebate from fx_soadate r where r.genid = {LAST}""")
+         f"""select {LAST_FULL} genid, r.fdate startdate, r.tdate enddate, (select cast(sum(sales) as decimal(11,2)) from {_SOLD}) totalsales,
+         {zero('(select ' + sum2('rebate') + ' from ' + _GATED + ')')} totalrebate from fx_soadate r where r.genid = {LAST_FULL}""")
 register("budget_summary", lambda t: b.budget_summary(t.rac_rebbudgethdr, t.rac_rebbudgetdtl),
          f"""select genid, startdate, enddate, cast(s as decimal(11,2)) totalsales, cast(b as decimal(11,2)) totalbudget, cast(r as decimal(11,2)) totalrebate,
          cast(b - r as decimal(11,2)) totalexcess, {ratio('r', 's')} totalprcnttosales from (select h.genid, h.startdate, h.enddate,
