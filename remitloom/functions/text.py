@@ -26,7 +26,7 @@ def is_blank(col: Column | str) -> Column:
 
 def clean_code(col: Column | str) -> Column:
     """Trim blanks and drop line breaks."""
-    return F.regexp_replace(F.trim(F.col(col) if isinstance(col, str) else col), "[\r\n]", "")
+    return F.translate(F.trim(F.col(col) if isinstance(col, str) else col), "\r\n", "")
 
 
 def labelled(code: Column | str, text: Column | str) -> Column:

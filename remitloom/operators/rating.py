@@ -80,12 +80,28 @@ def special_test_set(item_h: DataFrame, spcl_inhouse: DataFrame) -> DataFrame:
     return sp.unionByName(other).distinct()
 
 
-def inhouse_rates(spcl_inhouse: DataFrame) -> DataFrame:
+def inhouse_rates(spcl_inhouse: DataFrame, scale: int = 0) -> DataFrame:
     """One in-house rate per (item, branch): the lowest by account, type, rate, amount."""
     pick = F.min(F.struct("cardcode", "itemtype", "rate", "amt")).alias("pick")
-    return spcl_inhouse.groupBy("itemcode", "whscode").agg(pick).select(
-        "itemcode", "whscode", F.lit(True).alias("in_house"), F.col("pick.rate").alias("ih_rate"),
-        F.col("pick.amt").alias("ih_amt"))
+    one = spcl_inhouse.groupBy("itemcode", "whscode").agg(pick)
+    return one.select("itemcode", "whscode", *_priced("ih", F.col("pick.rate"), F.col("pick.amt"), scale))
+
+
+def rate_book(rate_comb: DataFrame, scale: int = 0) -> DataFrame:
+    """One dictionary rate per (type, key), the lowest code first."""
+    pick = F.min(F.struct("ratecode", "rate", "amount")).alias("pick")
+    one = rate_comb.groupBy(F.col("type").alias("b_type"), F.col("ratedesc").alias("b_desc")).agg(pick)
+    return one.select("b_type", "b_desc", *_priced("b", F.col("pick.rate"), F.col("pick.amount"), scale))
+
+
+def _priced(tag: str, rate: Column, amt: Column, scale: int) -> list[Column]:
+    """Rate and amount as stored, whether they pay anything, and a mark that the row exists.
+
+    Worked out on the rate tables, so that per line only flags are left to test.
+    """
+    rate, amt, zero = at_scale(rate, scale), at_scale(amt, scale), F.lit(0)
+    pays = (F.coalesce(rate, zero) != 0) | (F.coalesce(amt, zero) != 0)
+    return [rate.alias(f"{tag}_rate"), amt.alias(f"{tag}_amt"), pays.alias(f"{tag}_pays"), F.lit(True).alias(f"{tag}_hit")]
 
 
 def rate_combination_key(lines: DataFrame, special: DataFrame, item_h: DataFrame,
@@ -127,18 +143,26 @@ def _stored(value: Column, scale: int) -> Column:
     return cut.cast(f"decimal(18,{scale})")
 
 
-def credit_memo_net(lines: DataFrame, rin1: DataFrame, scale: int = 0) -> DataFrame:
-    """Add ``cm``: credits linked to the line, plus credits of the same branch, item and case."""
+def linked_credits(lines: DataFrame, rin1: DataFrame, scale: int = 0) -> DataFrame:
+    """Add ``cm_l``: credits that name the invoice line."""
     linked = rin1.where("baseline is not null").groupBy(
-        F.col("baseref").alias("docentry"), F.col("baseline").alias("linenum")).agg(F.sum("linetotal").alias("cm_l"))
+        F.col("baseref").alias("docentry"), F.col("baseline").alias("linenum")).agg(
+        _stored(F.sum("linetotal"), scale).alias("cm_l"))
+    return lines.join(linked, ["docentry", "linenum"], "left")
+
+
+def loose_credits(lines: DataFrame, rin1: DataFrame, scale: int = 0) -> DataFrame:
+    """Add ``cm``: the linked credits plus those of the same branch, item and case."""
     loose = rin1.where("baseline is null").groupBy("whscode", "itemcode", "u_labno").agg(
-        F.sum("linetotal").alias("cm_u"))
-    zero = F.lit(0).cast(f"decimal(18,{scale})")
-    first = F.coalesce(_stored(F.col("cm_l"), scale), zero)
+        F.sum("linetotal").cast("decimal(18,2)").alias("cm_u"))
+    first = F.coalesce(F.col("cm_l"), F.lit(0).cast(f"decimal(18,{scale})"))
     both = F.when(F.col("cm_u").isNull(), first).otherwise(_stored(first + F.col("cm_u"), scale))
-    return (lines.join(linked, ["docentry", "linenum"], "left")
-            .join(loose, ["whscode", "itemcode", "u_labno"], "left")
-            .withColumn("cm", both).drop("cm_l", "cm_u"))
+    return lines.join(loose, ["whscode", "itemcode", "u_labno"], "left").withColumn("cm", both).drop("cm_l", "cm_u")
+
+
+def credit_memo_net(lines: DataFrame, rin1: DataFrame, scale: int = 0) -> DataFrame:
+    """Add ``cm``, the credits of each line; with ``scale`` 0 fractions are cut after each step."""
+    return loose_credits(linked_credits(lines, rin1, scale), rin1, scale)
 
 
 def installment_paid(lines: DataFrame, aopdet2: DataFrame, jdt1: DataFrame, oact: DataFrame, rct2: DataFrame,
@@ -156,10 +180,9 @@ def installment_paid(lines: DataFrame, aopdet2: DataFrame, jdt1: DataFrame, oact
     receipts = (rct2.select("docnum", "docentry").join(booked, "docnum", "left_semi")
                 .join(valid, "docnum", "left_semi"))
     paid = aopdet2.join(receipts, ["docentry", "docnum"], "left_semi").groupBy("docentry", "linenum").agg(
-        F.sum("linetotal").alias("ip_sum"))
-    zero = F.lit(0).cast(f"decimal(18,{scale})")
+        _stored(F.sum("linetotal"), scale).alias("ip_sum"))
     return lines.join(paid, ["docentry", "linenum"], "left").withColumn(
-        "ip", F.coalesce(_stored(F.col("ip_sum"), scale), zero)).drop("ip_sum")
+        "ip", F.coalesce(F.col("ip_sum"), F.lit(0).cast(f"decimal(18,{scale})"))).drop("ip_sum")
 
 
 def net_positive_filter(lines: DataFrame, scale: int = 0) -> DataFrame:
@@ -170,53 +193,39 @@ def net_positive_filter(lines: DataFrame, scale: int = 0) -> DataFrame:
 
 def rate_waterfall(lines: DataFrame, spcl_inhouse: DataFrame, rate_comb: DataFrame, ocrd: DataFrame,
                    scale: int = 0) -> DataFrame:
-    """Add ``rate``, ``amt`` and ``comtype`` from the first tier that yields something.
+    """Add ``rate``, ``amt``, ``comtype`` and ``pays`` from the first tier that pays something.
+
+    Clinicians: in-house rate (CLI10001), then dictionary (CLI10002).  Accounts:
+    in-house (ACC10001), the account's own rate if tagged (ACC10002), then
+    dictionary (ACC10003).  If no tier pays, the last one that applies leaves
+    its name.  The account's own rate keeps the amount of the in-house tier.
 
-    The cascade is one CASE: the first tier that applies and pays, else the
-    last one that applies (a tier that pays nothing still leaves its name).
+    Each result is one short CASE over flags that came with the rate tables;
+    nested conditions would outgrow what the JVM compiles for a whole stage.
     """
-    if "ih_rate" not in lines.columns:
-        lines = lines.join(inhouse_rates(spcl_inhouse), ["itemcode", "whscode"], "left")
+    if "ih_hit" not in lines.columns:
+        lines = lines.join(inhouse_rates(spcl_inhouse, scale), ["itemcode", "whscode"], "left")
     if "rebrates" not in lines.columns:
         lines = lines.join(ocrd.select("cardcode", "rebrates"), "cardcode", "left")
-    first = F.min(F.struct("ratecode", "rate", "amount")).alias("pick")
-    book = rate_comb.groupBy(F.col("type").alias("b_type"), F.col("ratedesc").alias("b_desc")).agg(first).select(
-        "b_type", "b_desc", F.lit(True).alias("in_book"), F.col("pick.rate").alias("b_rate"),
-        F.col("pick.amount").alias("b_amt"))
-    rows = lines.join(book, (F.col("b_type") == F.col("groupcode")) & (F.col("b_desc") == F.col("ratecomb")), "left")
+    rows = lines.join(rate_book(rate_comb, scale),
+                      (F.col("b_type") == F.col("groupcode")) & (F.col("b_desc") == F.col("ratecomb")), "left")
 
     clinician, account = F.col("groupcode") == CLINICIAN, F.col("groupcode") == ACCOUNT
-    house = F.coalesce(F.col("in_house"), F.lit(False))
-    book_hit = F.coalesce(F.col("in_book"), F.lit(False))
-    tagged = F.coalesce(F.col("rbprclvl"), F.lit(0)) != 0
-    ih_rate, ih_amt = at_scale(F.col("ih_rate"), scale), at_scale(F.col("ih_amt"), scale)
-    b_rate, b_amt = at_scale(F.col("b_rate"), scale), at_scale(F.col("b_amt"), scale)
-    # the account's own rate leaves the amount as the in-house tier stored it
-    left_over = F.when(house, ih_amt)
-    tiers = [
-        ("CLI10001", clinician & house, ih_rate, ih_amt),
-        ("CLI10002", clinician & book_hit, b_rate, b_amt),
-        ("ACC10001", account & house, ih_rate, ih_amt),
-        ("ACC10002", account & tagged, at_scale(F.col("rebrates"), scale), left_over),
-        ("ACC10003", account & book_hit, b_rate, b_amt),
-    ]
-    zero = F.lit(0)
-    pays = [(name, applies & ((F.coalesce(rate, zero) != 0) | (F.coalesce(amt, zero) != 0)))
-            for name, applies, rate, amt in tiers]
-    fallback = [(name, applies) for name, applies, _, _ in reversed(tiers)]
-    chosen = rows.withColumn("comtype", _first_match(pays + fallback, F.lit("")))
-    values = {column: _first_match([(tier[i], F.col("comtype") == tier[0]) for tier in tiers], F.lit(None))
-              for column, i in (("rate", 2), ("amt", 3))}
-    return chosen.withColumns(values).drop(
-        "b_type", "b_desc", "in_book", "b_rate", "b_amt", "in_house", "ih_rate", "ih_amt", "rebrates")
-
-
-def _first_match(cases: list, default: Column) -> Column:
-    """CASE over (value, condition) pairs."""
-    chain = F
-    for value, condition in cases:
-        chain = chain.when(condition, value)
-    return chain.otherwise(default)
+    own = at_scale(F.col("rebrates"), scale)
+    tagged = account & (F.coalesce(F.col("rbprclvl"), F.lit(0)) != 0)
+    own_pays = tagged & (own != 0)
+    neither = ~(clinician | account)
+    in_house = F.when(clinician, "CLI10001").otherwise("ACC10001")
+    rate = (F.when(neither, None).when(F.col("ih_pays"), F.col("ih_rate")).when(own_pays, own)
+            .when(F.col("b_hit"), F.col("b_rate")).when(tagged, own).otherwise(F.col("ih_rate")))
+    amt = (F.when(neither, None).when(F.col("ih_pays") | own_pays, F.col("ih_amt"))
+           .when(F.col("b_hit"), F.col("b_amt")).otherwise(F.col("ih_amt")))
+    kind = (F.when(neither, "").when(F.col("ih_pays"), in_house).when(own_pays, "ACC10002")
+            .when(F.col("b_hit"), F.when(clinician, "CLI10002").otherwise("ACC10003"))
+            .when(tagged, "ACC10002").when(F.col("ih_hit"), in_house).otherwise(""))
+    pays = F.coalesce(~neither & (F.col("ih_pays") | own_pays | F.col("b_pays")), F.lit(False))
+    return rows.withColumns({"rate": rate, "amt": amt, "comtype": kind, "pays": pays}).drop(
+        "b_type", "b_desc", "b_rate", "b_amt", "b_pays", "b_hit", "ih_rate", "ih_amt", "ih_pays", "ih_hit", "rebrates")
 
 
 def payee_sharing_split(lines: DataFrame, payees: DataFrame, sharing: DataFrame, ocrd: DataFrame,
@@ -228,7 +237,8 @@ def payee_sharing_split(lines: DataFrame, payees: DataFrame, sharing: DataFrame,
         odrs.select(F.lit(CLINICIAN).alias("s_group"), F.col("dcode").alias("code")))
     per_holder = holders.join(shares, "code").select(
         "s_group", "code", F.col("pid").alias("u_paycode"), F.col("pname").alias("u_payname"), "u_share", "u_fund")
-    rated = lines.where((F.coalesce("rate", F.lit(0)) != 0) | (F.coalesce("amt", F.lit(0)) != 0))
+    rated = lines.where("pays").drop("pays") if "pays" in lines.columns else lines.where(
+        (F.coalesce("rate", F.lit(0)) != 0) | (F.coalesce("amt", F.lit(0)) != 0))
     holder = F.when(F.col("groupcode") == ACCOUNT, F.col("cardcode")).otherwise(F.col("u_doctorcode"))
     return rated.join(per_holder, (F.col("s_group") == F.col("groupcode")) & (F.col("code") == holder)).drop(
         "s_group", "code")
@@ -248,15 +258,18 @@ def rebate_amounts(split: DataFrame, scale: int = 0) -> DataFrame:
 
 
 def rated_lines(t, frm=None, to=None, gen_id=None, runs=None, ledger=None, scale: int = 0) -> DataFrame:
-    """Eligible lines with net amounts and rates: everything before the payee split."""
+    """Eligible lines with net amounts and rates: everything before the payee split.
+
+    Steps that join by document come first, then those by item and branch, so
+    the line table moves once for each of the two groups.
+    """
     lines = rebate_eligible_lines(t.oinv, t.inv1, t.ocrd_ext, t.ocrd, t.rac_rebprclvlmntnce, frm, to, ledger, runs,
                                   gen_id)
-    lines = rebate_exclusions(lines, t.rb_norebate)
-    lines = rate_combination_key(lines, special_test_set(t.item_masterh, t.spclinhouse), t.item_masterh,
-                                 inhouse_rates(t.spclinhouse))
-    lines = credit_memo_net(lines, t.rin1, scale)
     lines = installment_paid(lines, t.aopdet2, t.jdt1, t.oact, t.rct2, t.orct, scale)
-    lines = net_positive_filter(lines, scale)
+    lines = rebate_exclusions(linked_credits(lines, t.rin1, scale), t.rb_norebate)
+    lines = rate_combination_key(lines, special_test_set(t.item_masterh, t.spclinhouse), t.item_masterh,
+                                 inhouse_rates(t.spclinhouse, scale))
+    lines = net_positive_filter(loose_credits(lines, t.rin1, scale), scale)
     return rate_waterfall(lines, t.spclinhouse, t.rac_rebratecombination, t.ocrd, scale)
 
 

@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a hot account or payee is split although an aggregate follows the join
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # a join by (document, line) may use a table that already lies by document
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # business dates come from timestamps; pin the zone so they never shift
     "spark.sql.session.timeZone": "UTC",
 }
@@ -40,5 +42,7 @@ def local_session(app: str = "remitloom", cores: str | int = "*", partitions: in
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # small test data would otherwise end up in a single task per stage
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     return tune(builder.getOrCreate())

@@ -297,7 +297,14 @@ def test_group(t, raw) -> DataFrame:
 
 @recipe
 def rac_rebratecombination(t, raw) -> DataFrame:
-    """The rate dictionary: clinician rows by branch and level, account rows without."""
+    """The rate dictionary: clinician rows by branch and level, account rows without.
+
+    Stored, so that its true size is known when a join is planned.
+    """
+    return staged(t._spark, t._scope, "rates", lambda: _rate_dictionary(t))
+
+
+def _rate_dictionary(t) -> DataFrame:
     base = t.test_group.selectExpr(
         "tg_code as testgrp", "(ascii(tg_code) * 100 + ascii(substr(tg_code, 2, 1))) as gi",
         "explode(array(1, 2, 3, 4, 7)) as pay"
