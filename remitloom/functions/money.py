@@ -50,13 +50,10 @@ def at_scale(col: Column, scale: int) -> Column:
 def shared_amount(line: Column, rate: Column, fixed: Column, share: Column) -> Column:
     """``(line * rate/100 + fixed) * share/100`` rounded once, to two decimals.
 
-    Both divisions are postponed: the exact product is rounded to hundreds and
-    scaled by 1/10,000, so no intermediate rounding can creep in.
+    Both divisions are postponed: the product has at most six decimals and is
+    exact, is then rounded to hundreds and scaled by 1/10,000, so no
+    intermediate rounding can creep in.  The arguments have at most 18 digits.
     """
-    zero = F.lit(ZERO)
-    gross = (
-        F.coalesce(line.cast(AMOUNT), zero) * F.coalesce(rate.cast("decimal(7,2)"), zero)
-        + F.coalesce(fixed.cast("decimal(11,2)"), zero) * F.lit(Decimal("100"))
-    ).cast("decimal(28,4)")
-    product = gross * F.coalesce(share.cast("decimal(7,2)"), zero)
-    return (F.round(product, -2).cast("decimal(33,0)") * F.lit(Decimal("0.0001"))).cast(AMOUNT)
+    line, rate, fixed, share = (F.coalesce(c, F.lit(0).cast("decimal(1,0)")) for c in (line, rate, fixed, share))
+    product = (line * rate + fixed * F.lit(Decimal("100"))) * share
+    return (F.round(product, -2) * F.lit(Decimal("0.0001"))).cast(AMOUNT)

@@ -42,9 +42,8 @@ def rows_of(columns, rows):
     return sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, build, sql, sf_dir):
+def compare(df, con, sql):
     """(matches, message)"""
-    df = build(spark, sf_dir)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     rel = con.execute(sql)
     names = [d[0] for d in rel.description]
@@ -73,7 +72,7 @@ def main(argv):
     for name in names or queries:
         began = time.time()
         try:
-            ok, text = compare(spark, con, queries[name], twins[name], sf_dir) if name in twins else (
+            ok, text = compare(queries[name](spark, sf_dir), con, twins[name]) if name in twins else (
                 True, f"{queries[name](spark, sf_dir).count()} rows, no twin")
         except Exception as error:  # report and go on with the next query
             ok, text = False, f"{type(error).__name__}: {str(error)[:600]}"
