@@ -78,6 +78,7 @@ def test_rating_methods_stay_compilable(spark, large_tables):
 def test_line_table_moves_once_per_key_group(spark, large_tables):
     """Once they carry their account, lines move by item and branch and by rate key, never per join."""
     t = bind(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "3k")
     execution = rating.rated_lines(t, runs=t.soadate)._jdf.queryExecution()
     text = spark._jvm.PythonSQLUtils.explainString(execution, "formatted")
     moves = []
