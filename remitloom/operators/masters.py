@@ -5,7 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import OPEN_END, day
@@ -80,8 +80,7 @@ def rep_tag_history(clinicians: DataFrame, tags: DataFrame, reps: DataFrame, cod
 def clinician_list(clinicians: DataFrame, reps: DataFrame, name=None, shown: int = CLINICIANS_SHOWN) -> DataFrame:
     """The first clinicians by code whose name contains the text."""
     rows = optional_contains(clinicians.withColumn("dname", or_blank("dname")), dname=name)
-    text = [c for c in ("hosp", "u_location", "add1", "sched", "specialization", "acctno", "phone1", "email",
-                        "remarks")]
+    text = ["hosp", "u_location", "add1", "sched", "specialization", "acctno", "phone1", "email", "remarks"]
     rep = F.coalesce(F.concat("slpcode", F.lit("-"), "slpname"), F.lit("NO SETUP"))
     return rows.orderBy("dcode").limit(shown).join(reps.select("slpcode", "slpname"), "slpcode", "left").select(
         or_blank("dcode").alias("dcode"), "dname", rep.alias("slpname"),
@@ -112,8 +111,6 @@ def share_expand_branches(clinicians: DataFrame, branches: DataFrame, shares: Da
     Line numbers continue after the clinician's last one; a clinician has one
     row per branch, so the window groups are as small as the branch master.
     """
-    from pyspark.sql import Window
-
     payees = clinicians.select(
         F.col("dcode").alias("pid"), F.col("dname").alias("pname"), F.lit("Clinician").alias("class"),
         F.col("acctno").alias("acctnum"), "add1", "hosp", F.col("phone1").alias("telno"),
@@ -137,8 +134,6 @@ def share_redistribute(shares: DataFrame, batch: DataFrame, branches: DataFrame,
     ``existing`` takes name, class and account from the payee's first share row
     and uses the branches open for sales.
     """
-    from pyspark.sql import Window
-
     stat = "slsstat" if existing else "stat"
     where = _open_branches(branches, stat) if branch == "All" else branches.where(F.col("code") == branch).select(
         "code", "blk")

@@ -85,8 +85,8 @@ class Posting(NamedTuple):
     lines: DataFrame
 
 
-def _headers(lines: DataFrame, group: list[str], tran_date) -> DataFrame:
-    return lines.groupBy("pid", "iscrosscheck", "slpcode", "genid", *group).agg(
+def _headers(lines: DataFrame, tran_date) -> DataFrame:
+    return lines.groupBy("pid", "iscrosscheck", "slpcode", "genid").agg(
         total("linetotal").alias("payment")).select(
         "pid", "payment", F.coalesce("iscrosscheck", F.lit(0)).alias("iscrosscheq"), day(tran_date).alias("trandate"),
         "slpcode", F.lit(PENDING).alias("stat"), "genid")
@@ -99,7 +99,7 @@ def cheque_post(details: DataFrame, payees: DataFrame, tran_date, gen_id: int |
     sums = rows.groupBy("genid", F.col("u_paycode").alias("pid"), "whscode", "isforpayment").agg(
         total("rebatesamnt").alias("linetotal"))
     who = active_payees(payees).select("pid", "iscrosscheck", "slpcode")
-    return Posting(_headers(sums.join(who, "pid", "left"), [], tran_date),
+    return Posting(_headers(sums.join(who, "pid", "left"), tran_date),
                    sums.select("pid", "linetotal", "whscode", "genid"))
 
 
@@ -115,7 +115,7 @@ def cheque_post_run(rebates: DataFrame, payees: DataFrame, tran_date, dedupe: bo
     who = payees.select("pid", "iscrosscheck")
     if dedupe:
         who = who.groupBy("pid").agg(F.max("iscrosscheck").alias("iscrosscheck"))
-    return Posting(_headers(lines.join(who, "pid", "left"), [], tran_date),
+    return Posting(_headers(lines.join(who, "pid", "left"), tran_date),
                    lines.select("pid", "linetotal", "whscode", "genid"))
 
 
