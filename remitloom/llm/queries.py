@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import line_dups, mixing, quality_rules
 
 MIX_SQL = """
 with sized as (
@@ -50,5 +50,37 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op10_mix_sources,)}
-SQL = {"op10_mix_sources": MIX_SQL}
+LINES_SQL = """
+with split as (
+  select doc_id, n, unnest(lines) as line, generate_subscripts(lines, 1) as pos
+  from (select doc_id, row_number() over () as n, string_split(coalesce(text, ''), chr(10)) as lines from documents)),
+keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from split),
+frequent as (select key from keyed where length(key) >= 1 group by key having count(distinct coalesce(doc_id::varchar, 'null')) >= 10)
+select any_value(doc_id) as doc_id, count(*)::bigint as n_lines, count(f.key)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where f.key is null), '')) as kept_sha256
+from keyed k left join frequent f on k.key = f.key
+group by n
+"""
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more documents have."""
+    split = line_dups.split_documents(documents(spark, sf_dir).select("doc_id", "text"), min_docs=10)
+    return split.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
+                        F.sha2(F.array_join("_kept", "\n"), 256).alias("kept_sha256"))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document and the verdict of the certified rules."""
+    return quality_rules.judged(documents(spark, sf_dir), labels(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken")
+
+
+QUERIES = {f.__name__: f for f in (op6_line_dedup, op8_quality_rules, op10_mix_sources)}
+SQL = {"op6_line_dedup": LINES_SQL, "op10_mix_sources": MIX_SQL}
