@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dups, mixing, quality_rules
+from . import line_dups, mixing, near_dups, quality_rules, repeated_spans
 
 MIX_SQL = """
 with sized as (
@@ -82,5 +82,55 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken")
 
 
-QUERIES = {f.__name__: f for f in (op6_line_dedup, op8_quality_rules, op10_mix_sources)}
-SQL = {"op6_line_dedup": LINES_SQL, "op10_mix_sources": MIX_SQL}
+NEAR_SQL = """
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') as w from documents),
+listed as (
+  select doc_id, list_distinct(case when len(w) >= 3 then [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]
+                                    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
+items as (select doc_id, len(s) as n, unnest(s) as item from listed),
+links as (
+  select a.doc_id as x, b.doc_id as y from items a join items b on a.item = b.item and a.doc_id < b.doc_id
+   and 85 * greatest(a.n, b.n) <= 100 * least(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach as (
+  select x, y from (select x, y from links union all select y, x from links)
+  union
+  select r.x, e.y from reach r join (select x, y from links union all select y, x from links) e on r.y = e.x)
+select l.doc_id, len(l.s)::bigint as n_shingles, least(l.doc_id, coalesce(m.least, l.doc_id)) as component_id,
+       l.doc_id = least(l.doc_id, coalesce(m.least, l.doc_id)) as kept
+from listed l left join (select x, min(y) as least from reach group by x) m on l.doc_id = m.x
+"""
+
+SPANS_SQL = """
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+windows as (
+  select doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) as h
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from words where len(w) >= 50)),
+gone as (
+  select distinct v.doc_id, unnest(range(v.i, v.i + 50)) as i
+  from (select doc_id, i, min(doc_id) over (partition by h) as first from windows) v where v.doc_id > v.first),
+kept as (
+  select s.doc_id, s.i, s.word, g.i is not null as out
+  from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from words) s left join gone g on s.doc_id = g.doc_id and s.i = g.i)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(k.n, 0)::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256
+from words d left join (
+  select doc_id, count(*) filter (where out) as n, string_agg(word, ' ' order by i) filter (where not out) as t from kept group by doc_id) k
+  on d.doc_id = k.doc_id
+"""
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share most of their three-word shingles."""
+    return near_dups.near_duplicates(documents(spark, sf_dir), shingle=3, num=85, den=100)
+
+
+def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words that a document with a smaller id has."""
+    return repeated_spans.without_repeats(documents(spark, sf_dir), 50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_near_duplicates, op6_line_dedup, op7_repeated_spans, op8_quality_rules, op10_mix_sources)}
+SQL = {"op2_near_duplicates": NEAR_SQL, "op6_line_dedup": LINES_SQL, "op7_repeated_spans": SPANS_SQL, "op10_mix_sources": MIX_SQL}
