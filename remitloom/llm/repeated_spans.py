@@ -8,7 +8,7 @@ every task sketches the minimisers of its documents, and the sketches are added
 up slice by slice.  A count-min sketch never underestimates, so a window that
 occurs in two documents is always seen as repeated; what it lets through for
 nothing is settled by the second pass, which groups the remaining windows
-exactly by a 96-bit hash of their words.
+by a 96-bit hash of their words, in one move.
 
 The merged sketch is kept as one bit per counter, "two or more", and has a
 fixed size (``SLICES * 2 * CELLS`` bits, 16 MB), which is what is broadcast.
@@ -169,6 +169,50 @@ def candidate_windows(docs: DataFrame, size: int, sketch) -> DataFrame:
         "doc_id long, n_words long, tag long, digest string, raw binary, h1 array<long>, h2 array<int>, place array<long>")
 
 
+def repeated_places(windows: DataFrame) -> DataFrame:
+    """(doc_id, place) of the windows that also start in a document with a smaller id.
+
+    The windows are moved once: range-partitioned by hash and document, so one that very many documents have spreads over
+    many partitions, and sorted within.  The first row of a hash then has its least document.  Only of a partition's
+    first hash the least one may lie in partitions before; those rows wait for it, and every partition tells the least
+    document of its last hash.
+    """
+    n = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = windows.repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
+    names = ["kind", "h1", "h2", "doc_id", "place"]
+
+    def run(batches):
+        first = key = least = None
+
+        def rows(kind, h1, h2, doc, place):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *map(pa.array, (h1, h2, doc, place))], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h1, h2, doc, place = (batch.column(k).to_numpy() for k in names[1:])
+            new = np.ones(len(h1), bool)
+            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            new[0] = key != (h1[0], h2[0])
+            starts = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            leasts = np.concatenate([doc[starts], [least if least is not None else 0]])[group]  # group -1: the one begun before
+            first = first or (h1[0], h2[0])
+            waits = (h1 == first[0]) & (h2 == first[1])
+            hits = ~waits & (doc > leasts)
+            yield rows(0, np.zeros(hits.sum(), np.int64), np.zeros(hits.sum(), np.int32), doc[hits], place[hits])
+            if waits.any():
+                yield rows(1, h1[waits], h2[waits], doc[waits], place[waits])
+            key, least = (h1[-1], h2[-1]), leasts[-1]
+        if key is not None and key != first:
+            yield rows(2, np.array([key[0]]), np.array([key[1]]), np.array([least]), np.zeros(1, np.int64))
+
+    told = freeze(map_arrow(ordered, run, "kind int, h1 long, h2 int, doc_id long, place long"), "told")
+    edge = told.where("kind > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("_least"))
+    late = told.where("kind = 1").join(edge, ["h1", "h2"]).where("doc_id > _least")
+    return told.where("kind = 0").select("doc_id", "place").union(late.select("doc_id", "place"))
+
+
 def without_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) for every row; ``kept`` is null where all words stay.
 
@@ -179,9 +223,8 @@ def without_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     candidates = freeze(candidate_windows(docs, size, sketch), "windows")
     windows = candidates.where("digest is null").select("doc_id", F.explode(F.arrays_zip("h1", "h2", "place")).alias("w")).select(
         "doc_id", "w.h1", "w.h2", "w.place")
-    repeated = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).where("_least < _most").drop("_most")
-    gone = windows.join(repeated, ["h1", "h2"]).where("doc_id > _least").select("doc_id", "place").groupBy(
-        F.col("doc_id").alias("_doc"), F.shiftright("place", 32).alias("_tag")).agg(F.collect_list(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")).alias("gone"))
+    gone = repeated_places(windows).groupBy(F.col("doc_id").alias("_doc"), F.shiftright("place", 32).alias("_tag")).agg(
+        F.collect_list(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")).alias("gone"))
     touched = candidates.where("digest is null").select("doc_id", "n_words", "tag", "raw").join(
         gone, (F.col("doc_id") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left").select("doc_id", "n_words", "raw", "gone")
 
