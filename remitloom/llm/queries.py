@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dups, mixing, near_dups, quality_rules, repeated_spans
+from . import languages, line_dups, mixing, near_dups, pieces, quality_model, quality_rules, repeated_spans
 
 MIX_SQL = """
 with sized as (
@@ -131,6 +131,31 @@ def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.without_repeats(documents(spark, sf_dir), 50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+#: Where the vocabulary of the registered queries lies; operators take any path.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding them gives the text back."""
+    encoded = pieces.encode(documents(spark, sf_dir), pieces.Vocabulary.load(VOCABULARY))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "exact")
+
+
+def op4_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is of good quality, as labels of other documents teach it."""
+    known = labels(spark, sf_dir).select("doc_id", F.col("quality").alias("y"))
+    scores = quality_model.scored(documents(spark, sf_dir), known, lambda doc_id: ~languages.held_out(doc_id))
+    return scores.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents of the other folds."""
+    docs = documents(spark, sf_dir)
+    found = languages.identify(docs, docs.where(~languages.held_out(F.col("doc_id"))))
+    return found.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_near_duplicates, op6_line_dedup, op7_repeated_spans, op8_quality_rules, op10_mix_sources)}
+    op1_sentencepiece, op2_near_duplicates, op4_quality_score, op6_line_dedup, op7_repeated_spans, op8_quality_rules, op9_language,
+    op10_mix_sources)}
 SQL = {"op2_near_duplicates": NEAR_SQL, "op6_line_dedup": LINES_SQL, "op7_repeated_spans": SPANS_SQL, "op10_mix_sources": MIX_SQL}
