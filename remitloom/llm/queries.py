@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, line_dups, mixing, near_dups, pieces, quality_model, quality_rules, repeated_spans
+from . import languages, line_dups, mixing, near_dups, neighbours, personal_data, pieces, quality_model, quality_rules, repeated_spans
 
 MIX_SQL = """
 with sized as (
@@ -148,6 +148,20 @@ def op4_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every twentieth vector."""
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    found = personal_data.find(documents(spark, sf_dir))
+    names = F.array(*[F.lit(k) for k in personal_data.KINDS])
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(joined("spans"), 256).alias("base_sha256"), joined("all_spans").alias("spans"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the documents of the other folds."""
     docs = documents(spark, sf_dir)
@@ -156,6 +170,6 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentencepiece, op2_near_duplicates, op4_quality_score, op6_line_dedup, op7_repeated_spans, op8_quality_rules, op9_language,
+    op1_sentencepiece, op2_near_duplicates, op3_neighbours, op4_quality_score, op5_personal_data, op6_line_dedup, op7_repeated_spans, op8_quality_rules, op9_language,
     op10_mix_sources)}
 SQL = {"op2_near_duplicates": NEAR_SQL, "op6_line_dedup": LINES_SQL, "op7_repeated_spans": SPANS_SQL, "op10_mix_sources": MIX_SQL}
