@@ -76,20 +76,19 @@ def dropped_bitmaps(docs: DataFrame, min_docs: int, min_chars: int = 1, policy:
 
 
 def split_documents(docs: DataFrame, min_docs: int, min_chars: int = 1, policy: str = "all") -> DataFrame:
-    """Every row of ``docs`` with ``_lines`` (before dropping) and ``_kept`` (the lines that stay)."""
+    """(row, lines, kept) for every row of ``docs``: the row itself, its lines before dropping, and those that stay."""
     bitmaps = dropped_bitmaps(docs, min_docs, min_chars, policy).select(
-        F.col("doc_id").alias("_b_doc"), F.col("text_id").alias("_b_text"), F.col("dropped").alias("_b_dropped"))
-    joined = docs.withColumn("_text_id", text_id(docs["text"])).join(
-        bitmaps, docs["doc_id"].eqNullSafe(F.col("_b_doc")) & (F.col("_text_id") == F.col("_b_text")), "left")
-    lines = lines_of(docs["text"])
-    goes = lambda i: F.coalesce(F.getbit(F.element_at("_b_dropped", F.floor(i / 64).cast("int")), i % 64), F.lit(0)) == 1
-    kept = F.when(F.col("_b_dropped").isNull(), lines).otherwise(F.filter(lines, lambda line, i: ~goes(i)))
-    return joined.select(*[docs[c] for c in docs.columns], lines.alias("_lines"), kept.alias("_kept"))
+        F.col("doc_id").alias("b_doc"), F.col("text_id").alias("b_text"), "dropped")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("own_text", text_id(F.col("row.text")))
+    joined = rows.join(bitmaps, F.col("row.doc_id").eqNullSafe(F.col("b_doc")) & (F.col("own_text") == F.col("b_text")), "left")
+    lines = lines_of(F.col("row.text"))
+    goes = lambda i: F.coalesce(F.getbit(F.element_at("dropped", F.floor(i / 64).cast("int")), i % 64), F.lit(0)) == 1
+    kept = F.when(F.col("dropped").isNull(), lines).otherwise(F.filter(lines, lambda line, i: ~goes(i)))
+    return joined.select("row", lines.alias("lines"), kept.alias("kept"))
 
 
 def without_repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, policy: str = "all") -> DataFrame:
     """The documents with only the lines that stay; ``n_chars`` follows the text, where there is one."""
-    split = split_documents(docs, min_docs, min_chars, policy)
-    text = F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n"))
+    text = F.when(F.col("row.text").isNotNull(), F.array_join("kept", "\n"))
     out = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return split.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+    return split_documents(docs, min_docs, min_chars, policy).select(*[out.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -121,8 +121,9 @@ def mixed_documents(docs: DataFrame, weights=(5, 2, 1), share_pct: int = 150, mo
     begun = prefix_sums(sized).where("size > 0").join(plan, F.col("source").eqNullSafe(F.col("_source"))).where("before < _rest")
     cuts = begun.groupBy("_source").agg(F.max("key").alias("_last"))
     cuts = freeze(plan.join(cuts.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").select(
-        F.col("_source").alias("_mix_source"), F.col("_epochs").alias("_mix_epochs"), F.col("_last").alias("_mix_last")), "mix-cuts")
-    in_last = F.coalesce((sort_key(docs["doc_id"], seed) <= F.col("_mix_last")).cast("int"), F.lit(0))
-    times = F.when(docs["text"].rlike(WORD), F.col("_mix_epochs").cast("int") + in_last).otherwise(0)
-    joined = docs.join(cuts, docs["source"].eqNullSafe(F.col("_mix_source"))).withColumn("_mix_times", F.coalesce(times, F.lit(0)))
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+        F.col("_source").alias("mix_source"), F.col("_epochs").alias("epochs"), F.col("_last").alias("last")), "mix-cuts")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    in_last = F.coalesce((sort_key(F.col("row.doc_id"), seed) <= F.col("last")).cast("int"), F.lit(0))
+    times = F.when(F.col("row.text").rlike(WORD), F.col("epochs").cast("int") + in_last)
+    taken = rows.join(cuts, F.col("row.source").eqNullSafe(F.col("mix_source"))).withColumn("times", F.coalesce(times, F.lit(0)))
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("copy")).select("row.*")

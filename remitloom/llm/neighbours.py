@@ -142,7 +142,7 @@ def blocks(n: Column, most: int) -> Column:
     return F.ceil(n / most).cast("int")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_id", vector: str = "embedding", tables: int = 12, probes: int = 10,
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_id", vector: str = "embedding", tables: int = 16, probes: int = 12,
            bucket_rows: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows with the largest inner product found for each query among all other rows.
 
@@ -159,8 +159,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_id
     indexed = rows.withColumn("_copy", copies).where(F.col("_copy") <= k + 1)
     queries = rows.where(is_query)
 
-    placed = freeze(hashed(indexed, tables, parts, 1, longest, as_query=False), "index")
-    visits = freeze(hashed(queries, tables, parts, probes, longest, as_query=True), "visits")
+    placed = hashed(indexed, tables, parts, 1, longest, as_query=False)  # hashed again for each use, which costs less than to store it
+    visits = hashed(queries, tables, parts, probes, longest, as_query=True)
     counts = placed.groupBy("t", "code").agg(F.count(F.lit(1)).alias("_n")).join(
         visits.groupBy("t", "code").agg(F.count(F.lit(1)).alias("_q")), ["t", "code"])
     sizes = freeze(counts.select("t", "code", blocks(F.col("_n"), BLOCK_ROWS).alias("_nb"), blocks(F.col("_q"), BLOCK_QUERIES).alias("_qb")), "sizes")
@@ -172,7 +172,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_id
     met = freeze(met, "met")
 
     enough = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(k, size["n"] - 1)).select(F.col("query_id").alias("vec_id"))
-    short = queries.join(enough, "vec_id", "left_anti").select("vec_id", "v")
+    short = freeze(queries.join(enough, "vec_id", "left_anti").select("vec_id", "v"), "short")
     n_short = short.count()
     if n_short:
         nb, qb = -(-size["n"] // BLOCK_ROWS), -(-n_short // BLOCK_QUERIES)

@@ -68,8 +68,8 @@ group by n
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more documents have."""
     split = line_dups.split_documents(documents(spark, sf_dir).select("doc_id", "text"), min_docs=10)
-    return split.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-                        F.sha2(F.array_join("_kept", "\n"), 256).alias("kept_sha256"))
+    return split.select("row.doc_id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
+                        F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +158,8 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find(documents(spark, sf_dir))
     names = F.array(*[F.lit(k) for k in personal_data.KINDS])
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined("spans"), 256).alias("base_sha256"), joined("all_spans").alias("spans"))
 
 
