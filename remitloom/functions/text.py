@@ -43,11 +43,16 @@ def optional(df: DataFrame, **equals) -> DataFrame:
     return df
 
 
+def holds(column: str, needle) -> Column:
+    """The column contains the text; upper and lower case are the same."""
+    return F.contains(F.upper(F.col(column).cast("string")), F.upper(F.lit(str(needle))))
+
+
 def optional_contains(df: DataFrame, **needles) -> DataFrame:
-    """Keep rows whose text contains every given value; ``None`` and 'All' mean no filter."""
+    """Keep rows whose text contains every given value, in any case; ``None`` and 'All' mean no filter."""
     for column, value in needles.items():
         if value is not None and value != "All":
-            df = df.where(F.col(column).cast("string").contains(str(value)))
+            df = df.where(holds(column, value))
     return df
 
 

@@ -17,7 +17,8 @@ from .keyed import keyed_update
 # Share of sales a branch may pay out, and the sales ledger.
 BUDGET_PERCENT = 2
 SALES_SEGMENT = "40100"
-NARROW = "decimal(11,2)"
+# Sums are wider than the amounts they add up.
+WIDE = "decimal(28,2)"
 
 DOCUMENT_KEYS = ["docentry", "u_paycode", "u_labno", "cardcode", "whscode", "u_doctorcode", "groupcode"]
 
@@ -130,17 +131,17 @@ def branch_budget_create(jdt1: DataFrame, ojdt: DataFrame, oact: DataFrame, deta
     start, end = run.agg(F.min("fdate").alias("d")).scalar(), run.agg(F.max("tdate").alias("d")).scalar()
     dated = ojdt.where(F.col("refdate").between(start, end))
     sales = ledger_sales(jdt1, dated, oact).groupBy("segment_1").agg(
-        (total("credit") - total("debit")).cast(NARROW).alias("sales"))
+        (total("credit") - total("debit")).cast(WIDE).alias("sales"))
     rows = rated_rows(details, payees, None, None, None, first_run, gen_id, unpaid_only=True)
     gated = budget_gate(rows, criteria, ["u_paycode", "whscode", "actype"])
     rebates = gated.where("budgetstat = 1").groupBy("whscode").agg(total("rebate").alias("passed"))
     g = F.lit(gen_id).cast("int").alias("genid")
     lines = sales.join(rebates, F.col("segment_1") == F.col("whscode"), "left").select(
         g, F.col("segment_1").alias("whscode"), "sales", F.lit(BUDGET_PERCENT).cast("decimal(18,2)").alias("percnt"),
-        percent_of(F.col("sales"), F.lit(BUDGET_PERCENT)).cast(NARROW).alias("budgetamt"),
+        percent_of(F.col("sales"), F.lit(BUDGET_PERCENT)).cast(WIDE).alias("budgetamt"),
         or_zero("passed").alias("rebates"))
     ungated = gated.agg(total("rebate").alias("r"))
-    header = sales.agg(F.sum("sales").cast(NARROW).alias("totalsales")).select(
+    header = sales.agg(F.sum("sales").cast(WIDE).alias("totalsales")).select(
         g, start.alias("startdate"), end.alias("enddate"), "totalsales",
         or_zero(ungated.scalar()).alias("totalrebate"))
     return BranchBudget(header, lines)
@@ -159,9 +160,9 @@ def budget_summary(headers: DataFrame, lines: DataFrame, gen_id: int | None = No
     sums = heads.join(lines, "genid").groupBy("genid", "startdate", "enddate").agg(
         total(or_zero("sales")).alias("s"), total(or_zero("budgetamt")).alias("b"),
         total(or_zero("rebates")).alias("r"))
-    return sums.select("genid", "startdate", "enddate", F.col("s").cast(NARROW).alias("totalsales"),
-                       F.col("b").cast(NARROW).alias("totalbudget"), F.col("r").cast(NARROW).alias("totalrebate"),
-                       (F.col("b") - F.col("r")).cast(NARROW).alias("totalexcess"),
+    return sums.select("genid", "startdate", "enddate", F.col("s").cast(WIDE).alias("totalsales"),
+                       F.col("b").cast(WIDE).alias("totalbudget"), F.col("r").cast(WIDE).alias("totalrebate"),
+                       (F.col("b") - F.col("r")).cast(WIDE).alias("totalexcess"),
                        ratio_percent(F.col("r"), F.col("s")).alias("totalprcnttosales"))
 
 
@@ -179,7 +180,7 @@ def budget_repercent(lines: DataFrame, batch: DataFrame) -> DataFrame:
     """New percentages per (run, branch); the budget amount follows."""
     return keyed_update(lines, batch, ["genid", "whscode"], {
         "percnt": "percnt",
-        "budgetamt": percent_of(F.col("sales").cast(NARROW), F.col("new_percnt")).cast(NARROW).cast("decimal(18,2)")})
+        "budgetamt": percent_of(F.col("sales"), F.col("new_percnt"))})
 
 
 def hierarchy_repercent(budget: DataFrame, batch: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def cheque_progress_by_rep(cheques: DataFrame, payees: DataFrame, reps: DataFram
     counts = once.join(listed, "pid", "left").groupBy(F.col("r_rep").alias("slpcode"), "slpname").agg(
         F.count(F.when(F.col("stat") == PROCESSED, 1)).alias("done"), F.count("pid").alias("all"))
     text = F.concat(F.col("done").cast("string"), F.lit(" / "), F.col("all").cast("string"))
-    return counts.select("slpcode", F.upper("slpname").alias("slpname"), F.substring(text, 1, 10).alias("total"))
+    return counts.select("slpcode", F.upper("slpname").alias("slpname"), text.alias("total"))
 
 
 def cheque_month_list(cheques: DataFrame, payees: DataFrame, reps: DataFrame, rep_code=None, month=None) -> DataFrame:
@@ -127,7 +127,7 @@ def cheque_lines(headers: DataFrame, lines: DataFrame, keys: DataFrame | None =
         heads = heads.join(keys, keys.columns, "left_semi")
     parts = lines.select("pid", "genid", "linetotal", "whscode")
     return heads.select("pid", "genid", "cheqnum", "acctno").join(parts, ["pid", "genid"], "left").orderBy(
-        "pid", "genid", "cheqnum", F.col("whscode").cast("int"))
+        "pid", "genid", "cheqnum", F.col("whscode").try_cast("int"), "whscode")
 
 
 def journal_export(journal: DataFrame, lines: DataFrame, bank: DataFrame, as_of) -> DataFrame:

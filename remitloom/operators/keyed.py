@@ -66,7 +66,8 @@ def keyed_upsert(target: DataFrame, batch: DataFrame, keys: list[str],
 
 def insert_if_absent(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Add the batch rows whose key the target does not have yet."""
-    missing = batch.join(target.select(*keys), keys, "left_anti")
+    once = unique_batch(batch, keys).where(_HIT).select(*keys, *[F.col(NEW + c).alias(c) for c in batch.columns if c not in keys])
+    missing = once.join(target.select(*keys), keys, "left_anti")
     return target.unionByName(missing, allowMissingColumns=True)
 
 

@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import OPEN_END, day
 from ..functions.money import or_zero, total
-from ..functions.text import labelled, optional, optional_contains, or_blank
+from ..functions.text import holds, labelled, optional, optional_contains, or_blank
 from .commission import NO_REP, NO_REP_NAME
 from .keyed import insert_if_absent, keyed_update, number_rows
 
-# Sizes of the search lists, defaults and names the masters use.
-CLINICIANS_SHOWN, RATES_SHOWN, ITEMS_SHOWN, TESTS_SHOWN, SPECIALS_SHOWN = 100, 1000, 1000, 500, 16
+# Defaults and names the masters use.
 DEFAULT_PRICE_LEVEL = 3
 CLINICIAN_TAG = 102
 RATE_DIMENSIONS = ["pmode", "accttype", "senior", "pcktype", "prclvl", "whs", "testgrp"]
@@ -77,12 +76,13 @@ def rep_tag_history(clinicians: DataFrame, tags: DataFrame, reps: DataFrame, cod
             .select("dcode", "dname", "slpcode", "slpname", "sdate", "edate", "encodedate").orderBy("dcode", "sdate"))
 
 
-def clinician_list(clinicians: DataFrame, reps: DataFrame, name=None, shown: int = CLINICIANS_SHOWN) -> DataFrame:
-    """The first clinicians by code whose name contains the text."""
+def clinician_list(clinicians: DataFrame, reps: DataFrame, name=None, shown: int | None = None) -> DataFrame:
+    """Clinicians whose name contains the text; with ``shown``, the first by code."""
     rows = optional_contains(clinicians.withColumn("dname", or_blank("dname")), dname=name)
     text = ["hosp", "u_location", "add1", "sched", "specialization", "acctno", "phone1", "email", "remarks"]
     rep = F.coalesce(F.concat("slpcode", F.lit("-"), "slpname"), F.lit("NO SETUP"))
-    return rows.orderBy("dcode").limit(shown).join(reps.select("slpcode", "slpname"), "slpcode", "left").select(
+    rows = rows if shown is None else rows.orderBy("dcode").limit(shown)
+    return rows.join(reps.select("slpcode", "slpname"), "slpcode", "left").select(
         or_blank("dcode").alias("dcode"), "dname", rep.alias("slpname"),
         F.when(F.col("slpname").isNotNull(), F.col("slpcode")).alias("slpcode"), *[or_blank(c).alias(c) for c in text])
 
@@ -192,8 +192,8 @@ def payee_search(payees: DataFrame, reps: DataFrame, class_text=None, name_text=
     columns = ["pid", "pname", "class", "acctnum", "add1", "slpcode", "hosp", "telno", "actype", "periodtype",
                "dispatchtype", "iscrosscheck", "isspecialtest", "isactive"]
     rows = payees.where(F.col("isactive") == active)
-    rows = rows if class_text is None else rows.where(F.col("class").contains(class_text))
-    rows = rows if name_text is None else rows.where(F.col("pname").contains(name_text))
+    rows = rows if class_text is None else rows.where(holds("class", class_text))
+    rows = rows if name_text is None else rows.where(holds("pname", name_text))
     rows = optional(rows, pid=pid).select(*columns).distinct()
     rep = F.upper(F.concat("slpcode", F.lit(" - "), "slpname"))
     return rows.join(reps.select("slpcode", "slpname"), "slpcode", "left").select(
@@ -309,7 +309,7 @@ def account_price_level(accounts: DataFrame, accounts_ext: DataFrame, folders: D
     busy = invoices.where(F.col("docdate") > day(since)).select("cardcode")
     level = F.coalesce("rbprclvl", F.lit(0))
     rows = accounts.where((F.coalesce("rebrates", F.lit(0)) != 0) & (F.col("isactive") == 1)
-                          & ~F.col("u_cardname").contains("TESTING"))
+                          & ~holds("u_cardname", "TESTING"))
     rows = rows if tagged is None else rows.where(level == tagged)
     rows = optional_contains(rows, cardcode=code, u_cardname=name)
     return (rows.join(accounts_ext.select("cardcode"), "cardcode").join(folder, "cardcode")
@@ -325,14 +325,14 @@ def _rate_filters(rates: DataFrame, rate_type: int | None, filters: dict) -> Col
     for dimension in RATE_DIMENSIONS:
         value = filters.get(dimension)
         if value is not None and value != "All":
-            keep = keep & F.col(dimension).contains(str(value))
+            keep = keep & holds(dimension, value)
     return keep
 
 
 def rate_combination_search(rates: DataFrame, pay_modes: DataFrame, account_types: DataFrame, codes: DataFrame,
                             branches: DataFrame, groups: DataFrame, rate_type: int | None = None,
-                            shown: int | None = RATES_SHOWN, **filters) -> DataFrame:
-    """Rates with their codes spelled out.  The first rows by rate code; ``shown=None`` for all."""
+                            shown: int | None = None, **filters) -> DataFrame:
+    """Rates with their codes spelled out; with ``shown``, the first by rate code."""
     rows = rates.where(_rate_filters(rates, rate_type, filters))
     if shown is not None:
         rows = rows.orderBy("ratecode").limit(shown)
@@ -371,14 +371,14 @@ def rate_batch_update(rates: DataFrame, batch: DataFrame, rate, amount, rate_typ
 # --- items and customers --------------------------------------------------------------
 
 def test_rate_list(item_h: DataFrame, item_d: DataFrame, rates: DataFrame, kind: str = "all", text: str = "",
-                   whs=None, shown: int | None = TESTS_SHOWN) -> DataFrame:
-    """Test rates: ``all`` (the first rows), ``single`` tests without a package, or ``package`` tests."""
+                   whs=None, shown: int | None = None) -> DataFrame:
+    """Test rates: ``all``, ``single`` tests without a package, or ``package`` tests; with ``shown``, the last codes first."""
     items = optional(item_h.select("imh_code", "imh_desc", "whscode"), whscode=whs)
     packs = item_d.select(F.col("imd_pkg_code").alias("imh_code"), "whscode", F.col("imd_pkg_code"), "imd_pkg_item")
     prices = rates.select("imh_code", "whscode", F.col("imd_pkg_item").alias("r_item"), "rate", "amnt")
     keys = ["imh_code", "whscode"]
     if kind != "all":
-        items = items.where(F.col("imh_desc").contains(text))
+        items = items.where(holds("imh_desc", text))
     if kind == "single":
         rows = items.join(packs, keys, "left_anti").withColumns(
             {c: F.lit(None).cast("string") for c in ("imd_pkg_code", "imd_pkg_item")}).join(prices, keys, "left")
@@ -389,17 +389,17 @@ def test_rate_list(item_h: DataFrame, item_d: DataFrame, rates: DataFrame, kind:
         rows = items.join(packs, keys, "left").join(prices, keys, "left")
     rows = rows.select("imh_code", "imh_desc", "imd_pkg_code", "imd_pkg_item", or_zero("rate").alias("rate"),
                        or_zero("amnt").alias("amnt"), "whscode").orderBy(F.desc("imh_code"), "whscode")
-    return rows.limit(shown) if kind == "all" and shown is not None else rows
+    return rows if shown is None else rows.limit(shown)
 
 
 def special_test_search(spcl: DataFrame, accounts: DataFrame, item_code=None, item_text=None, card_code=None,
-                        card_text=None, group=None, item_type=None, shown: int | None = SPECIALS_SHOWN) -> DataFrame:
-    """Special tests once per item, group, type and account; the first rows by item."""
+                        card_text=None, group=None, item_type=None, shown: int | None = None) -> DataFrame:
+    """Special tests once per item, group, type and account; with ``shown``, the first by item."""
     names = accounts.select("cardcode", "cardname")
     rows = optional(spcl, itemcode=item_code, cardcode=card_code, grpcode=group, itemtype=item_type)
     rows = optional_contains(rows, itemname=item_text).join(names, "cardcode", "left")
     if card_text is not None:
-        rows = rows.where(F.col("cardname").contains(card_text))
+        rows = rows.where(holds("cardname", card_text))
     rows = rows.select("itemcode", "itemname", "grpcode", "itemtype", "cardcode", or_blank("cardname").alias("cardname")
                        ).distinct()
     if shown is not None:
@@ -426,8 +426,8 @@ def special_test_rates(spcl: DataFrame, accounts: DataFrame | None = None, item_
 
 
 def item_search(items: DataFrame, item_h: DataFrame, item_type=None, code=None, text=None,
-                shown: int | None = ITEMS_SHOWN) -> DataFrame:
-    """Items not held in stock (S) and named packages (P); the first rows by code."""
+                shown: int | None = None) -> DataFrame:
+    """Items not held in stock (S) and named packages (P); with ``shown``, the first by code."""
     single = items.where("invntitem = 'N'").select(F.col("itemcode").alias("code"), F.col("itemname").alias("desc"),
                                                    F.lit("S").alias("itemtype"))
     packs = item_h.where((F.col("imh_type") == "P") & (or_blank("imh_desc") != "")).select(
@@ -436,8 +436,8 @@ def item_search(items: DataFrame, item_h: DataFrame, item_type=None, code=None,
     return rows if shown is None else rows.orderBy("code", "itemtype").limit(shown)
 
 
-def customer_search(accounts: DataFrame, group=None, code=None, text=None, shown: int | None = ITEMS_SHOWN) -> DataFrame:
-    """Customers by group, code or part of the name; the first rows by code."""
+def customer_search(accounts: DataFrame, group=None, code=None, text=None, shown: int | None = None) -> DataFrame:
+    """Customers by group, code or part of the name; with ``shown``, the first by code."""
     rows = optional(accounts.where("cardtype = 'C'"), groupcode=group, cardcode=code)
     rows = optional_contains(rows, cardname=text).select(F.col("cardcode").alias("code"), F.col("cardname").alias("desc"))
     return rows if shown is None else rows.orderBy("code").limit(shown)
@@ -474,5 +474,8 @@ def update_special_inhouse(spcl: DataFrame, batch: DataFrame, strict: bool = Tru
         done = keyed_update(rows, keyed, ["itemcode", "itemname", "whscode", "grpcode", "itemtype", "cardcode"],
                             {"rate": "rate", "amt": "amt"})
         return done.withColumn("cardcode", F.col("_card")).drop("_card")
-    keyed = batch.where("cardcode is not null").select("cardcode", "rate", "amt")
+    # several items of one account: every row of the account gets the values of the last item, as row after row did
+    keyed = batch.where("cardcode is not null").groupBy("cardcode").agg(
+        *[F.max_by(c, F.struct(*order)).alias(c) for order in [[c for c in ("itemcode", "whscode", "itemtype") if c in batch.columns] or ["rate"]]
+          for c in ("rate", "amt")])
     return keyed_update(spcl, keyed, ["cardcode"], {"rate": "rate", "amt": "amt"})

@@ -77,20 +77,20 @@ def created(t):
     return b.branch_budget_create(t.jdt1, t.ojdt, t.oact, *core(t), t.soadate, LAST_FULL, FIRST)
 
 
-_SOLD = f"""(select a.segment_1, cast(cast(sum(j.credit) as {D2}) - cast(sum(j.debit) as {D2}) as decimal(11,2)) sales from fx_jdt1 j
+_SOLD = f"""(select a.segment_1, cast(cast(sum(j.credit) as {D2}) - cast(sum(j.debit) as {D2}) as decimal(28,2)) sales from fx_jdt1 j
     join fx_oact a on a.acctcode = j.account join fx_ojdt t on t.transid = j.transid join fx_soadate r on r.genid = {LAST_FULL}
     where a.segment_0 = '40100' and t.refdate between r.fdate and r.tdate group by 1)"""
 _GATED = _gate(_rows(_OPEN + f' and d.genid between {FIRST} and {LAST_FULL}'), _BY_BRANCH)
 register("branch_budget_create", lambda t: created(t).lines,
-         f"""select {LAST_FULL} genid, s.segment_1 whscode, s.sales, cast(2 as {D2}) percnt, cast({pct('s.sales', '2')} as decimal(11,2)) budgetamt,
+         f"""select {LAST_FULL} genid, s.segment_1 whscode, s.sales, cast(2 as {D2}) percnt, cast({pct('s.sales', '2')} as decimal(28,2)) budgetamt,
          {zero('g.v')} rebates from {_SOLD} s left join (select whscode, {sum2('rebate')} v from {_GATED} where budgetstat = 1 group by 1) g
          on g.whscode = s.segment_1""")
 register("branch_budget_create_header", lambda t: created(t).header,
-         f"""select {LAST_FULL} genid, r.fdate startdate, r.tdate enddate, (select cast(sum(sales) as decimal(11,2)) from {_SOLD}) totalsales,
+         f"""select {LAST_FULL} genid, r.fdate startdate, r.tdate enddate, (select cast(sum(sales) as decimal(28,2)) from {_SOLD}) totalsales,
          {zero('(select ' + sum2('rebate') + ' from ' + _GATED + ')')} totalrebate from fx_soadate r where r.genid = {LAST_FULL}""")
 register("budget_summary", lambda t: b.budget_summary(t.rac_rebbudgethdr, t.rac_rebbudgetdtl),
-         f"""select genid, startdate, enddate, cast(s as decimal(11,2)) totalsales, cast(b as decimal(11,2)) totalbudget, cast(r as decimal(11,2)) totalrebate,
-         cast(b - r as decimal(11,2)) totalexcess, {ratio('r', 's')} totalprcnttosales from (select h.genid, h.startdate, h.enddate,
+         f"""select genid, startdate, enddate, cast(s as decimal(28,2)) totalsales, cast(b as decimal(28,2)) totalbudget, cast(r as decimal(28,2)) totalrebate,
+         cast(b - r as decimal(28,2)) totalexcess, {ratio('r', 's')} totalprcnttosales from (select h.genid, h.startdate, h.enddate,
          {sum2('coalesce(d.sales, 0)')} s, {sum2('coalesce(d.budgetamt, 0)')} b, {sum2('coalesce(d.rebates, 0)')} r from st_budgethdr h
          join st_budgetdtl d on d.genid = h.genid group by 1, 2, 3)""")
 register("branch_budget_detail", lambda t: b.branch_budget_detail(t.rac_rebbudgetdtl, t.sapset),
@@ -126,6 +126,6 @@ register("budget_hierarchy_list", lambda t: b.budget_hierarchy_list(t.rac_budget
          from st_hier h left join fx_sapset s on s.code = h.whscode""")
 register("budget_criteria_fill", lambda t: b.budget_criteria_fill(t.rac_budgetcriteria, t.sapset, ["CLINICIAN", "ACCOUNT", "FUND"], 750),
          f"""select a accounttype, s.code whscode, cast(750 as {D2}) amntexcluded from fx_sapset s, (select unnest(['CLINICIAN', 'ACCOUNT', 'FUND']) a)
-         where s.stat = 'O' and (a, s.code) not in (select (accounttype, whscode) from fx_criteria)""")
+         where s.stat = 'O' and not exists (select 1 from fx_criteria c where c.accounttype = a and c.whscode = s.code)""")
 register("budget_criteria_list", lambda t: b.budget_criteria_list(t.rac_budgetcriteria, t.sapset),
          "select c.accounttype, c.whscode, s.whsname, c.amntexcluded from fx_criteria c left join fx_sapset s on s.code = c.whscode")

@@ -31,7 +31,7 @@ def employees_as_payees(t):
 register("insert_if_absent", lambda t: k.insert_if_absent(t.rac_rbsharing, employees_as_payees(t).withColumn("code", F.col("pid")), ["code", "pid"]),
          f"""select code, pid, rate, fund from fx_sharing union all select x.pid, x.pid, cast(100 as {D2}), cast(0 as {D2})
          from (select case when deptcode = 18 then 'D' || substr(empcode, 2) else empcode end pid from fx_emp) x
-         where (x.pid, x.pid) not in (select (code, pid) from fx_sharing)""")
+         where not exists (select 1 from fx_sharing s where s.code = x.pid and s.pid = x.pid)""")
 
 
 def tagging(t):
@@ -64,7 +64,7 @@ register("keyed_update_inhouse_rates", lambda t: m.update_special_inhouse(t.spcl
 register("delete_where", lambda t: k.delete_where(t.rac_payeescheme, F.expr("payeetype = 1")),
          "select * from fx_scheme where payeetype <> 1")
 register("delete_where_keys", lambda t: k.delete_where(t.rac_rbpayments, batch=t.rac_rbaginghistory.select(F.col("docid").alias("recid")), keys=["recid"]),
-         "select * from fx_payments where recid not in (select docid from fx_history)")
+         "select * from fx_payments p where not exists (select 1 from fx_history h where h.docid = p.recid)")
 register("key_existence",
          lambda t: k.key_existence(t.rac_rbdetailstrans, t.soadate, ["genid"], F.col("stat") == 2),
          "select r.genid, case when exists (select 1 from st_detail d where d.genid = r.genid and d.stat = 2) then 1 else 0 end found from fx_soadate r")

@@ -44,8 +44,8 @@ register("commission_generation_marks",
          "select distinct docentry, linenum, itemcode from st_commline")
 register("commission_generation_skip_marked",
          lambda t: c.commission_lines(t, marks=t.rac_commcomputationdtl.where("genid <= 3")).select(*_COMM),
-         f"""select {', '.join(_COMM)} from st_commline where (docentry, linenum, itemcode) not in
-         (select (docentry, linenum, itemcode) from st_comm where genid <= 3)""")
+         f"""select {', '.join(_COMM)} from st_commline l anti join
+         (select docentry, linenum, itemcode from st_comm where genid <= 3) m using (docentry, linenum, itemcode)""")
 
 
 def _months(where: str, run: str = "") -> str:

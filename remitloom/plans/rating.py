@@ -101,8 +101,8 @@ def one_run_over_everything(t):
 
 
 register("rebate_generation_incremental", one_run_over_everything,
-         """select 81 genid, docentry, linenum, u_paycode, whscode, comtype, rebatesamnt, fund from st_amounts_s0
-         where genid > 40 or (docentry, linenum) not in (select (docentry, linenum) from st_amounts_s0 where genid <= 40)""")
+         """select 81 genid, docentry, linenum, u_paycode, whscode, comtype, rebatesamnt, fund from st_amounts_s0 a
+         where genid > 40 or not exists (select 1 from st_amounts_s0 e where e.genid <= 40 and e.docentry = a.docentry and e.linenum = a.linenum)""")
 
 
 def per_payee(t):

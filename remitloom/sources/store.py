@@ -7,6 +7,7 @@ every reader asks for one run.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,12 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a session of one local process without that setting gets a folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    one_process = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.getCheckpointDir() if one_process else None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not one_process:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return tempfile.mkdtemp(prefix="remitloom-")
 
@@ -30,6 +32,16 @@ def shared_folder(spark: SparkSession) -> str:
 _folders: dict[str, str] = {}
 
 
+def release(spark: SparkSession) -> None:
+    """Remove what this application has frozen or staged; results that still read it end with it."""
+    app = spark.sparkContext.applicationId
+    if app in _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop(app))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _staged if k[0] == app]:
+        del _staged[key]
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder."""
     app = spark.sparkContext.applicationId

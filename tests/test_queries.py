@@ -7,10 +7,11 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from remitloom.plans import registry
 from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
+QUERIES, TWINS = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -35,8 +36,9 @@ def test_plan_and_result(spark, duck, name):
     assert ok, message
 
 
-def test_every_query_has_a_twin():
+def test_every_query_has_a_twin_and_is_registered():
     assert set(QUERIES) == set(TWINS)
+    assert set(QUERIES) <= set(entry.queries()) and set(TWINS) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):
