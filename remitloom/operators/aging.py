@@ -89,7 +89,7 @@ def aging_open_items(payments: DataFrame, runs: DataFrame, payee=None, branch=No
     rows = optional(payments.where("status = 2"), pcode=payee, whscode=branch)
     return rows.join(runs.select("genid", "paymentdate"), "genid", "left").select(
         "recid", "genid", "whscode", "pcode", "unpaidrebates", F.lit(0).cast("decimal(18,2)").alias("amnttopay"),
-        "paymentdate").orderBy("paymentdate")
+        "paymentdate").orderBy("paymentdate", "genid", "recid")  # no date holds more than one key of the sort
 
 
 class Settlement(NamedTuple):

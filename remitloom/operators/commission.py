@@ -23,10 +23,13 @@ FACT_KEYS = ["docentry", "labno", "cardcode", "docdate", "itemcode", "u_packagen
 
 
 def invoice_line_fact(oinv: DataFrame, inv1: DataFrame, rin1: DataFrame, aopdet2: DataFrame, frm=None, to=None,
-                      pay_types=COMMISSION_PAY_TYPES) -> DataFrame:
+                      pay_types=COMMISSION_PAY_TYPES, marks: DataFrame | None = None) -> DataFrame:
     """Invoice lines with credits and payments, both summed before they join.
 
     A credit counts in full against every line of the same case, branch and item.
+    A period keeps only its invoices' lines before anything else joins; all of
+    history takes the credits first, so that everything by document, the last
+    sum included, needs one more move of the lines.  Lines in ``marks`` are skipped.
     """
     heads = oinv.select("docentry", "labno", "cardcode", "docdate", "whscode", "pmode")
     if frm is not None:
@@ -36,8 +39,14 @@ def invoice_line_fact(oinv: DataFrame, inv1: DataFrame, rin1: DataFrame, aopdet2
         F.col("whscode").alias("l_whs"), "linetotal")
     credits = rin1.groupBy("u_labno", F.col("whscode").alias("l_whs"), "itemcode").agg(total("linetotal").alias("adj"))
     paid = aopdet2.groupBy("docentry", "linenum").agg(total("linetotal").alias("pay"))
-    rows = (lines.join(heads, "docentry").join(paid, ["docentry", "linenum"], "left")
-            .join(credits, ["u_labno", "l_whs", "itemcode"], "left"))
+    if frm is None:
+        lines = lines.join(credits, ["u_labno", "l_whs", "itemcode"], "left")
+    rows = lines.join(heads, "docentry")
+    if marks is not None:
+        rows = rows.join(marks.select("docentry", "linenum", "itemcode"), ["docentry", "linenum", "itemcode"], "left_anti")
+    rows = rows.join(paid, ["docentry", "linenum"], "left")
+    if frm is not None:
+        rows = rows.join(credits, ["u_labno", "l_whs", "itemcode"], "left")
     sums = rows.groupBy(*FACT_KEYS).agg(
         total("linetotal").alias("amount"), or_zero(total("adj")).alias("adjamt"), or_zero(total("pay")).alias("paid"),
         F.sum(F.col("linetotal") - or_zero("adj")).alias("_net"))
@@ -90,11 +99,7 @@ def incidental_zeroing(lines: DataFrame) -> DataFrame:
 
 def commission_lines(t, frm=None, to=None, marks: DataFrame | None = None) -> DataFrame:
     """Commission detail rows of a period.  With ``marks``, lines flagged by an earlier run are skipped."""
-    inv1 = t.inv1
-    if marks is not None:
-        keys = ["docentry", "linenum", "itemcode"]
-        inv1 = inv1.join(marks.select(*keys), keys, "left_anti")
-    fact = invoice_line_fact(t.oinv, inv1, t.rin1, t.aopdet2, frm, to)
+    fact = invoice_line_fact(t.oinv, t.inv1, t.rin1, t.aopdet2, frm, to, marks=marks)
     rows = account_segment(fact, t.ocrd_ext, t.odrs, special_item_set(t.item_masterh))
     return incidental_zeroing(asof_rep_assignment(rows, t.bpslp)).select(
         "docentry", "docdate", "labno", "linenum", "itemcode", "whscode", "slpcode", "groupcode", "bpcode", "bpname",

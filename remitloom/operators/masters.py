@@ -12,7 +12,7 @@ from ..functions.dates import OPEN_END, day
 from ..functions.money import or_zero, total
 from ..functions.text import holds, labelled, optional, optional_contains, or_blank
 from .commission import NO_REP, NO_REP_NAME
-from .keyed import insert_if_absent, keyed_update, number_rows
+from .keyed import insert_if_absent, keyed_update, number_rows, unique_batch
 
 # Defaults and names the masters use.
 DEFAULT_PRICE_LEVEL = 3
@@ -27,18 +27,20 @@ class Retag(NamedTuple):
     tags: DataFrame
     clinicians: DataFrame
     payees: DataFrame
-    log: DataFrame
+    changes: DataFrame
 
 
-def rep_retag_scd2(tags: DataFrame, clinicians: DataFrame, payees: DataFrame, batch: DataFrame, as_of,
-                   last_log: int = 0) -> Retag:
+def rep_retag_scd2(tags: DataFrame, clinicians: DataFrame, payees: DataFrame, batch: DataFrame, as_of) -> Retag:
     """Give clinicians a new rep from a date (batch: dcode, dname, slpcode, taggeddate).
 
     Tagged by the 15th, the new interval starts in the tagged month and the old
     one ends the day before.  Later, the old one ends with the tagged month and
     the new one starts in the month after ``as_of``.  A clinician whose open
-    interval already names the rep is left alone.
+    interval already names the rep is left alone.  A clinician named twice ends
+    the job.  ``changes`` are the rows that ``retag_log`` numbers.
     """
+    values = [c for c in batch.columns if c != "dcode"]
+    batch = unique_batch(batch, ["dcode"]).where("_hit").select("dcode", *[F.col(f"new_{c}").alias(c) for c in values])
     early = F.dayofmonth("taggeddate") <= 15
     first = F.trunc("taggeddate", "MM")
     wanted = batch.select(
@@ -57,14 +59,20 @@ def rep_retag_scd2(tags: DataFrame, clinicians: DataFrame, payees: DataFrame, ba
         day(OPEN_END).alias("edate"))
     who = todo.select(F.col("bpcode").alias("dcode"), F.col("new_rep").alias("slpcode"))
     before = current.groupBy("bpcode").agg(F.max("slpcode").alias("prev_rep"))
-    log = number_rows(todo.join(before, "bpcode", "left").select(
-        F.col("bpcode").alias("cardcode"), F.col("prev_rep").alias("from_rep"), F.col("new_rep").alias("to_rep"),
-        day(as_of).alias("modifydate"), F.lit("ODRS").alias("tbl")), ["cardcode"], "_n")
+    changes = todo.join(before, "bpcode", "left").select(
+        F.col("bpcode").alias("cardcode"), F.col("prev_rep").alias("from_rep"), F.col("new_rep").alias("to_rep"), F.lit("").alias("recom"),
+        day(as_of).alias("modifydate"), F.col("new_rep").alias("remarks"), day(as_of).alias("effdate"), F.lit("").alias("updatedby"),
+        F.lit("ODRS").alias("tbl"))
     return Retag(
         closed.unionByName(opened, allowMissingColumns=True),
         keyed_update(clinicians, who, ["dcode"], {"slpcode": "slpcode"}),
         keyed_update(payees, who.withColumnRenamed("dcode", "pid"), ["pid"], {"slpcode": "slpcode"}),
-        log.withColumn("docentry", F.col("_n") + F.lit(last_log)).drop("_n"))
+        changes)
+
+
+def retag_log(changes: DataFrame, last_log: int = 0) -> DataFrame:
+    """Log rows of a retag, numbered on from the last one of the log.  Numbering sorts and writes the rows."""
+    return number_rows(changes, ["cardcode"], "_n").withColumn("docentry", F.col("_n") + F.lit(last_log)).drop("_n")
 
 
 def rep_tag_history(clinicians: DataFrame, tags: DataFrame, reps: DataFrame, code=None) -> DataFrame:

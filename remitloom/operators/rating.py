@@ -47,7 +47,8 @@ def rebate_eligible_lines(oinv: DataFrame, inv1: DataFrame, ocrd_ext: DataFrame,
     """Invoice lines that may earn a rebate, with the account and branch facts rating needs.
 
     Either one run (``frm``, ``to``, ``gen_id``) or many (``runs``).  Lines in
-    ``ledger`` were rated before and are skipped.
+    ``ledger`` were rated before and are skipped; only its lines of the run's
+    invoices are compared.
     """
     heads = oinv.select("docentry", "cardcode", "cardname", "recondate", "docdate", F.col("whscode").alias("h_whs"),
                         "pmode")
@@ -66,9 +67,18 @@ def rebate_eligible_lines(oinv: DataFrame, inv1: DataFrame, ocrd_ext: DataFrame,
     ).select("docentry", "linenum", "whscode", "itemcode", F.rtrim("u_labno").alias("u_labno"),
              F.rtrim("u_doctorcode").alias("u_doctorcode"), F.rtrim(or_blank("u_packageno")).alias("u_packageno"),
              "linetotal", "u_paymenttyp")
-    if ledger is not None:
-        lines = lines.join(ledger.select("docentry", "linenum"), ["docentry", "linenum"], "left_anti")
-    return lines.join(heads, "docentry")
+    rows = lines.join(heads, "docentry")
+    if ledger is None:
+        return rows
+    rated = of_documents(ledger.select("docentry", "linenum"), heads)
+    return rows.join(rated, ["docentry", "linenum"], "left_anti")
+
+
+def of_documents(rows: DataFrame, heads: DataFrame | None, key: str = "docentry") -> DataFrame:
+    """The rows of the documents in ``heads``; all rows without it."""
+    if heads is None:
+        return rows
+    return rows.join(heads.select(F.col("docentry").alias(key)), key, "left_semi")
 
 
 def special_test_set(item_h: DataFrame, spcl_inhouse: DataFrame) -> DataFrame:
@@ -143,9 +153,9 @@ def _stored(value: Column, scale: int) -> Column:
     return cut.cast(f"decimal(18,{scale})")
 
 
-def linked_credits(lines: DataFrame, rin1: DataFrame, scale: int = 0) -> DataFrame:
-    """Add ``cm_l``: credits that name the invoice line."""
-    linked = rin1.where("baseline is not null").groupBy(
+def linked_credits(lines: DataFrame, rin1: DataFrame, scale: int = 0, heads: DataFrame | None = None) -> DataFrame:
+    """Add ``cm_l``: credits that name the invoice line; with ``heads``, only those of its documents are summed."""
+    linked = of_documents(rin1.where("baseline is not null"), heads, "baseref").groupBy(
         F.col("baseref").alias("docentry"), F.col("baseline").alias("linenum")).agg(
         _stored(F.sum("linetotal"), scale).alias("cm_l"))
     return lines.join(linked, ["docentry", "linenum"], "left")
@@ -166,9 +176,11 @@ def credit_memo_net(lines: DataFrame, rin1: DataFrame, scale: int = 0) -> DataFr
 
 
 def installment_paid(lines: DataFrame, aopdet2: DataFrame, jdt1: DataFrame, oact: DataFrame, rct2: DataFrame,
-                     orct: DataFrame, scale: int = 0) -> DataFrame:
+                     orct: DataFrame, scale: int = 0, heads: DataFrame | None = None) -> DataFrame:
     """Add ``ip``: installments of the line received on revenue accounts and not cancelled.
 
+    With ``heads``, only receipts and installments of its documents are read into the sums.
+
     Receipts are reduced to distinct (receipt, invoice) pairs, then only filter
     the installments; the line table joins the finished sums once.
     """
@@ -177,9 +189,9 @@ def installment_paid(lines: DataFrame, aopdet2: DataFrame, jdt1: DataFrame, oact
               .join(revenue, F.col("account") == F.col("acctcode"), "left_semi")
               .select(F.col("baseref").alias("docnum")))
     valid = orct.where("canceled = 'N'").select("docnum")
-    receipts = (rct2.select("docnum", "docentry").join(booked, "docnum", "left_semi")
+    receipts = (of_documents(rct2.select("docnum", "docentry"), heads).join(booked, "docnum", "left_semi")
                 .join(valid, "docnum", "left_semi"))
-    paid = aopdet2.join(receipts, ["docentry", "docnum"], "left_semi").groupBy("docentry", "linenum").agg(
+    paid = of_documents(aopdet2, heads).join(receipts, ["docentry", "docnum"], "left_semi").groupBy("docentry", "linenum").agg(
         _stored(F.sum("linetotal"), scale).alias("ip_sum"))
     return lines.join(paid, ["docentry", "linenum"], "left").withColumn(
         "ip", F.coalesce(F.col("ip_sum"), F.lit(0).cast(f"decimal(18,{scale})"))).drop("ip_sum")
@@ -265,8 +277,9 @@ def rated_lines(t, frm=None, to=None, gen_id=None, runs=None, ledger=None, scale
     """
     lines = rebate_eligible_lines(t.oinv, t.inv1, t.ocrd_ext, t.ocrd, t.rac_rebprclvlmntnce, frm, to, ledger, runs,
                                   gen_id)
-    lines = installment_paid(lines, t.aopdet2, t.jdt1, t.oact, t.rct2, t.orct, scale)
-    lines = rebate_exclusions(linked_credits(lines, t.rin1, scale), t.rb_norebate)
+    heads = None if runs is not None else t.oinv.where(F.col("recondate").between(day(frm), day(to))).select("docentry")
+    lines = installment_paid(lines, t.aopdet2, t.jdt1, t.oact, t.rct2, t.orct, scale, heads)
+    lines = rebate_exclusions(linked_credits(lines, t.rin1, scale, heads), t.rb_norebate)
     lines = rate_combination_key(lines, special_test_set(t.item_masterh, t.spclinhouse), t.item_masterh,
                                  inhouse_rates(t.spclinhouse, scale))
     lines = net_positive_filter(loose_credits(lines, t.rin1, scale), scale)

@@ -83,29 +83,34 @@ def payee_rebates(details: DataFrame, payees: DataFrame, reps: DataFrame, gen_id
 class Posting(NamedTuple):
     headers: DataFrame
     lines: DataFrame
+    runs: DataFrame | None = None
 
 
-def _headers(lines: DataFrame, tran_date) -> DataFrame:
+def _headers(lines: DataFrame, tran_date, as_of) -> DataFrame:
     return lines.groupBy("pid", "iscrosscheck", "slpcode", "genid").agg(
         total("linetotal").alias("payment")).select(
-        "pid", "payment", F.coalesce("iscrosscheck", F.lit(0)).alias("iscrosscheq"), day(tran_date).alias("trandate"),
+        "pid", "payment", F.coalesce("iscrosscheck", F.lit(0)).alias("iscrosscheq"), day(tran_date if as_of is None else as_of).alias("recdate"),
+        day(tran_date).alias("trandate"),
         "slpcode", F.lit(PENDING).alias("stat"), "genid")
 
 
 def cheque_post(details: DataFrame, payees: DataFrame, tran_date, gen_id: int | None = None,
-                branches=None) -> Posting:
-    """Approved details as cheque headers per payee and cheque lines per branch."""
+                branches=None, as_of=None) -> Posting:
+    """Approved details as cheque headers per payee and cheque lines per branch, recorded on ``as_of``."""
     rows = only_branches(optional(details, genid=gen_id), branches).where(F.coalesce("stat", F.lit(OPEN)) == APPROVED)
     sums = rows.groupBy("genid", F.col("u_paycode").alias("pid"), "whscode", "isforpayment").agg(
         total("rebatesamnt").alias("linetotal"))
     who = active_payees(payees).select("pid", "iscrosscheck", "slpcode")
-    return Posting(_headers(sums.join(who, "pid", "left"), tran_date),
+    return Posting(_headers(sums.join(who, "pid", "left"), tran_date, as_of),
                    sums.select("pid", "linetotal", "whscode", "genid"))
 
 
-def cheque_post_run(rebates: DataFrame, payees: DataFrame, tran_date, dedupe: bool = True) -> Posting:
+def cheque_post_run(rebates: DataFrame, payees: DataFrame, tran_date, dedupe: bool = True, as_of=None,
+                    runs: DataFrame | None = None) -> Posting:
     """Posting from reviewed totals: approved, payable and not zero, aged amounts included.
 
+    ``runs``, if given, come back with ``as_of`` as the payment date of every run in ``rebates``.
+
     ``dedupe=False`` keeps every payee row, so a payee listed twice is counted
     twice, as stored results of the old process were.
     """
@@ -115,13 +120,16 @@ def cheque_post_run(rebates: DataFrame, payees: DataFrame, tran_date, dedupe: bo
     who = payees.select("pid", "iscrosscheck")
     if dedupe:
         who = who.groupBy("pid").agg(F.max("iscrosscheck").alias("iscrosscheck"))
-    return Posting(_headers(lines.join(who, "pid", "left"), tran_date),
-                   lines.select("pid", "linetotal", "whscode", "genid"))
+    dated = None if runs is None else date_runs(runs, rebates.select("genid"), tran_date if as_of is None else as_of)
+    return Posting(_headers(lines.join(who, "pid", "left"), tran_date, as_of),
+                   lines.select("pid", "linetotal", "whscode", "genid"), dated)
 
 
-def date_run(runs: DataFrame, gen_id: int, as_of) -> DataFrame:
-    """Runs with the payment date set on one of them."""
-    return runs.withColumn("paymentdate", F.when(F.col("genid") == gen_id, day(as_of)).otherwise(F.col("paymentdate")))
+def date_runs(runs: DataFrame, posted: DataFrame, as_of) -> DataFrame:
+    """Runs with the payment date set where ``posted`` names the run."""
+    known = posted.select("genid").distinct().withColumn("_posted", F.lit(True))
+    return runs.join(known, "genid", "left").select(*[
+        F.when(F.col("_posted"), day(as_of)).otherwise(F.col(c)).alias(c) if c == "paymentdate" else F.col(c) for c in runs.columns])
 
 
 def rebate_status_update(details: DataFrame, batch: DataFrame, keys: list[str],

@@ -60,15 +60,23 @@ def posted(t):
 
 
 register("cheque_post", lambda t: posted(t).headers,
-         f"""select l.pid, {sum2('l.linetotal')} payment, coalesce(p.iscrosscheck, 0) iscrosscheq, date '2002-02-01' trandate, p.slpcode, 3 stat,
+         f"""select l.pid, {sum2('l.linetotal')} payment, coalesce(p.iscrosscheck, 0) iscrosscheq, date '2002-02-01' recdate, date '2002-02-01' trandate, p.slpcode, 3 stat,
          l.genid from {_POST} l left join st_active p on p.pid = l.pid group by l.pid, p.iscrosscheck, p.slpcode, l.genid""")
 register("cheque_post_lines", lambda t: posted(t).lines, f"select pid, linetotal, whscode, genid from {_POST}")
-register("cheque_post_run", lambda t: r.cheque_post_run(reviewed(t), t.rb_payees, "2002-02-01").headers,
-         f"""select x.u_paycode pid, {sum2('x.actualreb + x.agingreb')} payment, coalesce(p.c, 0) iscrosscheq, date '2002-02-01' trandate,
+register("cheque_post_run", lambda t: r.cheque_post_run(reviewed(t), t.rb_payees, "2002-02-01", as_of="2002-02-03").headers,
+         f"""select x.u_paycode pid, {sum2('x.actualreb + x.agingreb')} payment, coalesce(p.c, 0) iscrosscheq, date '2002-02-03' recdate, date '2002-02-01' trandate,
          x.slpcode, 3 stat, x.genid from {_REVIEWED} x left join (select pid, max(iscrosscheck) c from fx_payees group by 1) p on p.pid = x.u_paycode
          where x.status = 1 and x.isforpayment = 1 and x.actualreb + x.agingreb <> 0 group by x.u_paycode, p.c, x.slpcode, x.genid""")
 
 
+register("cheque_post_run_lines", lambda t: r.cheque_post_run(reviewed(t), t.rb_payees, "2002-02-01").lines,
+         f"""select u_paycode pid, cast(actualreb + agingreb as decimal(18,2)) linetotal, whscode, genid from {_REVIEWED}
+         where status = 1 and isforpayment = 1 and actualreb + agingreb <> 0""")
+register("cheque_post_run_dated", lambda t: r.cheque_post_run(reviewed(t), t.rb_payees, "2002-02-01", as_of="2002-02-03", runs=t.soadate).runs.select("genid", "fdate", "tdate", "paymentdate"),
+         f"""select genid, fdate, tdate, case when exists (select 1 from {_REVIEWED} x where x.genid = r.genid) then date '2002-02-03' else paymentdate end paymentdate
+         from fx_soadate r""")
+
+
 def posted_with_identity(t):
     """Posted headers appended to the cheque table; their record ids continue after the highest one."""
     batch = posted(t).headers.select("pid", "payment", "iscrosscheq", "trandate", "slpcode", "stat", "genid")

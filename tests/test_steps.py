@@ -169,7 +169,7 @@ def test_retag_by_day_of_month(frame, tagged, start, closed):
     out = masters.rep_retag_scd2(tags, docs, payees, batch, "2020-05-20")
     assert rows(out.tags.where("bpcode = 'D1'"), "slpcode", "sdate", "edate") == [
         ("7", DAY(2019, 1, 1), closed), ("8", start, DAY(2099, 12, 31))]
-    assert out.tags.where("bpcode = 'D2'").count() == 1 and out.log.count() == 1
+    assert out.tags.where("bpcode = 'D2'").count() == 1 and out.changes.count() == 1
     assert rows(out.clinicians, "dcode", "slpcode") == [("D1", "8"), ("D2", "7")] and rows(out.payees, "slpcode") == [("8",)]
 
 
