@@ -132,18 +132,22 @@ def rare_shingle_pairs(crowded: DataFrame, sets: DataFrame, num: int, den: int)
     """Pairs among unconnected classes of large buckets that share one of their rarest shingles.
 
     Two sets that reach num / den share one of the first n - ceil(num / den * n) + 1 shingles of each, whatever the common
-    order; rarest first makes the lists short.  ``crowded``: (doc_id, part), part: the component so far.
+    order; rarest first makes the lists short.  Behind the first shared one, at places i and j, at most the rest of the
+    shorter list can be shared too, which rules out most pairs.  ``crowded``: (doc_id, part), part: the component so far.
     """
     items = freeze(sets.join(crowded, "doc_id").select("doc_id", "part", F.size("items").alias("n"), F.explode("items").alias("item")), "crowded")
     counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     ordered = items.join(counts, "item", "left").groupBy("doc_id", "part", "n").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "item"))).alias("list"))
     length = F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9) + 1
-    heads = freeze(ordered.select("doc_id", "part", "n", F.explode(F.slice("list", F.lit(1), length.cast("int"))).alias("x")).where(
-        "x.c > 1").select("doc_id", "part", "n", "x.item"), "heads")
-    other = heads.select(F.col("doc_id").alias("b"), F.col("part").alias("_part"), F.col("n").alias("_n"), "item")
+    heads = ordered.select("doc_id", "part", "n", F.posexplode(F.slice("list", F.lit(1), length.cast("int"))).alias("i", "x")).where("x.c > 1")
+    # a list whose places up to i hold that many unshared shingles has n - i left
+    heads = freeze(heads.select("doc_id", "part", "n", (F.col("n") - F.col("i")).alias("left"), "x.item").where(
+        den * F.col("left") >= num * F.col("n")), "heads")
+    other = heads.select(F.col("doc_id").alias("b"), F.col("part").alias("_part"), F.col("n").alias("_n"), F.col("left").alias("_left"), "item")
     return heads.withColumnRenamed("doc_id", "a").join(other, "item").where(
-        (F.col("a") < F.col("b")) & (F.col("part") != F.col("_part")) & (num * F.greatest("n", "_n") <= den * F.least("n", "_n"))).select("a", "b").distinct()
+        (F.col("a") < F.col("b")) & (F.col("part") != F.col("_part")) & (num * F.greatest("n", "_n") <= den * F.least("n", "_n"))
+        & ((num + den) * F.least("left", "_left") >= num * (F.col("n") + F.col("_n")))).select("a", "b").distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -201,4 +205,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents without those that another one stands for; rows are otherwise untouched."""
     gone = freeze(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs["doc_id"] == gone["_gone"], "left_anti")
