@@ -7,9 +7,10 @@ binomial bound says that it rejects more than ``alpha`` of the good documents
 only with a probability of ``delta`` over all rules and strata together.  That
 probability is shared among rules and strata; within one of them the cutoffs
 are tested in a fixed order and the first that fails ends the row, which needs
-no further correction.  Of the certified cutoffs the one that separates the
-labelled good and bad documents best is used, ties to the more lenient one; if
-none is certified, the rule rejects nothing in that stratum.
+no further correction.  Of the certified cutoffs the one that best separates
+the labelled good and bad documents that earlier rules leave is used, ties to
+the more lenient one; if none is certified or none helps, the rule rejects
+nothing in that stratum.
 
 Everything is SQL functions over arrays of words.
 
@@ -103,26 +104,39 @@ def most_failures_allowed(n: Column, alpha: float, delta: float) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.ceil(n * alpha).cast("int")), start, step)["k"]
 
 
-def certified_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """(stratum, rule, cutoff) for every stratum and rule with a certified cutoff; at most one row each.
+def certified_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float, delta: float) -> dict[str, dict[int, float]]:
+    """For each rule, stratum -> cutoff, where one is certified and useful: one number for each rule and stratum at most.
 
-    ``stats``: doc_id and the columns of ``statistics``; ``labels``: doc_id and quality.
-    Only documents that the base rule leaves are judged, as only they meet the rules.
+    ``stats``: doc_id and the columns of ``statistics``; ``labels``: doc_id and quality.  Only documents that the base
+    rule leaves are judged, as only they meet the rules.  Every test counts all of them; what a cutoff is worth counts
+    only those that the rules before do not reject already.
     """
-    marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_good"))
-    values = F.array(*[F.struct(F.lit(k).alias("rule"), F.expr(v).alias("value")) for k, v in RULES.items()])
-    judged = stats.where(~base_failed()).join(marked, "doc_id").select("_good", stratum().alias("stratum"), F.explode(values).alias("_v"))
-    tried = judged.select("_good", "stratum", "_v.rule", F.explode(F.transform(
-        F.array(*[F.lit(c) for c in CUTOFFS]), lambda c: F.struct(c.alias("cutoff"), (F.col("_v.value") > c).cast("int").alias("out")))).alias("_c"))
-    counted = tried.groupBy("stratum", "rule", "_c.cutoff").agg(
-        F.sum((F.col("_good") == 1).cast("int")).cast("int").alias("good"), F.sum(F.col("_c.out") * (F.col("_good") == 1).cast("int")).alias("good_out"),
-        F.sum((F.col("_good") != 1).cast("int")).alias("bad"), F.sum(F.col("_c.out") * (F.col("_good") != 1).cast("int")).alias("bad_out"))
-    tests = len(RULES) * len(STRATA)
-    passed = counted.withColumn("passed", (F.col("good") > 0) & (F.col("good_out") <= most_failures_allowed(F.col("good"), alpha, delta / tests)))
-    rows = passed.groupBy("stratum", "rule").agg(F.max(F.when(~F.col("passed"), F.col("cutoff"))).alias("failed_at"), F.collect_list(
-        F.struct(F.expr("bad_out / greatest(bad, 1) - good_out / greatest(good, 1)").alias("gain"), "cutoff", "bad_out", "passed")).alias("row"))
-    ok = F.filter("row", lambda x: x["passed"] & (x["bad_out"] > 0) & (F.col("failed_at").isNull() | (x["cutoff"] > F.col("failed_at"))))
-    return rows.select("stratum", "rule", F.array_max(ok)["cutoff"].alias("cutoff")).where("cutoff is not null")
+    marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    rows = freeze(stats.where(~base_failed()).join(marked, "doc_id").select(
+        "good", stratum().alias("stratum"), *[F.expr(v).alias(k) for k, v in RULES.items()]), "rule-labels")
+    tests, chosen, caught = len(RULES) * len(STRATA), {}, F.lit(False)
+    for rule in RULES:
+        tried = rows.select("good", "stratum", caught.alias("caught"), F.col(rule).alias("value"), F.explode(F.array(*[F.lit(c) for c in CUTOFFS])).alias("cutoff"))
+        out, count = F.col("value") > F.col("cutoff"), lambda c: F.sum(c.cast("int")).cast("int")
+        counted = tried.groupBy("stratum", "cutoff").agg(
+            count(F.col("good")).alias("good"), count(~F.col("good")).alias("bad"), count(out & F.col("good")).alias("good_out"),
+            count(out & F.col("good") & ~F.col("caught")).alias("good_new"), count(out & ~F.col("good") & ~F.col("caught")).alias("bad_new"))
+        passed = counted.withColumn("passed", (F.col("good") > 0) & (F.col("good_out") <= most_failures_allowed(F.col("good"), alpha, delta / tests)))
+        by_stratum = passed.groupBy("stratum").agg(F.max(F.when(~F.col("passed"), F.col("cutoff"))).alias("failed_at"), F.collect_list(F.struct(
+            F.expr("bad_new / greatest(bad, 1) - good_new / greatest(good, 1)").alias("gain"), "cutoff", "passed")).alias("row"))
+        useful = F.filter("row", lambda x: x["passed"] & (x["gain"] > 0) & (F.col("failed_at").isNull() | (x["cutoff"] > F.col("failed_at"))))
+        chosen[rule] = {r["stratum"]: r["cutoff"] for r in by_stratum.select("stratum", F.array_max(useful)["cutoff"].alias("cutoff")).where(
+            "cutoff is not null").collect()}
+        caught = caught | breaks(F.col("stratum"), F.col(rule), chosen[rule])
+    return chosen
+
+
+def breaks(own: Column, value: Column, cutoffs: dict[int, float]) -> Column:
+    """Whether a value is above the cutoff of its stratum."""
+    limit = F.lit(None).cast("double")
+    for k, cutoff in cutoffs.items():
+        limit = F.when(own == k, F.lit(cutoff)).otherwise(limit)
+    return F.coalesce(value > limit, F.lit(False))
 
 
 def judged(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, keep_text: bool = False) -> DataFrame:
@@ -132,11 +146,9 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float
     rule in any stratum breaks that promise.  The statistics are frozen, with the documents' own columns if ``keep_text``.
     """
     stats = freeze(statistics(docs if keep_text else docs.select("doc_id", "text")).drop(*[] if keep_text else ["text"]), "rule-statistics")
-    cutoffs = freeze(certified_cutoffs(stats, labels, alpha, delta), "rule-cutoffs")  # one row per stratum and rule at most
-    by_stratum = cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
-    broken = F.array_compact(F.array(*[F.when(F.expr(v) > F.col("_cutoffs")[k], F.lit(k)) for k, v in RULES.items()]))
-    joined = stats.withColumn("_own", stratum()).join(F.broadcast(by_stratum), F.col("_own") == F.col("_stratum"), "left")
-    return joined.select(*stats.columns, base_failed().alias("base_failed"), broken.alias("broken")).withColumn(
+    cutoffs = certified_cutoffs(stats, labels, alpha, delta)
+    broken = F.array_compact(F.array(*[F.when(breaks(stratum(), F.expr(v), cutoffs[k]), F.lit(k)) for k, v in RULES.items()]))
+    return stats.select("*", base_failed().alias("base_failed"), broken.alias("broken")).withColumn(
         "kept", ~F.col("base_failed") & (F.size("broken") == 0))
 
 
