@@ -66,7 +66,8 @@ def dropped_bitmaps(docs: DataFrame, min_docs: int, min_chars: int = 1, policy:
     lines = freeze(hashed_lines(docs, min_chars), "lines")
     frequent = first_occurrences(lines).groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("_docs"), F.min(F.struct("doc_id", "first")).alias("_first")).where(F.col("_docs") >= min_docs)
-    keys = frequent.select(F.col("h1").alias("_k1"), F.col("h2").alias("_k2"), "_first")
+    # written, so that its true size decides the join, and a key with very many lines can be split over tasks
+    keys = freeze(frequent.select(F.col("h1").alias("_k1"), F.col("h2").alias("_k2"), "_first"), "frequent")
     hit = lines.join(keys, (F.col("h1") == F.col("_k1")) & (F.col("h2") == F.col("_k2")))
     if policy == "later":
         hit = hit.where(~(F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & F.struct("pos", "text_id").eqNullSafe(F.col("_first.first"))))
