@@ -11,7 +11,7 @@ nothing is settled by the second pass, which groups the remaining windows
 by a 96-bit hash of their words, in one move.
 
 The merged sketch is kept as one bit per counter, "two or more", and has a
-fixed size (``SLICES * 2 * CELLS`` bits, 16 MB), which is what is broadcast.
+fixed size (``SLICES * DEPTH * CELLS`` bits, 25 MB), which is what is broadcast.
 In a corpus that overfills it more windows reach the exact pass; none is lost.
 
 Defined cases: a null or blank text has no words; a text shorter than a window
@@ -26,13 +26,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
 from .scratch import freeze, map_arrow
 
-SLICES, CELLS, DEPTH = 64, 1 << 20, 2
+SLICES, CELLS, DEPTH = 64, 1 << 20, 3
 #: Cells in one row of a task's sketch.
 PIECE = 8192
 
@@ -175,14 +176,16 @@ def repeated_places(windows: DataFrame) -> DataFrame:
     The windows are moved once: range-partitioned by hash and document, so one that very many documents have spreads over
     many partitions, and sorted within.  The first row of a hash then has its least document.  Only of a partition's
     first hash the least one may lie in partitions before; those rows wait for it, and every partition tells the least
-    document of its last hash.
+    document of its first and last hash.  These two rows a partition are all that the driver sees; it answers with one
+    least document for each partition.
     """
     n = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = windows.repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
     names = ["kind", "h1", "h2", "doc_id", "place"]
 
     def run(batches):
-        first = key = least = None
+        first = key = least = first_least = None
+        part = TaskContext.get().partitionId()
 
         def rows(kind, h1, h2, doc, place):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *map(pa.array, (h1, h2, doc, place))], names)
@@ -202,15 +205,23 @@ def repeated_places(windows: DataFrame) -> DataFrame:
             hits = ~waits & (doc > leasts)
             yield rows(0, np.zeros(hits.sum(), np.int64), np.zeros(hits.sum(), np.int32), doc[hits], place[hits])
             if waits.any():
-                yield rows(1, h1[waits], h2[waits], doc[waits], place[waits])
+                first_least = doc[0] if first_least is None else first_least
+                yield rows(1, np.zeros(waits.sum(), np.int64), np.full(waits.sum(), part, np.int32), doc[waits], place[waits])
             key, least = (h1[-1], h2[-1]), leasts[-1]
-        if key is not None and key != first:
-            yield rows(2, np.array([key[0]]), np.array([key[1]]), np.array([least]), np.zeros(1, np.int64))
+        if key is not None:
+            told_ = ((*first, first_least), (*key, least))
+            yield rows(2, *(np.array([t[k] for t in told_]) for k in range(3)), np.full(2, part, np.int64))
 
     told = freeze(map_arrow(ordered, run, "kind int, h1 long, h2 int, doc_id long, place long"), "told")
-    edge = told.where("kind > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("_least"))
-    late = told.where("kind = 1").join(edge, ["h1", "h2"]).where("doc_id > _least")
-    return told.where("kind = 0").select("doc_id", "place").union(late.select("doc_id", "place"))
+    edges = told.where("kind = 2").collect()  # two rows a partition: its first hash, its last
+    least_of = {}
+    for r in edges:
+        least_of[r.h1, r.h2] = min(r.doc_id, least_of.get((r.h1, r.h2), r.doc_id))
+    leasts = [None] * (1 + max([r.place for r in edges], default=0))
+    for r in sorted(edges, key=lambda r: (r.place, r.h1, r.h2), reverse=True):
+        leasts[r.place] = least_of[r.h1, r.h2]  # of its first hash, which sorts before its last
+    known = F.get(F.array(*[F.lit(x).cast("long") for x in leasts]), F.col("h2"))
+    return told.where((F.col("kind") == 0) | ((F.col("kind") == 1) & (F.col("doc_id") > known))).select("doc_id", "place")
 
 
 def without_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
@@ -221,10 +232,13 @@ def without_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(merged_sketch(docs, size))
     candidates = freeze(candidate_windows(docs, size, sketch), "windows")
+    first = F.col("place").bitwiseAND(0xFFFFFFFF)
+    if candidates.where("digest is null").groupBy("doc_id").count().where("count > 1").isEmpty():  # no id has two texts: places need no tag
+        candidates = candidates.withColumn("tag", F.lit(0).cast("long")).withColumn("place", F.transform("place", lambda p: p.bitwiseAND(0xFFFFFFFF)))
     windows = candidates.where("digest is null").select("doc_id", F.explode(F.arrays_zip("h1", "h2", "place")).alias("w")).select(
         "doc_id", "w.h1", "w.h2", "w.place")
     gone = repeated_places(windows).groupBy(F.col("doc_id").alias("_doc"), F.shiftright("place", 32).alias("_tag")).agg(
-        F.collect_list(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")).alias("gone"))
+        F.collect_list(first.cast("int")).alias("gone"))
     touched = candidates.where("digest is null").select("doc_id", "n_words", "tag", "raw").join(
         gone, (F.col("doc_id") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left").select("doc_id", "n_words", "raw", "gone")
 
