@@ -306,9 +306,13 @@ def rebate_details(t, **params) -> DataFrame:
 
 def incremental_line_marking(details: DataFrame, ledger: DataFrame) -> DataFrame:
     """The ledger of rated lines, extended by the lines that now have a detail."""
-    fresh = details.groupBy("docentry", "linenum").agg(F.min("genid").alias("genid")).join(
+    return ledger.select("docentry", "linenum", "genid").unionByName(new_marks(details, ledger))
+
+
+def new_marks(details: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The lines that now have a detail and are not in the ledger yet: what an append adds to it."""
+    return details.groupBy("docentry", "linenum").agg(F.min("genid").alias("genid")).join(
         ledger.select("docentry", "linenum"), ["docentry", "linenum"], "left_anti")
-    return ledger.select("docentry", "linenum", "genid").unionByName(fresh)
 
 
 class Generation(NamedTuple):

@@ -132,6 +132,11 @@ def date_runs(runs: DataFrame, posted: DataFrame, as_of) -> DataFrame:
         F.when(F.col("_posted"), day(as_of)).otherwise(F.col(c)).alias(c) if c == "paymentdate" else F.col(c) for c in runs.columns])
 
 
+def of_runs(details: DataFrame, batch: DataFrame) -> DataFrame:
+    """The details of the runs that a batch names; a change of those is written back by partition."""
+    return details.join(batch.select("genid").distinct(), "genid", "left_semi")
+
+
 def rebate_status_update(details: DataFrame, batch: DataFrame, keys: list[str],
                          assignments: dict[str, str | Column], only: Column | None = None) -> DataFrame:
     """Details with states set where the row matches the batch (and satisfies ``only``)."""

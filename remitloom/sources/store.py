@@ -97,6 +97,20 @@ def save(df: DataFrame, path: str, partition_by: str | None = None, mode: str =
     writer.parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: str) -> None:
+    """Overwrite only the partitions that ``df`` has rows of; the files of all others stay as they are.
+
+    ``df`` may read from ``path``.  A partition that is to end empty has no rows here: drop it.
+    """
+    df.hint("rebalance", partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+
+
+def drop_partition(spark: SparkSession, path: str, partition_by: str, value) -> bool:
+    """Remove one partition of a stored table; false if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition_by}={value}")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Add rows to a stored table."""
     save(df, path, partition_by, mode="append")

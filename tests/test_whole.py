@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from remitloom.operators import aging, budget, cheques, commission, keyed, masters, rating, review
+from remitloom.sources import store
 from remitloom.sources.bindings import bind
 
 SF = "/root/testdata/sf0.001"
@@ -82,6 +83,29 @@ def test_posting_dates_its_runs(frame):
     assert {r.genid: r.paymentdate for r in dated.collect()} == {1: None, 2: dt.date(2020, 3, 4)}
 
 
+def test_a_change_touches_only_its_runs(spark, tmp_path):
+    path = str(tmp_path / "details")
+    rows = spark.range(40).selectExpr("id", "cast(id % 4 as int) as genid", "'P' as u_paycode", "0 as stat")
+    store.save(rows, path, partition_by="genid")
+    files = lambda g: {p.name for p in (tmp_path / "details" / f"genid={g}").glob("part-*")}
+    before = {g: files(g) for g in range(4)}
+    details = spark.read.parquet(path)
+    batch = spark.createDataFrame([(2, "P")], "genid int, u_paycode string")
+    changed = review.rebate_status_update(review.of_runs(details, batch), batch, ["genid", "u_paycode"], {"stat": F.lit(1)})
+    store.replace_partitions(changed.select(*details.columns), path, "genid")
+    assert {g for g in range(4) if files(g) != before[g]} == {2}
+    assert {(r.genid, r.stat) for r in spark.read.parquet(path).collect()} == {(0, 0), (1, 0), (2, 1), (3, 0)}
+    assert store.drop_partition(spark, path, "genid", 1) and not store.drop_partition(spark, path, "genid", 9)
+    assert spark.read.parquet(path).count() == 30 and files(0) == before[0]
+
+
+def test_marks_to_append(frame):
+    details = frame([(1, 1, 9), (1, 1, 9), (1, 2, 9), (2, 1, 9)], "docentry long, linenum int, genid int")
+    ledger = frame([(1, 1, 3)], "docentry long, linenum int, genid int")
+    assert sorted(map(tuple, rating.new_marks(details, ledger).collect())) == [(1, 2, 9), (2, 1, 9)]
+    assert rating.incremental_line_marking(details, ledger).count() == 3
+
+
 @pytest.fixture
 def no_broadcast(spark):
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
