@@ -39,6 +39,8 @@ from .scratch import freeze, map_arrow
 SMALL_BUCKET = 40
 #: Candidate ids that are broadcast to the second reading of the texts; above, both sides are shuffled.
 BROADCAST_IDS = 2_000_000
+#: Counters of how common shingles of large buckets are, and the slices in which they are added up.
+CELLS, SLICES = 1 << 20, 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -128,22 +130,63 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         den * common >= num * (F.size("_a") + F.size("_b") - common)).select("a", "b")
 
 
+def shingle_weights(sets: DataFrame) -> np.ndarray:
+    """How many of the sets hold each shingle, at least: a counter for each of ``CELLS`` hash values, added up slice by slice."""
+    width = CELLS // SLICES
+
+    def count(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            total += np.bincount(cell(batch.column("items").flatten().to_numpy().view(np.uint64)), minlength=CELLS)
+        for k in range(SLICES):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k * width:(k + 1) * width].tobytes()], pa.binary())], ["slice", "part"])
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[k] = sums.get(k, 0) + np.frombuffer(part.as_buffer(), np.int64)
+        for k, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "part"])
+
+    weights = np.zeros((SLICES, width), np.int64)
+    parts = map_arrow(map_arrow(sets.select("items"), count, "slice int, part binary").repartition(SLICES, "slice"), add, "slice int, part binary")
+    for row in parts.collect():  # SLICES rows of fixed size
+        weights[row["slice"]] = np.frombuffer(row["part"], np.int64)
+    return weights.reshape(-1)
+
+
+def cell(items: np.ndarray) -> np.ndarray:
+    return (A.mix(items, 900) % A.U(CELLS)).astype(np.int64)
+
+
 def rare_shingle_pairs(crowded: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs among unconnected classes of large buckets that share one of their rarest shingles.
 
     Two sets that reach num / den share one of the first n - ceil(num / den * n) + 1 shingles of each, whatever the common
-    order; rarest first makes the lists short.  Behind the first shared one, at places i and j, at most the rest of the
-    shorter list can be shared too, which rules out most pairs.  ``crowded``: (doc_id, part), part: the component so far.
+    order; rarest first makes the lists short.  How rare a shingle is comes from counters that several shingles may share:
+    they order all sets alike, which is all that is needed, and never count too little.  Behind the first shared one, at
+    places i and j, at most the rest of the shorter list can be shared too, which rules out most pairs.
+    ``crowded``: (doc_id, part), part: the component so far.
     """
-    items = freeze(sets.join(crowded, "doc_id").select("doc_id", "part", F.size("items").alias("n"), F.explode("items").alias("item")), "crowded")
-    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    ordered = items.join(counts, "item", "left").groupBy("doc_id", "part", "n").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "item"))).alias("list"))
-    length = F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9) + 1
-    heads = ordered.select("doc_id", "part", "n", F.posexplode(F.slice("list", F.lit(1), length.cast("int"))).alias("i", "x")).where("x.c > 1")
-    # a list whose places up to i hold that many unshared shingles has n - i left
-    heads = freeze(heads.select("doc_id", "part", "n", (F.col("n") - F.col("i")).alias("left"), "x.item").where(
-        den * F.col("left") >= num * F.col("n")), "heads")
+    own = freeze(sets.join(crowded, "doc_id").select("doc_id", "part", "items"), "crowded")
+    shared = own.sparkSession.sparkContext.broadcast(shingle_weights(own))  # 8 * CELLS bytes
+
+    def rarest(batches):
+        for batch in batches:
+            rows = ([], [], [], [], [])
+            for doc, part, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                values = items.values.to_numpy()
+                weight, n = shared.value[cell(values.view(np.uint64))], len(values)
+                order = np.lexsort([values, weight])
+                left = n - np.arange(n)  # what a list still holds from each place on
+                keep = np.flatnonzero((den * left >= num * n) & (weight[order] > 1))
+                for column, x in zip(rows, (np.full(len(keep), doc), np.full(len(keep), part), np.full(len(keep), n), left[keep], values[order][keep])):
+                    column.append(x.astype(np.int64))
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], ["doc_id", "part", "n", "left", "item"])
+
+    heads = freeze(map_arrow(own, rarest, "doc_id long, part long, n long, left long, item long"), "heads")
     other = heads.select(F.col("doc_id").alias("b"), F.col("part").alias("_part"), F.col("n").alias("_n"), F.col("left").alias("_left"), "item")
     return heads.withColumnRenamed("doc_id", "a").join(other, "item").where(
         (F.col("a") < F.col("b")) & (F.col("part") != F.col("_part")) & (num * F.greatest("n", "_n") <= den * F.least("n", "_n"))
