@@ -39,7 +39,9 @@ PIECE = 8192
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    """Least of every ``width`` neighbours, by doubling."""
+    """Least of every ``width`` neighbours, by doubling; empty if there are fewer."""
+    if len(values) < width:
+        return values[:0]
     step = 1
     while 2 * step <= width:
         values = np.minimum(values[:-step], values[step:])

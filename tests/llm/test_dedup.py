@@ -142,6 +142,24 @@ def test_an_overfull_sketch_loses_nothing(spark, documents, monkeypatch):
     assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()], key=str) == want
 
 
+def test_least_of_neighbours_of_every_width():
+    values = np.random.default_rng(2).integers(0, 99, 60)
+    for width in range(1, 40):
+        for n in range(61):
+            want = [min(values[i:i + width]) for i in range(n - width + 1)]
+            assert repeated_spans.sliding_least(values[:n], width).tolist() == want, (width, n)
+
+
+def test_chunks_of_fewer_words_than_a_window(documents):
+    rows = [(n, " ".join(f"s{i}" for i in range(n))) for n in range(44, 51)]
+    big = " ".join(f"b{i}" for i in range(160_000))  # over 1 MiB: a chunk of its own, as what stands beside it then is
+    rows += [(60, rows[2][1]), (61, big), (62, rows[3][1]), (63, rows[6][1])]
+    got = repeated_spans.without_repeats(documents(rows).repartition(len(rows), "doc_id"), 50)
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()], key=str) == brute_spans(rows, 50)
+    got = repeated_spans.without_repeats(documents(rows[-4:]).coalesce(1), 50)
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()], key=str) == brute_spans(rows[-4:], 50)
+
+
 def test_odd_rows_of_spans(odd):
     got = repeated_spans.without_repeats(odd, 50)
     assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()], key=str) == brute_spans([r[:2] for r in ODD], 50)
