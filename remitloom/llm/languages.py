@@ -17,9 +17,11 @@ temperature at which the models' odds best predict the right language, which
 gives the score, and each language's highest usual cross-entropy, beyond which
 a text is marked ``rejected``.
 
-Size: ``max_runs`` runs a language are kept, the most frequent ones, which
-bounds the model that is collected and broadcast to 12 + 8 * languages bytes a
-run; counting covers all training texts whatever their number.
+Size: every run counts, whatever their number.  Behind a size check (different
+runs times languages, ``broadcast_cells``) the models are fitted by the driver
+and broadcast.  Beyond it the same models are tables: Spark fits them by
+grouping, texts are put into blocks, the different runs of a block are joined
+to the tables, and each block is scored with the rows that came back for it.
 
 Defined cases: texts that are null or have no letter are ``und`` with score 0;
 so are all texts if nothing was learned.  Letters beyond U+FFFE count as one.
@@ -31,7 +33,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -40,6 +43,8 @@ from .scratch import freeze, map_arrow
 ORDER = 4
 UNDETERMINED = "und"
 TEMPERATURES = (1, 2, 4, 8, 16, 32, 64)
+#: Bytes of text that are scored together where the models are tables.
+BLOCK = 16 << 20
 _letters: list[np.ndarray] = []
 
 
@@ -177,14 +182,19 @@ class Models(NamedTuple):
 
     def cross_entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(cross-entropy per character and language, characters, has a letter) of each text."""
-        grams, first = runs(data, offsets)
-        sums = np.zeros((len(first), len(self.langs)))
-        if len(grams):
-            total = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.score(grams), axis=0, dtype=np.float64)])
-            sums = total[first]
-        lengths = np.diff(first)
-        lettered = np.concatenate([[0], np.cumsum((grams & A.U(0xFFFF)) != A.U(32))])[first]
-        return -(sums[1:] - sums[:-1]) / np.maximum(lengths, 1)[:, None], lengths, np.diff(lettered) > 0
+        return cross_entropies(data, offsets, self.score, len(self.langs))
+
+
+def cross_entropies(data: np.ndarray, offsets: np.ndarray, score, n_langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``Models.cross_entropies``; ``score`` gives the log probabilities of runs."""
+    grams, first = runs(data, offsets)
+    sums = np.zeros((len(first), n_langs))
+    if len(grams):
+        total = np.concatenate([np.zeros((1, n_langs)), np.cumsum(score(grams), axis=0, dtype=np.float64)])
+        sums = total[first]
+    lengths = np.diff(first)
+    lettered = np.concatenate([[0], np.cumsum((grams & A.U(0xFFFF)) != A.U(32))])[first]
+    return -(sums[1:] - sums[:-1]) / np.maximum(lengths, 1)[:, None], lengths, np.diff(lettered) > 0
 
 
 def find(keys: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,6 +208,19 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def with_entropies(rows, names: list[str], score, n_langs: int):
+    """Batches of the columns ``names`` of ``rows`` (a batch with ``text``), ``entropies`` and ``chars``."""
+    for at, end, data, offsets in A.chunks(rows.column("text")):
+        entropy, chars, lettered = cross_entropies(data, offsets, score, n_langs)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chars) + 1, dtype=np.int32) * n_langs), pa.array(entropy.reshape(-1)), mask=pa.array(~lettered))
+        yield pa.RecordBatch.from_arrays([*(rows.column(c).slice(at, end - at) for c in names), lists, pa.array(chars.astype(np.int64))],
+                                         [*names, "entropies", "chars"])
+
+
+def columns_of(docs: DataFrame, names: list[str]) -> str:
+    return "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
+
+
 def measured(docs: DataFrame, models) -> DataFrame:
     """``docs`` (without its texts) with ``entropies``, one per language, null without a letter, and ``chars``."""
     names = [c for c in docs.columns if c != "text"]
@@ -205,15 +228,116 @@ def measured(docs: DataFrame, models) -> DataFrame:
     def run(batches):
         model = Models(*models.value)
         for batch in batches:
-            for at, end, data, offsets in A.chunks(batch.column("text")):
-                entropy, chars, lettered = model.cross_entropies(data, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chars) + 1, dtype=np.int32) * len(model.langs)), pa.array(entropy.reshape(-1)),
-                                                 mask=pa.array(~lettered))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, end - at) for c in names), lists, pa.array(chars.astype(np.int64))],
-                                                 [*names, "entropies", "chars"])
+            yield from with_entropies(batch, names, model.score, len(model.langs))
+
+    return map_arrow(docs, run, f"{columns_of(docs, names)}entropies array<double>, chars long")
+
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return map_arrow(docs, run, f"{kinds}, entropies array<double>, chars long")
+class Tables(NamedTuple):
+    """The same models as tables: for 4, 3, 2 and 1 characters (run, values) of log probabilities and of what contexts free.
+
+    ``values`` has a place for each language, null where that language has not seen the run or context.
+    """
+
+    langs: list[str]
+    logs: list[DataFrame]
+    backoffs: list[DataFrame]
+    floor: list[float]
+
+    @classmethod
+    def fit(cls, langs: list[str], seen: DataFrame) -> "Tables":
+        """``seen``: lang, run, n of all runs of four."""
+
+        def packed(table, key, value):
+            return freeze(table.groupBy(F.col(key).alias("run")).agg(
+                F.array(*[F.max(F.when(F.col("lang") == x, F.log(value).cast("float"))) for x in langs]).alias("values")), "model")
+
+        counts = [seen]
+        for width in range(ORDER - 1, 0, -1):  # without the first character: how many different ones stand before
+            counts.append(freeze(counts[-1].groupBy("lang", last(width).alias("run")).agg(F.count(F.lit(1)).alias("n")), "runs"))
+        chars = counts[-1].select("run").distinct().count() + 1
+        logs, backoffs = [], []
+        lower = floor = None
+        for width, table in enumerate(reversed(counts), 1):
+            ones, twos = (F.sum((F.col("n") == k).cast("long")) for k in (1, 2))
+            cuts = table.groupBy("lang").agg(F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(0.5).alias("cut"))
+            each = table.join(F.broadcast(cuts), "lang").withColumn("context", F.shiftrightunsigned("run", 16))  # one row a language
+            free = freeze(each.groupBy("lang", "context").agg(
+                F.sum("n").alias("total"), (F.first("cut") * F.count(F.lit(1)) / F.sum("n")).alias("free")), "contexts")
+            shares = each.join(free, ["lang", "context"]).withColumn("own", F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("total"))
+            if lower is None:
+                found = {r["lang"]: r["free"] for r in free.collect()}  # one row a language
+                floor = [float(np.log(found[x] / chars)) for x in langs]
+                below = F.lit(1.0 / chars)
+            else:
+                shares = shares.withColumn("short", last(width - 1)).join(
+                    lower.select("lang", F.col("run").alias("short"), F.col("p").alias("below")), ["lang", "short"])
+                below = F.col("below")
+            lower = freeze(shares.select("lang", "run", (F.col("own") + F.col("free") * below).alias("p")), "probabilities")
+            logs.append(packed(lower, "run", F.col("p")))
+            backoffs.append(packed(free, "context", F.col("free")))
+        return cls(langs, logs[::-1], backoffs[::-1], floor)
+
+    def score(self, wanted: DataFrame) -> DataFrame:
+        """(run, values): log probabilities of the runs of four in ``wanted``, each given once, for each language."""
+        out = wanted.select("run")
+        for level, (logs, backoffs) in enumerate(zip(self.logs, self.backoffs)):
+            width = ORDER - level
+            tables = [(last(width), logs, "_p")] + ([(F.shiftrightunsigned(last(width), 16), backoffs, "_b")] if width > 1 else [])
+            for key, table, name in tables:
+                out = out.withColumn("_key", key).join(
+                    table.select(F.col("run").alias("_key"), F.col("values").alias(f"{name}{width}")), "_key", "left").drop("_key")
+        floor = F.array(*[F.lit(x).cast("float") for x in self.floor])
+
+        def value(k):
+            v = F.get(floor, k)
+            for width in range(1, ORDER + 1):
+                back = v if width == 1 else F.coalesce(F.get(f"_b{width}", k), F.lit(0).cast("float")) + v
+                v = F.coalesce(F.get(f"_p{width}", k), back)
+            return v
+
+        return out.select("run", F.transform(F.sequence(F.lit(0), F.lit(len(self.langs) - 1)), value).alias("values"))
+
+    def measured(self, docs: DataFrame) -> DataFrame:
+        """As the function ``measured``."""
+        names = [c for c in docs.columns if c != "text"]
+        n_langs = len(self.langs)
+
+        def deal(batches):
+            part, n, held = TaskContext.get().partitionId(), 0, 0
+            for batch in batches:
+                for at, end, data, _ in A.chunks(batch.column("text")):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, end - at).columns, pa.array(np.full(end - at, (part << 32) + n))],
+                                                     [*batch.schema.names, "_block"])
+                    held += len(data) + 64 * (end - at)
+                    if held >= BLOCK:
+                        n, held = n + 1, 0
+
+        def asked(batches):
+            for batch in batches:
+                blocks = batch.column("_block").to_numpy()
+                for block in np.unique(blocks):
+                    for _, _, data, offsets in A.chunks(batch.column("text").take(pa.array(np.flatnonzero(blocks == block)))):
+                        found = np.unique(runs(data, offsets)[0])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found.view(np.int64))], ["_of", "run"])
+
+        def answer(own, rows):
+            keys = rows.column("run").to_numpy().view(np.uint64)
+            order = np.argsort(keys)
+            keys = keys[order]
+            values = np.concatenate([c.flatten().to_numpy() for c in rows.column("values").chunks] or [np.zeros(0, np.float32)]).reshape(-1, n_langs)[order]
+            out = [b for batch in own.combine_chunks().to_batches() for b in with_entropies(batch, names, lambda g: values[np.searchsorted(keys, g)], n_langs)]
+            return pa.Table.from_batches(out)
+
+        dealt = freeze(map_arrow(docs, deal, f"{columns_of(docs, docs.columns)}_block long"), "blocks")
+        pairs = freeze(map_arrow(dealt.select("_block", "text"), asked, "_of long, run long").distinct(), "asked")
+        told = pairs.join(freeze(self.score(pairs.select("run").distinct()), "told"), "run")
+        return dealt.groupBy("_block").cogroup(told.groupBy("_of")).applyInArrow(answer, f"{columns_of(docs, names)}entropies array<double>, chars long")
+
+
+def last(width: int) -> Column:
+    """The last ``width`` characters of a run of at least so many."""
+    return F.col("run") if width == ORDER else F.col("run").bitwiseAND(F.lit((1 << 16 * width) - 1).cast("long"))
 
 
 def odds(temperature: float) -> Column:
@@ -223,34 +347,37 @@ def odds(temperature: float) -> Column:
     return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x))
 
 
-def identify(docs: DataFrame, training: DataFrame, max_runs: int = 200_000, usual: float = 0.999) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, usual: float = 0.999, broadcast_cells: int = 1 << 22) -> DataFrame:
     """(doc_id, lang_pred, score, cross_entropy, rejected) for every row of ``docs``.
 
     ``training``: text, lang and doc_id; texts without a language or letters teach nothing.  One training text in 16, by a
     hash of its id, calibrates instead of being counted.
     """
     known = training.where("lang is not null and text is not null").withColumn("_hold", F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0)
-    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "run")) <= max_runs
-    kept = counted(known.where("not _hold")).withColumn("_keep", best).where("_keep").select("lang", "run", "n")
-    table = kept.toArrow()  # at most max_runs rows a language
-    langs = sorted(set(table.column("lang").to_pylist()))
+    seen = freeze(counted(known.where("not _hold")), "runs")
+    langs = sorted(r["lang"] for r in seen.select("lang").distinct().collect())
     if not langs:
         return docs.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"),
                            F.lit(True).alias("rejected"))
-    own = np.searchsorted(np.array(langs, object), np.array(table.column("lang").to_pylist(), object))
-    order = np.lexsort([table.column("run").to_numpy(), own])  # as rows come in any order
-    model = Models.fit(langs, own[order], table.column("run").to_numpy().view(np.uint64)[order], table.column("n").to_numpy()[order])
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    if seen.select("run").distinct().count() * len(langs) <= broadcast_cells:
+        table = seen.toArrow()
+        own = np.searchsorted(np.array(langs, object), np.array(table.column("lang").to_pylist(), object))
+        order = np.lexsort([table.column("run").to_numpy(), own])  # as rows come in any order
+        model = Models.fit(langs, own[order], table.column("run").to_numpy().view(np.uint64)[order], table.column("n").to_numpy()[order])
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
+        measure = lambda texts: measured(texts, shared)
+    else:
+        measure = Tables.fit(langs, seen).measured
 
     lang_list = F.array(*[F.lit(x) for x in langs])
-    held = freeze(measured(known.where("_hold").select("lang", "text"), shared).where("entropies is not null"), "calibration").withColumn(
+    held = freeze(measure(known.where("_hold").select("lang", "text")).where("entropies is not null"), "calibration").withColumn(
         "_own", F.array_position(lang_list, F.col("lang")).cast("int")).where("_own > 0")
     losses = held.agg(*[F.sum(-F.log(F.get(odds(t), F.col("_own") - 1) + 1e-12)).alias(f"t{t}") for t in TEMPERATURES]).first()
     temperature = min(TEMPERATURES, key=lambda t: losses[f"t{t}"]) if losses["t1"] is not None else 1
     limits = {r["lang"]: r["q"] for r in held.groupBy("lang").agg(
         F.percentile(F.get("entropies", F.col("_own") - 1), F.lit(usual)).alias("q")).collect()}  # one row a language
     limit_list = F.array(*[F.lit(float(limits.get(x, np.inf))) for x in langs])
-    scored = measured(docs.select("doc_id", "text"), shared).withColumn("_best", F.array_position("entropies", F.array_min("entropies")).cast("int"))
+    scored = measure(docs.select("doc_id", "text")).withColumn("_best", F.array_position("entropies", F.array_min("entropies")).cast("int"))
     und = F.col("entropies").isNull()
     at = lambda a: F.get(a, F.col("_best") - 1)
     return scored.select("doc_id", F.when(und, UNDETERMINED).otherwise(at(lang_list)).alias("lang_pred"),
