@@ -11,8 +11,11 @@ a believed instance; an instance is as sure as its patterns together (one
 minus the product of their doubts).  Sure instances become spans of the kind
 most seeds of their patterns have, unless they touch a span of known form.
 
-Size: ``max_patterns`` bounds the patterns that are sent to all tasks, about 100
-bytes each; the best supported ones are taken.
+Size: every pattern that qualifies is looked for, whatever their number.  A
+pattern is known by the hash of its words; up to ``broadcast_patterns`` the
+hashes, 8 bytes each, are sent to all tasks.  Beyond that the texts write the
+hashes of all their contexts, counted by task, and of the places where a word
+like an identifier follows, and these are joined to the patterns.
 
 Defined cases: a null text is empty and has no spans; spans count code points,
 the end is exclusive; rows that share an id are searched each by its own text.
@@ -111,38 +114,53 @@ def seeds(docs: DataFrame) -> DataFrame:
                                 "seeds array<struct<context:string,kind:int,instance:string>>")
 
 
-def induced(found: DataFrame, min_instances: int, min_docs: int, max_patterns: int) -> DataFrame:
+def induced(found: DataFrame, min_instances: int, min_docs: int) -> DataFrame:
     """(context, kind): contexts of several different seeds in several documents, with the kind most of those have."""
     each = found.select("doc_id", F.explode("seeds").alias("s")).select("doc_id", "s.*")
     by_kind = each.groupBy("context", "kind", "instance").agg(F.min("doc_id").alias("doc_id")).groupBy("context", "kind").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
     total = by_kind.groupBy("context").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max(F.struct("n", (-F.col("kind")).alias("k"))).alias("top"))
-    return total.where((F.col("n") >= min_instances) & (F.col("docs") >= min_docs)).orderBy(F.desc("n"), "context").limit(max_patterns).select(
+    return total.where((F.col("n") >= min_instances) & (F.col("docs") >= min_docs)).select(
         "context", (-F.col("top.k")).alias("kind"))
 
 
 def pattern_keys(texts: list[str]) -> np.ndarray:
     """Hashes of contexts of one or two words, as ``occurrences`` makes them of texts."""
-    out = []
-    for t in texts:
-        data, offsets = A.utf8(pa.array([t]))
-        starts, ends, _ = A.word_spans(data, offsets)
-        words = A.span_hashes(data, starts, ends)
-        out.append(A.window_hashes(words, len(words))[0])
-    return np.array(out, np.uint64)
+    out = np.zeros(len(texts), np.uint64)
+    for at, _, data, offsets in A.chunks(pa.array(texts, pa.string())):
+        starts, ends, first = A.word_spans(data, offsets)
+        words, counts = A.span_hashes(data, starts, ends), np.diff(first)
+        for size in (1, 2):
+            own = np.flatnonzero(counts == size)
+            if len(own):
+                out[at + own] = A.window_hashes(words, size)[first[own]]
+    return out
 
 
-def occurrences(docs: DataFrame, patterns: list[str]) -> DataFrame:
+def with_keys(patterns: DataFrame) -> DataFrame:
+    """(pattern, context, kind): ``patterns`` with their hashes."""
+
+    def run(batches):
+        for batch in batches:
+            keys = pattern_keys(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0), batch.column(1)], ["pattern", "context", "kind"])
+
+    return map_arrow(patterns.select("context", "kind"), run, "pattern long, context string, kind int")
+
+
+def occurrences(docs: DataFrame, patterns: DataFrame, broadcast_patterns: int) -> DataFrame:
     """What follows each pattern anywhere: rows (pattern, n) of counts, and (pattern, doc_id, tag, start, end, instance) where it is like an identifier."""
-    keys = pattern_keys(patterns)
-    order = np.argsort(keys)
-    shared = docs.sparkSession.sparkContext.broadcast((keys[order], order))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    if patterns.count() > broadcast_patterns:
+        return followed(docs, None).join(patterns.select("pattern").distinct(), "pattern", "left_semi")
+    keys = np.unique(np.array([r["pattern"] for r in patterns.select("pattern").collect()], np.int64).view(np.uint64))
+    return followed(docs, docs.sparkSession.sparkContext.broadcast(keys))
+
+
+def followed(docs: DataFrame, shared) -> DataFrame:
+    """The rows of ``occurrences`` for the sorted hashes that ``shared`` broadcasts, or for every context."""
 
     def run(batches):
-        keys_, order_ = shared.value
-        counts = np.zeros(len(keys_), np.int64)
-        rows = []
+        seen, held, rows = [], 0, []
         for batch in batches:
             ids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, end, data, offsets in A.chunks(batch.column(2)):
@@ -150,35 +168,48 @@ def occurrences(docs: DataFrame, patterns: list[str]) -> DataFrame:
                 words = A.span_hashes(A.FOLD[data], starts, ends)
                 owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
                 like = np.concatenate([[0], np.cumsum(((data >= 48) & (data < 58)) | (data == 64))])
+                like = like[ends] > like[starts]
                 for size in (1, 2):
                     h = A.window_hashes(words, size)[:max(len(words) - size, 0)]  # a word follows
                     if not len(h):
                         continue
-                    place = np.minimum(np.searchsorted(keys_, h), len(keys_) - 1)
-                    hits = np.flatnonzero((keys_[place] == h) & (owner[:len(h)] == owner[size:]))
-                    np.add.at(counts, place[hits], 1)
-                    follow = hits + size
-                    for p, w in zip(order_[place[hits]], follow):
-                        if like[ends[w]] > like[starts[w]]:
-                            doc = owner[w]
-                            raw = data[starts[w]:ends[w]].tobytes().decode("utf-8", "replace")
-                            word = raw.strip("\"'()[]{}<>,;:!?.")
-                            if len(word) < 5 or not _MAYBE.search(word):
-                                continue
-                            begin = int(np.count_nonzero((data[offsets[doc]:starts[w]] & 0xC0) != 0x80)) + raw.index(word)
-                            rows.append((int(p), 0, ids[at + doc], tags[at + doc], begin, begin + len(word), word))
+                    hits = owner[:len(h)] == owner[size:]
+                    if shared is not None:
+                        keys = shared.value
+                        hits &= keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+                    hits = np.flatnonzero(hits)
+                    seen.append(np.unique(h[hits], return_counts=True))
+                    held += len(seen[-1][0])
+                    for i in hits[like[hits + size]]:
+                        w = i + size
+                        doc = owner[w]
+                        raw = data[starts[w]:ends[w]].tobytes().decode("utf-8", "replace")
+                        word = raw.strip("\"'()[]{}<>,;:!?.")
+                        if len(word) < 5 or not _MAYBE.search(word):
+                            continue
+                        begin = int(np.count_nonzero((data[offsets[doc]:starts[w]] & 0xC0) != 0x80)) + raw.index(word)
+                        rows.append((int(h[i].view(np.int64)), 0, ids[at + doc], tags[at + doc], begin, begin + len(word), word))
+                if held > 1 << 20:
+                    yield counts(seen)
+                    seen, held = [], 0
             yield from told(rows)
             rows = []
-        some = np.flatnonzero(counts)
-        yield from told([(int(order_[p]), int(counts[p]), None, None, None, None, None) for p in some])
+        if seen:
+            yield counts(seen)
+
+    def counts(seen):
+        keys, back = np.unique(np.concatenate([k for k, _ in seen]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([n for _, n in seen]), len(keys)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), *(pa.nulls(len(keys), t) for t in types[2:])], names)
+
+    names = ["pattern", "n", "doc_id", "tag", "start", "end", "instance"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
 
     def told(rows):
         if rows:
-            types = (pa.int32(), pa.int64(), pa.int64() if kind == "bigint" else None, pa.int64(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)],
-                                             ["pattern", "n", "doc_id", "tag", "start", "end", "instance"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names)
 
-    return map_arrow(docs, run, f"pattern int, n long, doc_id {kind}, tag long, start int, end int, instance string")
+    return map_arrow(docs, run, "pattern long, n long, doc_id long, tag long, start int, end int, instance string")
 
 
 def believed(edges: DataFrame, totals: DataFrame, seeds_: DataFrame, rounds: int) -> DataFrame:
@@ -188,7 +219,7 @@ def believed(edges: DataFrame, totals: DataFrame, seeds_: DataFrame, rounds: int
     places with a seed.
     """
     places = totals.join(seeds_, "pattern", "left").select("pattern", "total", F.coalesce("sown", F.lit(0)).alias("sown"))
-    belief = edges.select("instance").distinct().withColumn("belief", F.lit(0.0)).withColumn("best", F.lit(0))
+    belief = edges.select("instance").distinct().withColumn("belief", F.lit(0.0)).withColumn("best", F.lit(0).cast("long"))
     for _ in range(rounds):
         mass = edges.join(belief, "instance").where("belief >= 0.5").groupBy("pattern").agg(F.sum(F.col("n") * F.col("belief")).alias("_mass"))
         sure = places.join(mass, "pattern", "left").select("pattern", (
@@ -198,16 +229,14 @@ def believed(edges: DataFrame, totals: DataFrame, seeds_: DataFrame, rounds: int
     return belief
 
 
-def find(docs: DataFrame, min_instances: int = 5, min_docs: int = 3, max_patterns: int = 20_000, rounds: int = 3, sure: float = 0.8) -> DataFrame:
+def find(docs: DataFrame, min_instances: int = 5, min_docs: int = 3, rounds: int = 3, sure: float = 0.8, broadcast_patterns: int = 1_000_000) -> DataFrame:
     """(doc_id, spans, all_spans) for every row: spans of known form, and those with the discovered ones; by start, then kind."""
     tagged = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
     found = freeze(seeds(tagged), "seeds")
-    patterns = induced(found, min_instances, min_docs, max_patterns).collect()  # at most max_patterns
-    if not patterns:
+    table = freeze(with_keys(induced(found, min_instances, min_docs)), "patterns")
+    if table.isEmpty():
         return found.select("doc_id", "spans", F.col("spans").alias("all_spans"))
-    spark = docs.sparkSession
-    table = freeze(spark.createDataFrame([(i, r["context"], r["kind"]) for i, r in enumerate(patterns)], "pattern int, context string, kind int"), "patterns")
-    seen = freeze(occurrences(tagged, [r["context"] for r in patterns]), "occurrences")
+    seen = freeze(occurrences(tagged, table, broadcast_patterns), "occurrences")
     totals = seen.where("instance is null").groupBy("pattern").agg(F.sum("n").alias("total"))
     sown = found.select(F.explode("seeds").alias("s")).select("s.context").join(table, "context").groupBy("pattern").agg(F.count(F.lit(1)).alias("sown"))
     # instances that touch a span of known form are seeds already

@@ -52,6 +52,33 @@ def test_contexts_find_other_forms(documents):
     assert all(r.spans == r.all_spans and len(r.spans) >= 1 for d, r in out.items() if not 100 <= d < 200)
 
 
+def phones_behind_many_contexts(n):
+    """Contexts that each stand before five seeds, then one that fewer seeds than theirs have; ids of other form behind that one."""
+    rows = [(i, " ".join(f"{a}{k}x : +1 555 {i:03d} {k:04d} ." for k in range(n) for a in "q")) for i in range(6)]
+    rows += [(100 + i, f"zebra zulu +1 555 77{i} 1234 and") for i in range(5)]
+    return rows + [(200 + i, f"zebra zulu 0{i}55-77{i}1 and") for i in range(2)]
+
+
+def test_every_pattern_is_looked_for(documents):
+    """More patterns than the 20,000 that were once taken, all with more seeds than the one that counts."""
+    out = {r.doc_id: r for r in P.find(documents(phones_behind_many_contexts(20_500))).collect()}
+    for i in range(2):
+        assert [(s.kind, s.start, s.end) for s in out[200 + i].all_spans] == [(3, 11, 20)] and out[200 + i].spans == []
+
+
+def test_joined_patterns_find_the_same(documents, odd):
+    docs = documents(phones_behind_many_contexts(50)).unionByName(odd)
+    sent, joined = (sorted(map(str, P.find(docs, broadcast_patterns=n).collect())) for n in (1_000_000, 0))
+    assert sent == joined and any("start=11, end=20" in r for r in sent)
+
+
+def test_pattern_keys_are_those_of_texts():
+    texts = ["phone:", "my phone:", "é", "x y"]
+    for text, key in zip(texts, P.pattern_keys(texts)):
+        words = P.A.span_hashes(*(lambda d, o: (d, *P.A.word_spans(d, o)[:2]))(*P.A.utf8(P.pa.array([text]))))
+        assert P.A.window_hashes(words, len(words))[0] == key
+
+
 def test_a_context_that_anything_follows_finds_nothing(documents):
     rows = [(i, f"the +1 555 01{i:02d} 99{i:02d} and the cat and the dog and the item-{i} or the bird") for i in range(30)]
     assert all(r.spans == r.all_spans for r in P.find(documents(rows)).collect())
