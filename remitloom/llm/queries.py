@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, line_dups, mixing, near_dups, neighbours, personal_data, pieces, quality_model, quality_rules, repeated_spans
+from . import (
+    languages, line_dups, mixing, near_dups, neighbours, periodic, personal_data, pieces, quality_model, quality_rules, repeated_spans, secret_scan,
+    token_alignment)
 
 MIX_SQL = """
 with sized as (
@@ -170,7 +172,84 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials of known forms in every document, and strings too new for their place."""
+    found = secret_scan.find(documents(spark, sf_dir))
+    names = F.array(*[F.lit(k) for k in secret_scan.KINDS])
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])],
+                        F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, words joined by one space; in a tenth of the documents a passage repeats from some word to the end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = docs.select("doc_id", F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"), 1).alias("w"), h.alias("h"), g.alias("g"))
+    planted = (F.col("h") % 10 == 0) & (F.size("w") > 0)
+    n = F.greatest(F.size("w"), F.lit(1))
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    passage = F.slice("w", a + 1, p)
+    rest = F.slice(F.flatten(F.array_repeat(passage, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    return words.select("doc_id", F.array_join(F.when(planted, F.concat(F.slice("w", F.lit(1), a), rest)).otherwise(F.col("w")), " ").alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of every document that repeat a passage at least four times, and the text without the repetitions."""
+    found = periodic.find(with_planted_runs(documents(spark, sf_dir))).withColumn("_longest", periodic.longest_run())
+    written = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    length, period = -F.col("_longest.l"), F.col("_longest.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_longest.start").alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.concat(F.array_join(written, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias(
+            "runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+#: Runs by brute force: every pair of equal words of a document at every lag up to a quarter of it, islands of them, none inside an island of a smaller lag.
+RUNS_SQL = """
+with words as (
+  select doc_id, row_number() over () as d, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+         cast(list_reduce(flatten([[4294967295::bigint]] || [[ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(doc_id::varchar, '')]),
+           lambda c, x: case when x >= 0 then xor(c, x) else xor(c // 2, (c % 2) * 3988292384) end) as bigint) as c
+  from documents),
+sized as (select *, len(w) as n, xor(c, 4294967295) as h from words),
+parts as (select *, case when n > 0 then (h // 10) % n else 0 end as a, (h // 10) % 8 + 3 as parts from sized),
+period as (select *, 1 + (n - a) // parts as p from parts),
+words2 as (
+  select doc_id, d, n, i, w[(case when h % 10 = 0 and i >= a then a + (i - a) % p else i end) + 1] as word
+  from (select *, unnest(range(0, n)) as i from period)),
+same as (
+  select x.d, x.i, y.i - x.i as q from words2 x join words2 y on x.d = y.d and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+islands as (
+  select d, q, min(i) as start, count(*) + q as length from (select d, q, i, i - row_number() over (partition by d, q order by i) as island from same)
+  group by d, q, island having count(*) + q >= greatest(6, 4 * q)),
+runs as (
+  select * from islands r where not exists (
+    select 1 from islands s where s.d = r.d and s.q < r.q and s.start <= r.start and s.start + s.length >= r.start + r.length)),
+gone as (select distinct d, unnest(range(start + q, start + length)) as i from runs),
+kept as (
+  select v.d, string_agg(v.word, ' ' order by v.i) as t from words2 v where not exists (select 1 from gone g where g.d = v.d and g.i = v.i) group by v.d),
+listed as (
+  select d, count(*)::bigint as n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' order by start, q) as t,
+         arg_min({'s': start, 'l': length, 'q': q}, (-length, start, q)) as best
+  from runs group by d)
+select z.doc_id, coalesce(l.n_runs, 0) as n_runs, best.s::bigint as start, best.l::bigint as length, best.q::bigint as period,
+       (1000 * best.l // best.q)::bigint as exponent_milli, sha256(coalesce(l.t, '')) as runs_sha256, sha256(coalesce(k.t, '')) as collapsed_sha256
+from words z left join listed l on l.d = z.d left join kept k on k.d = z.d
+"""
+
+#: Where the byte-level vocabulary of the registered query lies; the operator takes any path.
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens two tokenizers cut every document into, and how common their pairs are."""
+    return token_alignment.align(documents(spark, sf_dir), token_alignment.Tokenizers.load(BYTE_VOCABULARY, VOCABULARY))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_near_duplicates, op3_neighbours, op4_quality_score, op5_personal_data, op6_line_dedup, op7_repeated_spans, op8_quality_rules, op9_language,
-    op10_mix_sources)}
-SQL = {"op2_near_duplicates": NEAR_SQL, "op6_line_dedup": LINES_SQL, "op7_repeated_spans": SPANS_SQL, "op10_mix_sources": MIX_SQL}
+    op10_mix_sources, op11_secrets, op12_periodic_runs, op13_token_alignment)}
+SQL = {"op2_near_duplicates": NEAR_SQL, "op6_line_dedup": LINES_SQL, "op7_repeated_spans": SPANS_SQL, "op10_mix_sources": MIX_SQL, "op12_periodic_runs": RUNS_SQL}
