@@ -11,9 +11,9 @@ OPEN_END = dt.date(2099, 12, 31)
 UNCLEARED = dt.date(1900, 1, 2)
 
 
-def day(value: dt.date | str) -> Column:
-    """A date literal."""
-    return F.lit(str(value)).cast("date")
+def day(value: dt.date | str | Column) -> Column:
+    """A date literal; a column stays as it is."""
+    return value if isinstance(value, Column) else F.lit(str(value)).cast("date")
 
 
 def month_start(col: Column) -> Column:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.buckets import AGE_LABELS, aging_bucket_pivot
-from ..functions.dates import day, month_start
+from ..functions.dates import day, day_span, month_start
 from ..functions.money import amount, or_zero, percent_of, ratio_percent, total
 from ..functions.text import is_blank, only_branches, optional, or_blank
-from .banding import budget_gate
+from .banding import budget_gate, gate_totals
 from .keyed import keyed_update
 
 # Share of sales a branch may pay out, and the sales ledger.
@@ -26,13 +26,15 @@ DOCUMENT_KEYS = ["docentry", "u_paycode", "u_labno", "cardcode", "whscode", "u_d
 def rated_rows(details: DataFrame, payees: DataFrame, as_of=None, payee_type: str | None = None, branch=None,
                first_run: int | None = None, last_run: int | None = None, payee=None,
                unpaid_only: bool = False) -> DataFrame:
-    """Rated details in a run range with the payee's type and rep.
+    """Rated details in a run range (open where no run is given) with the payee's type and rep.
 
     Every payee row of a code joins.  Naming a payee type makes the join inner.
     """
     rows = only_branches(details, branch).where(~is_blank("comtype"))
     if first_run is not None:
-        rows = rows.where(F.col("genid").between(first_run, last_run))
+        rows = rows.where(F.col("genid") >= first_run)
+    if last_run is not None:
+        rows = rows.where(F.col("genid") <= last_run)
     if unpaid_only:
         rows = rows.where(F.coalesce("isforpaymnt", F.lit(0)) == 0)
     rows = optional(rows, u_paycode=payee)
@@ -45,7 +47,7 @@ def rated_rows(details: DataFrame, payees: DataFrame, as_of=None, payee_type: st
 
 
 def payment_candidates(details: DataFrame, payees: DataFrame, criteria: DataFrame, reps: DataFrame, as_of,
-                       payee_type: str, branch=None, first_run: int = 92, gen_id: int = 92,
+                       payee_type: str, branch=None, first_run: int | None = 92, gen_id: int | None = 92,
                        min_amount=None) -> DataFrame:
     """Payees with enough unpaid rebates: amount that passes the gate, and its age over all branches.
 
@@ -70,16 +72,17 @@ def payment_candidates(details: DataFrame, payees: DataFrame, criteria: DataFram
                     F.col("rep").alias("slpcode"), "actype", "isforpaymnt"))
 
 
-def payment_detail_lines(details: DataFrame, payees: DataFrame, criteria: DataFrame, as_of, gen_id: int,
+def payment_detail_lines(details: DataFrame, payees: DataFrame, criteria: DataFrame, as_of, gen_id: int | None = None,
                          last_run: int | None = None, payee=None, branch=None) -> DataFrame:
-    """Documents of a payee in this run and the next; here ``budgetstat`` 0 means the document passes."""
-    rows = rated_rows(details, payees, as_of, None, branch, gen_id, last_run or gen_id + 1, payee)
+    """Documents of a payee in this run and the next, or of all runs; here ``budgetstat`` 0 means the document passes."""
+    last_run = last_run if gen_id is None or last_run is not None else gen_id + 1
+    rows = rated_rows(details, payees, as_of, None, branch, gen_id, last_run, payee)
     gated = budget_gate(rows, criteria, [*DOCUMENT_KEYS, "actype", "ndys", "isexcluded"], passed=0, failed=1)
     return gated.groupBy(*DOCUMENT_KEYS, "ndys", "budgetstat", "isexcluded").agg(total("rebate").alias("rebate"))
 
 
 def payee_branch_gate(details: DataFrame, payees: DataFrame, criteria: DataFrame, payee_type: str, payee=None,
-                      first_run: int = 92, gen_id: int = 92, branch=None) -> DataFrame:
+                      first_run: int | None = 92, gen_id: int | None = 92, branch=None) -> DataFrame:
     """The gate per payee and branch."""
     rows = rated_rows(details, payees, None, payee_type, branch, first_run, gen_id, payee, unpaid_only=True)
     return budget_gate(rows, criteria, ["u_paycode", "whscode", "actype"])
@@ -147,6 +150,52 @@ def branch_budget_create(jdt1: DataFrame, ojdt: DataFrame, oact: DataFrame, deta
     return BranchBudget(header, lines)
 
 
+def prefix_gate(details: DataFrame, payees: DataFrame, criteria: DataFrame, first_run: int | None = None) -> DataFrame:
+    """(genid, whscode, passed, open): by how much each run changes what passes the gate, and what is open, in a branch.
+
+    The gate of a run looks at everything unpaid from the first run up to it.
+    Sums per payee, branch and run are added up over the runs once; a run's
+    share of what passes is what its sum lets through less what the sum before
+    let through, so adding the shares up to a run gives its total.  The windows
+    hold one row a run.
+    """
+    rows = rated_rows(details, payees, first_run=first_run, unpaid_only=True)
+    keys = ["u_paycode", "whscode", "actype"]
+    sums = rows.groupBy(*keys, "genid").agg(total("rebate").cast(WIDE).alias("own"))
+    so_far = F.sum("own").over(Window.partitionBy(*keys).orderBy("genid"))
+    gated = gate_totals(sums.withColumn("rebate", so_far.cast(WIDE)), criteria)
+    limit, now, before = F.col("amntexcluded"), F.col("rebate"), F.col("rebate") - F.col("own")
+    let = lambda amount_: F.when(amount_ > limit, amount_).otherwise(F.lit(0))
+    return gated.groupBy("genid", "whscode").agg(F.sum(let(now) - let(before)).cast(WIDE).alias("passed"), F.sum("own").cast(WIDE).alias("open"))
+
+
+def branch_budgets(jdt1: DataFrame, ojdt: DataFrame, oact: DataFrame, details: DataFrame, payees: DataFrame, criteria: DataFrame,
+                   runs: DataFrame, first_run: int | None = None) -> BranchBudget:
+    """``branch_budget_create`` for every run in one job.
+
+    Ledger dates are spread over the runs that cover them, then summed per run
+    and branch; what passes the gate is added up over the runs of a branch.
+    """
+    spans = runs.select("genid", day_span("fdate", "tdate", "refdate"))
+    sales = ledger_sales(jdt1, ojdt, oact).join(spans, "refdate").groupBy("genid", F.col("segment_1").alias("whscode")).agg(
+        (total("credit") - total("debit")).cast(WIDE).alias("sales"))
+    shares = prefix_gate(details, payees, criteria, first_run)
+    steps = sales.select("genid", "whscode", "sales", F.lit(None).cast(WIDE).alias("passed")).unionByName(
+        shares.select("genid", "whscode", F.lit(None).cast(WIDE).alias("sales"), "passed")).groupBy("genid", "whscode").agg(
+        F.max("sales").alias("sales"), F.sum("passed").alias("passed"))
+    up_to = F.sum("passed").over(Window.partitionBy("whscode").orderBy("genid"))
+    lines = steps.withColumn("passed", up_to.cast(WIDE)).where("sales is not null").select(
+        "genid", "whscode", "sales", F.lit(BUDGET_PERCENT).cast("decimal(18,2)").alias("percnt"),
+        percent_of(F.col("sales"), F.lit(BUDGET_PERCENT)).cast(WIDE).alias("budgetamt"), or_zero("passed").cast(WIDE).alias("rebates"))
+    # one entry a run, so an array of them is as small as the table of runs
+    opened = shares.groupBy("genid").agg(F.sum("open").cast(WIDE).alias("open")).agg(F.collect_list(F.struct("genid", "open")).alias("o")).scalar()
+    so_far = F.aggregate("_opened", F.lit(0).cast(WIDE), lambda sum_, o: (sum_ + F.when(o["genid"] <= F.col("genid"), o["open"]).otherwise(F.lit(0))).cast(WIDE))
+    sold = sales.groupBy("genid").agg(F.sum("sales").cast(WIDE).alias("totalsales"))
+    header = runs.join(sold, "genid", "left").withColumn("_opened", opened).select(
+        "genid", F.col("fdate").alias("startdate"), F.col("tdate").alias("enddate"), "totalsales", or_zero(so_far).alias("totalrebate"))
+    return BranchBudget(header, lines)
+
+
 def replace_budget(stored: DataFrame, fresh: DataFrame, gen_id: int) -> DataFrame:
     """The stored budget table with one run's rows replaced."""
     return stored.where(F.col("genid") != gen_id).unionByName(fresh, allowMissingColumns=True)

@@ -27,8 +27,9 @@ def invoice_line_fact(oinv: DataFrame, inv1: DataFrame, rin1: DataFrame, aopdet2
     """Invoice lines with credits and payments, both summed before they join.
 
     A credit counts in full against every line of the same case, branch and item.
-    A period keeps only its invoices' lines before anything else joins; all of
-    history takes the credits first, so that everything by document, the last
+    A period keeps only its invoices' lines before anything else joins, and only
+    the payments of its documents and the credits of its cases are summed; all
+    of history takes the credits first, so that everything by document, the last
     sum included, needs one more move of the lines.  Lines in ``marks`` are skipped.
     """
     heads = oinv.select("docentry", "labno", "cardcode", "docdate", "whscode", "pmode")
@@ -37,6 +38,10 @@ def invoice_line_fact(oinv: DataFrame, inv1: DataFrame, rin1: DataFrame, aopdet2
     lines = inv1.where(F.col("u_paymenttyp").isin(list(pay_types))).select(
         "docentry", "linenum", "itemcode", "u_packageno", "u_doctorcode", "u_paymenttyp", "u_labno",
         F.col("whscode").alias("l_whs"), "linetotal")
+    if frm is not None:
+        cases = lines.join(heads.select("docentry"), "docentry", "left_semi").select("u_labno")
+        rin1 = rin1.join(cases, "u_labno", "left_semi")
+        aopdet2 = aopdet2.join(heads.select("docentry"), "docentry", "left_semi")
     credits = rin1.groupBy("u_labno", F.col("whscode").alias("l_whs"), "itemcode").agg(total("linetotal").alias("adj"))
     paid = aopdet2.groupBy("docentry", "linenum").agg(total("linetotal").alias("pay"))
     if frm is None:

@@ -3,15 +3,20 @@
 A form that saved one record becomes a batch of changes applied by one join.
 The result is the whole new table; writing it to a new path is the caller's
 step.  A batch must not name a key twice: the job fails if it does.
+
+A large table is stored in partitions: by run, or by a number worked out from
+its keys (``with_part``).  ``changes_*`` return a ``Changes``: the new rows of
+the partitions a batch touches and the partitions that end empty.  The others
+are neither read nor written (``store.apply``).
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import freeze
-
 NEW = "new_"
 _HIT = "_hit"
 
@@ -81,6 +86,56 @@ def delete_where(target: DataFrame, predicate: Column | None = None, batch: Data
     return target
 
 
+class Changes(NamedTuple):
+    """New content of the touched partitions, and those of them that have no rows left."""
+
+    rows: DataFrame
+    emptied: DataFrame
+
+
+def part_of(keys: list[str], parts: int) -> Column:
+    """The partition of a key: a number below ``parts`` from a digest of the key columns, the same in any engine."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return (F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("bigint") % parts).cast("int")
+
+
+def with_part(table: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """A table with the column ``part`` it is stored by."""
+    return table.withColumn("part", part_of(keys, parts))
+
+
+def touch(target: DataFrame, batch: DataFrame, partition: str, change) -> Changes:
+    """Apply ``change`` to the partitions of ``target`` that ``batch`` has rows of.
+
+    The touched partitions, as many values as the table has folders at most,
+    are a filter on the partition column that is known when the scan starts: a
+    stored table is pruned whatever the batch looks like.
+    """
+    touched = batch.select(partition).distinct()
+    named = touched.agg(F.collect_set(partition).alias("p")).scalar()
+    rows = change(target.where(F.array_contains(named, F.col(partition))))
+    return Changes(rows, touched.join(rows.select(partition), partition, "left_anti"))
+
+
+def changes_of_upsert(target: DataFrame, batch: DataFrame, keys: list[str], assignments: dict[str, str | Column], parts: int,
+                      on_insert: dict[str, str | Column] | None = None) -> Changes:
+    """``keyed_upsert`` on a table stored by the ``part`` of its keys."""
+    batch = with_part(batch, keys, parts)
+    return touch(target, batch, "part", lambda rows: keyed_upsert(rows, batch, [*keys, "part"], assignments, on_insert))
+
+
+def changes_of_update(target: DataFrame, batch: DataFrame, keys: list[str], assignments: dict[str, str | Column], parts: int) -> Changes:
+    """``keyed_update`` on a table stored by the ``part`` of its keys."""
+    batch = with_part(batch, keys, parts)
+    return touch(target, batch, "part", lambda rows: keyed_update(rows, batch, [*keys, "part"], assignments))
+
+
+def changes_of_delete(target: DataFrame, batch: DataFrame, keys: list[str], parts: int) -> Changes:
+    """``delete_where`` by keys on a table stored by the ``part`` of its keys."""
+    batch = with_part(batch.select(*keys), keys, parts)
+    return touch(target, batch, "part", lambda rows: delete_where(rows, batch=batch, keys=[*keys, "part"]))
+
+
 def key_existence(target: DataFrame, batch: DataFrame, keys: list[str],
                   predicate: Column | None = None) -> DataFrame:
     """The batch keys with ``found`` = 1 where the target has a matching row."""
@@ -95,22 +150,46 @@ def next_key(table: DataFrame, key: str) -> DataFrame:
     return table.agg((F.max(F.col(key).cast("bigint")) + 1).alias("next_key"))
 
 
-def number_rows(rows: DataFrame, order: list, name: str) -> DataFrame:
-    """Number rows 1, 2, 3 … in the given order, without one task seeing them all.
+#: Ranges that rows are dealt into for numbering; bounds the table of their sizes.
+RANGES = 4096
+
+
+def _position(column: str, kind: str) -> Column:
+    """A whole number that grows with the column; of a text its first six bytes count."""
+    if kind == "date":
+        return F.datediff(F.col(column), F.lit("0001-01-01").cast("date")).cast("bigint")
+    if kind == "timestamp":
+        return F.unix_micros(column)
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("bigint")
+    return F.floor(F.col(column)).cast("bigint")
+
+
+def number_rows(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Number rows 1, 2, 3 … in the order of some columns, nulls first, without one task seeing them all.
 
-    The sorted rows are frozen, so that both readers below see the same
-    partitions; each row then gets the size of the partitions before its own
-    plus its place inside it.  The table of sizes has one row per partition.
+    Rows are dealt into up to ``RANGES`` stretches of the first column between
+    its least and greatest value.  The stretches are a function of the row
+    alone, so it does no harm that their sizes, which become the offsets, and
+    the rows are read apart; nothing runs before the result is asked for.
+    Inside a stretch rows are numbered by a window over it; stretches of equal
+    width suit keys that are spread out.  Rows equal in all columns of ``order``
+    are told apart by the others.
     """
-    placed = freeze(rows.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
-    part = F.shiftright("_place", 33)
-    inside = F.col("_place").bitwiseAND((1 << 33) - 1)
-    sizes = placed.groupBy(part.alias("_part")).agg((F.max(inside) + 1).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    return (placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-            .withColumn(name, (F.col("_before") + inside + 1).cast("bigint"))
-            .drop("_place", "_part", "_before"))
+    kind = rows.schema[order[0]].dataType.typeName()
+    placed = rows.withColumn("_at", _position(order[0], kind))
+    ends = placed.agg(F.struct(F.min("_at").alias("low"), F.max("_at").alias("high")).alias("e")).scalar()
+    # as doubles, so that no difference of two whole numbers overflows; both readers round alike
+    low, high = ends["low"].cast("double"), ends["high"].cast("double")
+    stretch = F.least(F.floor((F.col("_at").cast("double") - low) * RANGES / F.greatest(high - low, F.lit(1.0))), F.lit(RANGES - 1))
+    placed = placed.withColumn("_stretch", F.when(F.col("_at").isNull(), -1).otherwise(stretch).cast("int")).drop("_at")
+    sizes = placed.groupBy("_stretch").agg(F.count(F.lit(1)).alias("n"))
+    listed = sizes.agg(F.array_sort(F.collect_list(F.struct("_stretch", "n"))).alias("_all"))
+    before = F.aggregate(F.slice("_all", F.lit(1), F.col("_pos")), F.lit(0).cast("bigint"), lambda total, s: total + s["n"])
+    offsets = listed.select("_all", F.posexplode("_all").alias("_pos", "_one")).select(F.col("_one._stretch").alias("_s"), before.alias("_before"))
+    inside = Window.partitionBy("_stretch").orderBy(*order, *[c for c in rows.columns if c not in order])
+    numbered = placed.withColumn("_nth", F.row_number().over(inside))
+    return numbered.join(offsets, F.col("_stretch") == F.col("_s")).withColumn(name, F.col("_before") + F.col("_nth")).select(*rows.columns, name)
 
 
 def append_with_identity(target: DataFrame, batch: DataFrame, key: str, order: list,

@@ -71,7 +71,7 @@ def rep_retag_scd2(tags: DataFrame, clinicians: DataFrame, payees: DataFrame, ba
 
 
 def retag_log(changes: DataFrame, last_log: int = 0) -> DataFrame:
-    """Log rows of a retag, numbered on from the last one of the log.  Numbering sorts and writes the rows."""
+    """Log rows of a retag, numbered on from the last one of the log."""
     return number_rows(changes, ["cardcode"], "_n").withColumn("docentry", F.col("_n") + F.lit(last_log)).drop("_n")
 
 

@@ -161,9 +161,12 @@ def linked_credits(lines: DataFrame, rin1: DataFrame, scale: int = 0, heads: Dat
     return lines.join(linked, ["docentry", "linenum"], "left")
 
 
-def loose_credits(lines: DataFrame, rin1: DataFrame, scale: int = 0) -> DataFrame:
-    """Add ``cm``: the linked credits plus those of the same branch, item and case."""
-    loose = rin1.where("baseline is null").groupBy("whscode", "itemcode", "u_labno").agg(
+def loose_credits(lines: DataFrame, rin1: DataFrame, scale: int = 0, cases: DataFrame | None = None) -> DataFrame:
+    """Add ``cm``: the linked credits plus those of the same branch, item and case; with ``cases``, only theirs are summed."""
+    loose = rin1.where("baseline is null")
+    if cases is not None:
+        loose = loose.join(cases.select("u_labno"), "u_labno", "left_semi")
+    loose = loose.groupBy("whscode", "itemcode", "u_labno").agg(
         F.sum("linetotal").cast("decimal(18,2)").alias("cm_u"))
     first = F.coalesce(F.col("cm_l"), F.lit(0).cast(f"decimal(18,{scale})"))
     both = F.when(F.col("cm_u").isNull(), first).otherwise(_stored(first + F.col("cm_u"), scale))
@@ -282,7 +285,8 @@ def rated_lines(t, frm=None, to=None, gen_id=None, runs=None, ledger=None, scale
     lines = rebate_exclusions(linked_credits(lines, t.rin1, scale, heads), t.rb_norebate)
     lines = rate_combination_key(lines, special_test_set(t.item_masterh, t.spclinhouse), t.item_masterh,
                                  inhouse_rates(t.spclinhouse, scale))
-    lines = net_positive_filter(loose_credits(lines, t.rin1, scale), scale)
+    cases = None if heads is None else of_documents(t.inv1.select("docentry", F.rtrim("u_labno").alias("u_labno")), heads)
+    lines = net_positive_filter(loose_credits(lines, t.rin1, scale, cases), scale)
     return rate_waterfall(lines, t.spclinhouse, t.rac_rebratecombination, t.ocrd, scale)
 
 

@@ -7,12 +7,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import day
+from ..functions.dates import day, day_span
 from ..functions.money import ZERO, amount, or_zero, total
 from ..functions.text import only_branches, optional, or_blank
 from .banding import active_payees, payee_scheme_banding
 from .commission import NO_REP, NO_REP_NAME
-from .keyed import append_with_identity, keyed_update
+from .keyed import Changes, append_with_identity, keyed_update, touch
 
 # States of a detail and of a cheque.
 OPEN, APPROVED, POSTED = 0, 1, 2
@@ -148,6 +148,11 @@ def rebate_status_update(details: DataFrame, batch: DataFrame, keys: list[str],
     return keyed_update(details, batch, keys, assignments)
 
 
+def changes_of_status(details: DataFrame, batch: DataFrame, update) -> Changes:
+    """A status change (``approve_payees``, ``exclude_documents``) on details stored by run: only the batch's runs come back."""
+    return touch(details, batch, "genid", lambda rows: update(rows, batch))
+
+
 def approve_payees(details: DataFrame, batch: DataFrame) -> DataFrame:
     """Open details of the (run, payee, branch) keys become approved and payable."""
     return rebate_status_update(details, batch, ["genid", "u_paycode", "whscode"],
@@ -237,6 +242,26 @@ def generation_register(runs: DataFrame, new: DataFrame) -> DataFrame:
     return append_with_identity(named, new.where("genid = 0").drop("genid"), "genid", ["fdate", "tdate"])
 
 
+class ResetChanges(NamedTuple):
+    """What a reset changes: runs to drop (with their details' partitions) and the ledger's touched partitions."""
+
+    dropped: DataFrame
+    ledger: Changes
+
+
+def changes_of_reset(runs: DataFrame, ledger: DataFrame, oinv: DataFrame, batch: DataFrame) -> ResetChanges:
+    """``generation_reset`` of the unpaid runs that a batch names, for tables stored by run.
+
+    Their details are whole partitions and need not be read; of the ledger only
+    their partitions are, and marks outside the run's dates stay.
+    """
+    dropped = runs.where("paymentdate is null").join(batch.select("genid").distinct(), "genid", "left_semi").select("genid", "fdate", "tdate")
+    days = dropped.select("genid", day_span("fdate", "tdate", "recondate"))
+    dated = oinv.select("docentry", "recondate").join(days, "recondate").select("genid", "docentry")
+    left = touch(ledger, dropped, "genid", lambda rows: rows.join(dated, ["genid", "docentry"], "left_anti").select(*ledger.columns))
+    return ResetChanges(dropped.select("genid"), left)
+
+
 class Reset(NamedTuple):
     runs: DataFrame
     details: DataFrame

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import budget as b
 from ..operators.banding import budget_gate
 from .registry import register
 from .results_sql import D2, ages, pct, ratio, sum2, zero
 
 AS_OF = "2001-08-31"
-FIRST, LAST = 1, 80
 
 
 def core(t):
@@ -48,7 +49,7 @@ register("aging_bucket_pivot", pivot,
          f"select u_paycode, whscode, {ages('ndys', 'rebate')} from {_rows()} where ndys >= 0 group by 1, 2")
 for _kind in ("CLINICIAN", "ACCOUNT"):
     register("payment_candidates" if _kind == "CLINICIAN" else "payment_candidates_accounts",
-             lambda t, kind=_kind: b.payment_candidates(*core(t), t.oslp, AS_OF, kind, "All", FIRST, LAST, "1000.00"),
+             lambda t, kind=_kind: b.payment_candidates(*core(t), t.oslp, AS_OF, kind, "All", None, None, "1000.00"),
              f"""select g.u_paycode paycode, coalesce(p.pname, 'NO SETUP') payname, g.budget, {', '.join(zero('a.' + c) + ' ' + c for c in ('d01_30', 'd31_60', 'd61_90', 'd91_120', 'over120'))},
              coalesce(p.add1, '') add1, coalesce(o.slpname, '') slpname, coalesce(p.acctnum, '') acctnum, coalesce(p.telno, '') telno, o.slpcode,
              g.actype, g.isforpaymnt
@@ -56,10 +57,10 @@ for _kind in ("CLINICIAN", "ACCOUNT"):
                  where budgetstat = 1 group by 1, 2, 3) g
              left join (select u_paycode, {ages('ndys', 'rebate')} from {_rows(_OPEN, _kind)} where ndys >= 0 group by 1) a on a.u_paycode = g.u_paycode
              left join fx_payees p on p.pid = g.u_paycode left join fx_oslp o on o.slpcode = p.slpcode where g.budget > 1000""")
-register("payment_detail_lines", lambda t: b.payment_detail_lines(*core(t), AS_OF, FIRST, LAST),
+register("payment_detail_lines", lambda t: b.payment_detail_lines(*core(t), AS_OF),
          f"""select {_DOC}, ndys, budgetstat, isexcluded, {sum2('rebate')} rebate
          from {_gate(_rows(), _DOC + ', actype, ndys, isexcluded', 0, 1)} group by all""")
-register("payee_branch_gate", lambda t: b.payee_branch_gate(*core(t), "CLINICIAN", None, FIRST, LAST),
+register("payee_branch_gate", lambda t: b.payee_branch_gate(*core(t), "CLINICIAN", None, None, None),
          f"select * from {_gate(_rows(_OPEN, 'CLINICIAN'), _BY_BRANCH)}")
 _PAYABLE = f"""(select * from {_gate(_rows(), _DOC + ', actype, ndys, isexcluded, slpcode, genid')} where budgetstat = 1 and isexcluded = 0)"""
 register("payment_header", lambda t: b.payment_header(*core(t), t.soadate, AS_OF),
@@ -69,25 +70,32 @@ register("payment_lines", lambda t: b.payment_lines(*core(t), AS_OF),
          f"select u_paycode, whscode, {sum2('rebate')} rebate from {_PAYABLE} group by 1, 2")
 
 
-LAST_FULL = 79
+def created(t):
+    """The budget of every run, against everything unpaid up to it."""
+    return b.branch_budgets(t.jdt1, t.ojdt, t.oact, *core(t), t.soadate)
 
 
-def created(t):
-    """The budget of the last full month, against everything rated up to it."""
-    return b.branch_budget_create(t.jdt1, t.ojdt, t.oact, *core(t), t.soadate, LAST_FULL, FIRST)
-
-
-_SOLD = f"""(select a.segment_1, cast(cast(sum(j.credit) as {D2}) - cast(sum(j.debit) as {D2}) as decimal(28,2)) sales from fx_jdt1 j
-    join fx_oact a on a.acctcode = j.account join fx_ojdt t on t.transid = j.transid join fx_soadate r on r.genid = {LAST_FULL}
-    where a.segment_0 = '40100' and t.refdate between r.fdate and r.tdate group by 1)"""
-_GATED = _gate(_rows(_OPEN + f' and d.genid between {FIRST} and {LAST_FULL}'), _BY_BRANCH)
-register("branch_budget_create", lambda t: created(t).lines,
-         f"""select {LAST_FULL} genid, s.segment_1 whscode, s.sales, cast(2 as {D2}) percnt, cast({pct('s.sales', '2')} as decimal(28,2)) budgetamt,
-         {zero('g.v')} rebates from {_SOLD} s left join (select whscode, {sum2('rebate')} v from {_GATED} where budgetstat = 1 group by 1) g
-         on g.whscode = s.segment_1""")
+def created_for_last(t):
+    """The same for the last run alone, as one run makes it."""
+    last = t.soadate.agg(F.max("genid").alias("g")).scalar()
+    return b.branch_budget_create(t.jdt1, t.ojdt, t.oact, *core(t), t.soadate, last, 0)
+
+
+_SOLD = f"""(select r.genid, a.segment_1, cast(cast(sum(j.credit) as {D2}) - cast(sum(j.debit) as {D2}) as decimal(28,2)) sales from fx_jdt1 j
+    join fx_oact a on a.acctcode = j.account join fx_ojdt t on t.transid = j.transid join fx_soadate r on t.refdate between r.fdate and r.tdate
+    where a.segment_0 = '40100' group by 1, 2)"""
+_UP_TO = f"(select r.genid run, d.* exclude (genid) from fx_soadate r join {_rows(_OPEN)} d on d.genid <= r.genid)"
+_GATED = _gate(_UP_TO, "run, " + _BY_BRANCH)
+_BUDGET = f"""select s.genid, s.segment_1 whscode, s.sales, cast(2 as {D2}) percnt, cast({pct('s.sales', '2')} as decimal(28,2)) budgetamt,
+         {zero('g.v')} rebates from {_SOLD} s left join (select run, whscode, {sum2('rebate')} v from {_GATED} where budgetstat = 1 group by 1, 2) g
+         on g.whscode = s.segment_1 and g.run = s.genid"""
+register("branch_budget_create", lambda t: created(t).lines, _BUDGET)
 register("branch_budget_create_header", lambda t: created(t).header,
-         f"""select {LAST_FULL} genid, r.fdate startdate, r.tdate enddate, (select cast(sum(sales) as decimal(28,2)) from {_SOLD}) totalsales,
-         {zero('(select ' + sum2('rebate') + ' from ' + _GATED + ')')} totalrebate from fx_soadate r where r.genid = {LAST_FULL}""")
+         f"""select r.genid, r.fdate startdate, r.tdate enddate, s.v totalsales, {zero('g.v')} totalrebate from fx_soadate r
+         left join (select genid, cast(sum(sales) as decimal(28,2)) v from {_SOLD} group by 1) s on s.genid = r.genid
+         left join (select run, {sum2('rebate')} v from {_GATED} group by 1) g on g.run = r.genid""")
+register("branch_budget_create_one_run", lambda t: created_for_last(t).lines,
+         f"select * from ({_BUDGET}) where genid = (select max(genid) from fx_soadate)")
 register("budget_summary", lambda t: b.budget_summary(t.rac_rebbudgethdr, t.rac_rebbudgetdtl),
          f"""select genid, startdate, enddate, cast(s as decimal(28,2)) totalsales, cast(b as decimal(28,2)) totalbudget, cast(r as decimal(28,2)) totalrebate,
          cast(b - r as decimal(28,2)) totalexcess, {ratio('r', 's')} totalprcnttosales from (select h.genid, h.startdate, h.enddate,

@@ -73,3 +73,48 @@ register("key_existence_free_numbers",
              "acctno", F.col("cheqnum").alias("chknum")), ["acctno", "chknum"], F.expr("stat = 0")),
          """select c.acctno, c.cheqnum chknum, max(case when d.stat = 0 then 1 else 0 end) found from fx_cheques c left join fx_book b on b.acctno = c.acctno
          left join fx_bookdtl d on d.id = b.id and d.chknum = c.cheqnum where c.cheqnum is not null group by 1, 2""")
+
+
+# --- only the partitions a batch touches ------------------------------------------
+
+PARTS = 64
+
+
+def _part(*keys: str) -> str:
+    """The partition of a key in SQL."""
+    text = " || '|' || ".join(f"coalesce(cast({k} as varchar), '')" for k in keys)
+    return f"(('0x' || substr(md5({text}), 1, 7))::bigint % {PARTS})::int"
+
+
+def late_targets(t):
+    """New targets for the last period, in the partitions those keys lie in."""
+    last = t.calendar.agg(F.max(F.struct("yr", "pd")).alias("p")).scalar()
+    return new_targets(t).where((F.col("yr") == last["yr"]) & (F.col("pd") == last["pd"]))
+
+
+_LATE = f"(select * from {_ODD} where (yr, pd) in (select (yr, pd) from fx_calendar order by yr desc, pd desc limit 1))"
+_TARGETS = f"(select *, {_part('slpcode', 'yr', 'pd')} part from fx_targets)"
+_LATE_PARTS = f"(select distinct {_part('slpcode', 'yr', 'pd')} from {_LATE})"
+register("keyed_upsert_changes",
+         lambda t: k.changes_of_upsert(k.with_part(t.comtargetdtl, ["slpcode", "yr", "pd"], PARTS), late_targets(t), ["slpcode", "yr", "pd"], {"amt": "amt"}, PARTS).rows,
+         f"""select coalesce(g.slpcode, b.slpcode) slpcode, coalesce(g.yr, b.yr) yr, coalesce(g.pd, b.pd) pd, coalesce(b.amt, g.amt) amt,
+         coalesce(g.part, {_part('b.slpcode', 'b.yr', 'b.pd')}) part from (select * from {_TARGETS} where part in {_LATE_PARTS}) g
+         full join {_LATE} b on b.slpcode = g.slpcode and b.yr = g.yr and b.pd = g.pd""")
+
+
+def last_month(t):
+    """The accounts invoiced on the last day of all."""
+    return t.oinv.where(F.col("docdate") == t.oinv.agg(F.max("docdate")).scalar()).select("cardcode").distinct()
+
+
+_LAST_DAY = "(select distinct cardcode from fx_oinv where docdate = (select max(docdate) from fx_oinv))"
+_ACCOUNTS = f"(select cardcode, rebrates, rbprclvl, {_part('cardcode')} part from fx_ocrd)"
+_TOUCHED = f"part in (select {_part('cardcode')} from {_LAST_DAY})"
+register("keyed_update_changes",
+         lambda t: k.changes_of_update(k.with_part(t.ocrd.select("cardcode", "rebrates", "rbprclvl"), ["cardcode"], PARTS),
+                                       last_month(t).withColumn("level", F.lit(1)), ["cardcode"], {"rbprclvl": "level"}, PARTS).rows,
+         f"""select a.cardcode, rebrates, case when b.cardcode is not null then 1 else rbprclvl end rbprclvl, part from {_ACCOUNTS} a
+         left join {_LAST_DAY} b on b.cardcode = a.cardcode where {_TOUCHED}""")
+register("delete_where_changes",
+         lambda t: k.changes_of_delete(k.with_part(t.ocrd.select("cardcode", "rebrates", "rbprclvl"), ["cardcode"], PARTS), last_month(t), ["cardcode"], PARTS).rows,
+         f"select * from {_ACCOUNTS} a where {_TOUCHED} and not exists (select 1 from {_LAST_DAY} b where b.cardcode = a.cardcode)")

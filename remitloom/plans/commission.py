@@ -36,16 +36,25 @@ register("incidental_zeroing",
          cast(case when hospital = 'INCIDENTAL' and ti_test_grp <> 'SP' then 0 else paid end as decimal(18,2)) paid from st_segment""")
 _COMM = ["docentry", "docdate", "labno", "linenum", "itemcode", "whscode", "slpcode", "groupcode", "bpcode", "bpname",
          "hospital", "linetotal", "paid", "ti_test_grp"]
-register("commission_generation",
-         lambda t: c.commission_generation(t, 7, "1995-01-01", "2001-12-31", "u1", AS_OF).details.select(*_COMM, "isprocess", "genid"),
+
+
+def one_run(t):
+    """A run over the whole span of the invoices."""
+    first, last = (t.oinv.agg(end("docdate").alias("d")).scalar() for end in (F.min, F.max))
+    return c.commission_generation(t, 7, first, last, "u1", AS_OF)
+
+
+register("commission_generation", lambda t: one_run(t).details.select(*_COMM, "isprocess", "genid"),
          f"select {', '.join(_COMM)}, 0 isprocess, 7 genid from st_commline")
 register("commission_generation_marks",
-         lambda t: c.commission_generation(t, 7, "1995-01-01", "2001-12-31", "u1", AS_OF).marks,
+         lambda t: one_run(t).marks,
          "select distinct docentry, linenum, itemcode from st_commline")
+register("commission_generation_header", lambda t: one_run(t).header,
+         f"select 7 genid, min(docdate) datefrom, max(docdate) dateto, 'u1' createdby, date '{AS_OF}' createddate from fx_oinv")
 register("commission_generation_skip_marked",
          lambda t: c.commission_lines(t, marks=t.rac_commcomputationdtl.where("genid <= 3")).select(*_COMM),
-         f"""select {', '.join(_COMM)} from st_commline l anti join
-         (select docentry, linenum, itemcode from st_comm where genid <= 3) m using (docentry, linenum, itemcode)""")
+         f"""select {', '.join('l.' + x for x in _COMM)} from st_commline l
+         where not exists (select 1 from st_comm m where m.genid <= 3 and m.docentry = l.docentry and m.linenum = l.linenum and m.itemcode = l.itemcode)""")
 
 
 def _months(where: str, run: str = "") -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import rating as r
 from ..operators.banding import for_payment_flag, payee_scheme_banding
 from ..functions.money import total
@@ -93,13 +95,20 @@ register("rebate_generation_exact", lambda t: r.rebate_details(t, runs=t.soadate
          f"select {', '.join(_DETAIL)}, isforpayment from st_details_s2")
 
 
+def whole_span(t, ledger=None):
+    """Run 81 over the whole span of the invoices."""
+    first, last = (t.oinv.agg(end("recondate").alias("d")).scalar() for end in (F.min, F.max))
+    return r.rebate_generation(t, 81, first, last, ledger)
+
+
 def one_run_over_everything(t):
     """A single run whose dates span all invoices, after a ledger of lines rated before."""
     ledger = freeze(t.rac_rbdetailstrans.where("genid <= 40").select("docentry", "linenum", "genid").distinct(), "ledger")
-    run = r.rebate_generation(t, 81, "1995-01-01", "2001-12-31", ledger)
-    return run.details.select("genid", "docentry", "linenum", "u_paycode", "whscode", "comtype", "rebatesamnt", "fund")
+    return whole_span(t, ledger).details.select("genid", "docentry", "linenum", "u_paycode", "whscode", "comtype", "rebatesamnt", "fund")
 
 
+register("rebate_generation_run", lambda t: whole_span(t).runs,
+         """select 81 genid, min(recondate) fdate, max(recondate) tdate, max(recondate) asofdate, cast(null as date) paymentdate from fx_oinv""")
 register("rebate_generation_incremental", one_run_over_everything,
          """select 81 genid, docentry, linenum, u_paycode, whscode, comtype, rebatesamnt, fund from st_amounts_s0 a
          where genid > 40 or not exists (select 1 from st_amounts_s0 e where e.genid <= 40 and e.docentry = a.docentry and e.linenum = a.linenum)""")

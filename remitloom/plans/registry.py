@@ -43,4 +43,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that fill the catalogue."""
-    from . import aging, budget, changes, cheques, commission, masters, rating, review  # noqa: F401
+    from . import aging, budget, changes, cheques, commission, masters, rating, review, text_rule  # noqa: F401

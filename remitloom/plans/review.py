@@ -141,14 +141,15 @@ register("generation_list_commission", lambda t: r.commission_run_list(t.rac_com
 
 def registered(t):
     """Register next year's months: the runs of the past twelve months shifted, with ids still to assign."""
-    new = t.soadate.where("genid > 68").selectExpr("0 as genid", "add_months(fdate, 12) as fdate",
+    last = t.soadate.agg(F.max("genid").alias("g")).scalar()
+    new = t.soadate.where(F.col("genid") > last - 12).selectExpr("0 as genid", "add_months(fdate, 12) as fdate",
                                                    "last_day(add_months(fdate, 12)) as tdate", "add_months(asofdate, 12) as asofdate")
     return r.generation_register(t.soadate, new).select("genid", "fdate", "tdate")
 
 
 register("generation_register", registered,
          """select genid, fdate, tdate from fx_soadate union all select (select max(genid) from fx_soadate) + row_number() over (order by fdate),
-         cast(fdate + interval 12 month as date), last_day(cast(fdate + interval 12 month as date)) from fx_soadate where genid > 68""")
+         cast(fdate + interval 12 month as date), last_day(cast(fdate + interval 12 month as date)) from fx_soadate where genid > (select max(genid) - 12 from fx_soadate)""")
 
 
 def reset(t, **how):
@@ -167,3 +168,33 @@ register("generation_reset_forced", lambda t: reset(t, gen_id=40, force=True, fr
          f"""select l.* from {_LEDGER} l join fx_oinv o on o.docentry = l.docentry
          where o.recondate not between date '1998-03-10' and date '1998-05-20'""")
 register("next_key", lambda t: k.next_key(t.soadate, "genid"), "select max(genid) + 1 next_key from fx_soadate")
+
+
+# --- only the runs that change ------------------------------------------------------
+
+def unpaid_totals(t):
+    """Branch totals over 2,000 of the runs not paid yet."""
+    details = t.rac_rbdetailstrans.join(t.soadate.where("paymentdate is null").select("genid"), "genid", "left_semi")
+    return details.groupBy("genid", "u_paycode", "whscode").agg(F.sum("rebatesamnt").alias("s")).where("s > 2000").drop("s")
+
+
+_OPEN_RUNS = "(select genid from fx_soadate where paymentdate is null)"
+register("rebate_status_update_changes",
+         lambda t: r.changes_of_status(t.rac_rbdetailstrans, unpaid_totals(t), r.approve_payees).rows.select(
+             "genid", "docentry", "linenum", "u_paycode", "whscode", "isforpayment", "stat"),
+         f"""select d.genid, d.docentry, d.linenum, d.u_paycode, d.whscode, case when b.genid is not null and d.stat = 0 then 1 else d.isforpayment end isforpayment,
+         case when b.genid is not null and d.stat = 0 then 1 else d.stat end stat from st_detail d
+         left join {_BIG} b on b.genid = d.genid and b.u_paycode = d.u_paycode and b.whscode = d.whscode
+         where d.genid in {_OPEN_RUNS} and d.genid in (select genid from {_BIG})""")
+
+
+def reset_unpaid(t):
+    """Withdraw every second run, as far as it is not paid yet."""
+    ledger = t.rac_rbdetailstrans.groupBy("docentry", "linenum").agg(F.min("genid").alias("genid"))
+    return r.changes_of_reset(t.soadate, ledger, t.oinv, t.soadate.where("genid % 2 = 0"))
+
+
+register("generation_reset_changes_dropped", lambda t: reset_unpaid(t).dropped, f"select * from {_OPEN_RUNS} where genid % 2 = 0")
+register("generation_reset_changes_ledger", lambda t: reset_unpaid(t).ledger.rows,
+         f"""select l.docentry, l.linenum, l.genid from {_LEDGER} l join fx_soadate r on r.genid = l.genid join fx_oinv o on o.docentry = l.docentry
+         where r.genid % 2 = 0 and r.paymentdate is null and o.recondate not between r.fdate and r.tdate""")

@@ -111,6 +111,18 @@ def drop_partition(spark: SparkSession, path: str, partition_by: str, value) ->
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def apply(rows: DataFrame, emptied: DataFrame, path: str, partition_by: str) -> None:
+    """Write the changed partitions of a stored table and remove those left empty; no other file is touched.
+
+    Both are frozen first, as they read the table that changes.  What the driver
+    sees is one value for each partition left empty.
+    """
+    rows, emptied = freeze(rows, "changes"), freeze(emptied, "emptied")
+    replace_partitions(rows, path, partition_by)
+    for row in emptied.select(partition_by).collect():
+        drop_partition(rows.sparkSession, path, partition_by, row[0])
+
+
 def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Add rows to a stored table."""
     save(df, path, partition_by, mode="append")
