@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import OPEN_END, day, month_label, month_start, years_apart
 from ..functions.money import amount, or_zero, percent_of, total
 from ..functions.text import is_blank, optional, or_blank
+from .product import product
 
 # Codes the commission rules name.
 COMMISSION_PAY_TYPES = ["1", "3", "5", "7"]
@@ -80,17 +81,41 @@ def account_segment(lines: DataFrame, ocrd: DataFrame, odrs: DataFrame, special:
                     F.coalesce("ti_test_grp", F.lit("REGULAR")).alias("ti_test_grp"), "linenum"))
 
 
-def asof_rep_assignment(lines: DataFrame, bpslp: DataFrame) -> DataFrame:
+#: A code with more tag intervals than this is matched month by month.
+DENSE = 32
+_ANY_MONTH = "1900-01-01"
+
+
+def tag_months(tags: DataFrame, dense: DataFrame) -> DataFrame:
+    """Tag intervals with ``_bin``: a row for each month an interval touches if its code is dense, else one row."""
+    months = F.sequence(F.trunc("sdate", "MM").cast("date"), F.trunc("edate", "MM").cast("date"), F.expr("interval 1 month"))
+    bins = F.when(F.col("_dense"), months).otherwise(F.array(day(_ANY_MONTH)))
+    return tags.where("sdate <= edate").join(dense, ["stype", "bpcode"], "left").withColumn("_bin", F.explode(bins)).drop("_dense")
+
+
+def asof_rep_assignment(lines: DataFrame, bpslp: DataFrame, dense: int = DENSE) -> DataFrame:
     """Add the rep tagged on the invoice date: by account for group 100, by clinician for 102.
 
-    One interval join with an equality on (group, code) serves both groups;
-    lines of other groups have no rep rule and drop out.
+    One interval join with an equality on (group, code, bin) serves both groups;
+    lines of other groups have no rep rule and drop out.  A code with many
+    intervals would meet every line with each of them, in one task: there the
+    bin is the month of the invoice, and a line meets its month's intervals
+    only.  Codes with more than ``dense`` intervals are found by a count and
+    are few, so that Spark sends them to all tasks.  Group, code and bin are one
+    key: a layout by the code alone would bring a hot code back into one task.
     """
     code = F.when(F.col("groupcode") == 100, F.col("cardcode")).otherwise(F.col("u_doctorcode"))
     tags = bpslp.select("stype", "bpcode", "bpname", "slpcode", "sdate", "edate")
-    match = ((F.col("stype") == F.col("groupcode")) & (F.col("bpcode") == code)
-             & F.to_date("docdate").between(F.col("sdate"), F.col("edate")))
-    return lines.where(F.col("groupcode").isin(100, 102)).join(tags, match, "left").drop("stype", "sdate", "edate")
+    many = tags.groupBy("stype", "bpcode").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select(
+        "stype", "bpcode", F.lit(True).alias("_dense"))
+    wanted = many.select(F.col("stype").alias("groupcode"), F.col("bpcode").alias("_code"), "_dense")
+    month = F.when(F.col("_dense"), F.trunc("docdate", "MM").cast("date")).otherwise(day(_ANY_MONTH))
+    rows = (lines.where(F.col("groupcode").isin(100, 102)).withColumn("_code", code).join(wanted, ["groupcode", "_code"], "left")
+            .withColumn("_month", month).drop("_dense"))
+    rows = rows.withColumn("_key", F.struct("groupcode", "_code", "_month"))
+    spans = tag_months(tags.where("bpcode is not null"), many).withColumn("_tag", F.struct(F.col("stype").cast(lines.schema["groupcode"].dataType), "bpcode", "_bin"))
+    match = (F.col("_key") == F.col("_tag")) & F.to_date("docdate").between(F.col("sdate"), F.col("edate"))
+    return rows.join(spans, match, "left").drop("stype", "sdate", "edate", "_bin", "_month", "_code", "_key", "_tag")
 
 
 def incidental_zeroing(lines: DataFrame) -> DataFrame:
@@ -244,15 +269,8 @@ def mark_processed(detail: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def _each_period(rows: DataFrame, calendar: DataFrame, year=None, month=None) -> DataFrame:
-    """Rows × the distinct periods of a calendar.
-
-    The calendar is reduced to one array (twelve entries a year) and handed to
-    every row as a scalar, so there is no join at all.
-    """
-    periods = optional(calendar, yr=year, pd=month or None)
-    grid = periods.agg(F.array_sort(F.collect_set(F.struct("yr", "pd"))).alias("p"))
-    return rows.withColumn("_p", grid.scalar()).withColumn("_p", F.explode("_p")).select(
-        *rows.columns, "_p.yr", "_p.pd")
+    """Rows × the distinct periods of a calendar."""
+    return product(rows, optional(calendar, yr=year, pd=month or None).select("yr", "pd"))
 
 
 def sales_target_grid(reps: DataFrame, calendar: DataFrame, targets: DataFrame, year=None, month=None,

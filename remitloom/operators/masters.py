@@ -13,6 +13,7 @@ from ..functions.money import or_zero, total
 from ..functions.text import holds, labelled, optional, optional_contains, or_blank
 from .commission import NO_REP, NO_REP_NAME
 from .keyed import insert_if_absent, keyed_update, number_rows, unique_batch
+from .product import product
 
 # Defaults and names the masters use.
 DEFAULT_PRICE_LEVEL = 3
@@ -107,10 +108,8 @@ def _open_branches(branches: DataFrame, stat: str = "stat") -> DataFrame:
 
 
 def _per_branch(rows: DataFrame, branches: DataFrame) -> DataFrame:
-    """Rows × branches.  The branch master is one small array handed to every row, not a join."""
-    grid = branches.agg(F.array_sort(F.collect_set(F.struct("code", "blk"))).alias("b"))
-    return rows.withColumn("_b", grid.scalar()).withColumn("_b", F.explode("_b")).select(
-        *rows.columns, F.col("_b.code").alias("u_branch"), F.col("_b.blk").alias("u_bname"))
+    """Rows × branches."""
+    return product(rows, branches.select(F.col("code").alias("u_branch"), F.col("blk").alias("u_bname")))
 
 
 def share_expand_branches(clinicians: DataFrame, branches: DataFrame, shares: DataFrame) -> NewPayees:

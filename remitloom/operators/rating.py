@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import day, day_span
+from ..functions.dates import day, day_span, month_start
 from ..functions.money import at_scale, shared_amount
 from ..functions.text import clean_code, or_blank
 from ..sources.store import freeze
@@ -48,7 +48,8 @@ def rebate_eligible_lines(oinv: DataFrame, inv1: DataFrame, ocrd_ext: DataFrame,
 
     Either one run (``frm``, ``to``, ``gen_id``) or many (``runs``).  Lines in
     ``ledger`` were rated before and are skipped; only its lines of the run's
-    invoices are compared.
+    invoices are compared, and of a ledger stored by ``month`` (of the invoice)
+    only the run's months are read.
     """
     heads = oinv.select("docentry", "cardcode", "cardname", "recondate", "docdate", F.col("whscode").alias("h_whs"),
                         "pmode")
@@ -70,6 +71,8 @@ def rebate_eligible_lines(oinv: DataFrame, inv1: DataFrame, ocrd_ext: DataFrame,
     rows = lines.join(heads, "docentry")
     if ledger is None:
         return rows
+    if runs is None and "month" in ledger.columns:
+        ledger = ledger.where(F.col("month").between(month_start(day(frm)), month_start(day(to))))
     rated = of_documents(ledger.select("docentry", "linenum"), heads)
     return rows.join(rated, ["docentry", "linenum"], "left_anti")
 
@@ -319,12 +322,27 @@ def new_marks(details: DataFrame, ledger: DataFrame) -> DataFrame:
         ledger.select("docentry", "linenum"), ["docentry", "linenum"], "left_anti")
 
 
+def monthly_marks(details: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """``new_marks`` with the month of their invoice, the partition a large ledger is stored by.
+
+    Of a ledger that has months only those of the details are compared.
+    """
+    marks = details.groupBy("docentry", "linenum").agg(F.min("genid").alias("genid"), month_start(F.min("recondate")).alias("month"))
+    if ledger is None:
+        return marks
+    if "month" in ledger.columns:
+        months = details.agg(F.collect_set(month_start(F.col("recondate"))).alias("m")).scalar()
+        ledger = ledger.where(F.array_contains(months, F.col("month")))
+    return marks.join(ledger.select("docentry", "linenum"), ["docentry", "linenum"], "left_anti")
+
+
 class Generation(NamedTuple):
-    """What one rating run writes."""
+    """What one rating run writes; ``marks`` is what an append adds to the ledger, ``ledger`` the whole of it."""
 
     details: DataFrame
     runs: DataFrame
     ledger: DataFrame
+    marks: DataFrame
 
 
 def rebate_generation(t, gen_id: int, frm, to, ledger: DataFrame | None = None, scale: int = 0) -> Generation:
@@ -335,4 +353,4 @@ def rebate_generation(t, gen_id: int, frm, to, ledger: DataFrame | None = None,
         F.lit(gen_id).cast("int").alias("genid"), day(frm).alias("fdate"), day(to).alias("tdate"),
         day(to).alias("asofdate"), F.lit(None).cast("date").alias("paymentdate"))
     empty = spark.createDataFrame([], "docentry long, linenum int, genid int")
-    return Generation(details, run, incremental_line_marking(details, ledger if ledger is not None else empty))
+    return Generation(details, run, incremental_line_marking(details, ledger if ledger is not None else empty), monthly_marks(details, ledger))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import aging as a
-from .registry import register
+from .registry import CATALOGUE, register
 from .results_sql import D2, ages, sum2, zero
 
 AS_OF = "2001-07-15"
@@ -56,6 +56,16 @@ register("aging_by_payee", lambda t: a.aging_by_payee(*inputs(t), t.rb_payees, A
          {ages('x.nodays', 'x.unpaid')} from (select pcode, whscode, nodays, stat, {sum2('amountpaid')} amountpaid, {sum2('unpaid')} unpaid
          from {_net('pcode, whscode')} group by 1, 2, 3, 4) x left join {_current('pcode, whscode')} c on c.pcode = x.pcode and c.whscode = x.whscode
          left join fx_payees p on p.pid = x.pcode where x.nodays is not null group by 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)""")
+
+
+def stored(t):
+    return a.DaySums(t.aging_unpaid, t.aging_settled, t.aging_current)
+
+
+for _name, _of in (("aging_by_branch", lambda t: a.aging_by_branch_of(stored(t), t.soadate, t.sapset, t.rac_budgethierarchy, AS_OF)),
+                   ("aging_by_branch_collapsed", lambda t: a.aging_by_branch_of(stored(t), t.soadate, t.sapset, t.rac_budgethierarchy, AS_OF, True)),
+                   ("aging_by_payee", lambda t: a.aging_by_payee_of(stored(t), t.soadate, t.rb_payees, AS_OF))):
+    register(f"{_name}_stored", _of, CATALOGUE[_name].sql)
 register("aging_open_items", lambda t: a.aging_open_items(t.rac_rbpayments, t.soadate),
          f"""select p.recid, p.genid, p.whscode, p.pcode, p.unpaidrebates, cast(0 as {D2}) amnttopay, r.paymentdate from fx_payments p
          left join fx_soadate r on r.genid = p.genid where p.status = 2""")

@@ -29,6 +29,7 @@ register("invoice_line_fact", lambda t: fact(t).select(*FACT), f"select {', '.jo
 register("special_item_set", lambda t: c.special_item_set(t.item_masterh), "select * from st_spitem")
 register("account_segment", segments, "select * from st_segment")
 register("asof_rep_assignment", tagged, "select * from st_tagged")
+register("asof_rep_assignment_by_month", lambda t: c.asof_rep_assignment(segments(t), t.bpslp, dense=0), "select * from st_tagged")
 register("incidental_zeroing",
          lambda t: c.incidental_zeroing(segments(t)).select("docentry", "linenum", "hospital", "ti_test_grp", "lineamnt", "linetotal", "paid"),
          """select docentry, linenum, hospital, ti_test_grp, cast(linetotal as decimal(18,2)) lineamnt,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import rating as r
 from ..operators.banding import for_payment_flag, payee_scheme_banding
 from ..functions.money import total
+from ..sources.bindings import by_document
 from ..sources.store import freeze
 from .registry import register
 from .results_sql import banding, sum2
@@ -65,6 +66,8 @@ register("net_positive_filter", lambda t: r.net_positive_filter(with_installment
 for _scale, _name in ((0, "rate_waterfall"), (2, "rate_waterfall_exact")):
     register(_name, lambda t, s=_scale: r.rated_lines(t, runs=t.soadate, scale=s).select(*LINE, "rate", "amt", "comtype"),
              f"select {_LINE}, rate, amt, comtype from st_rated_s{_scale}")
+register("rate_waterfall_bucketed", lambda t: r.rated_lines(by_document(t), runs=t.soadate).select(*LINE, "rate", "amt", "comtype"),
+         f"select {_LINE}, rate, amt, comtype from st_rated_s0")
 register("payee_sharing_split", lambda t: split(t).select(*LINE, "u_paycode", "u_payname", "u_share", "u_fund"),
          f"select {_LINE}, u_paycode, u_payname, u_share, u_fund from st_split_s0")
 for _scale, _name in ((0, "rebate_amounts"), (2, "rebate_amounts_exact")):
@@ -89,6 +92,15 @@ def marked(t):
 
 register("incremental_line_marking", marked,
          "select docentry, linenum, min(genid) genid from st_detail group by 1, 2")
+def marked_later(t):
+    """What the later half of the runs adds to the ledger of the first half."""
+    details = t.rac_rbdetailstrans
+    return r.monthly_marks(details.where("genid > 40"), r.monthly_marks(details.where("genid <= 40")))
+
+
+register("incremental_line_marking_new", marked_later,
+         """select docentry, linenum, min(genid) genid, cast(date_trunc('month', min(recondate)) as date) "month" from st_detail d where genid > 40
+         and not exists (select 1 from st_detail e where e.genid <= 40 and e.docentry = d.docentry and e.linenum = d.linenum) group by 1, 2""")
 register("rebate_generation", lambda t: r.rebate_details(t, runs=t.soadate).select(*_DETAIL, "isforpayment"),
          f"select {', '.join(_DETAIL)}, isforpayment from st_details_s0")
 register("rebate_generation_exact", lambda t: r.rebate_details(t, runs=t.soadate, scale=2).select(*_DETAIL, "isforpayment"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import AMOUNT
 from ..session import tune
-from .store import staged
+from .store import staged, staged_bucketed
 from .tables import Tables
 
 # The branch keys of the star schema's nation table.
@@ -43,6 +43,17 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
     return t
 
 
+#: Facts that are also stored bucketed by document.
+BY_DOCUMENT = ("oinv", "inv1", "aopdet2", "rct2")
+BUCKETS = 16
+
+
+def by_document(t: Tables) -> Tables:
+    """The same tables with the large facts laid out by document, as a warehouse would keep them."""
+    return Tables(lambda name: staged_bucketed(t._spark, t._scope, f"{name}_by_document", lambda: t[name], ["docentry"], BUCKETS)
+                  if name in BY_DOCUMENT else t[name])
+
+
 def _gen(date: str) -> str:
     return f"(year({date}) - 1995) * 12 + month({date})"
 
@@ -575,6 +586,32 @@ def rac_rbaginghistory(t, raw) -> DataFrame:
         "date_add(to_date(o_orderdate), cast(45 + o_orderkey % 3 as int)) as createddate")
 
 
+def _aging_sums(t, name: str, build) -> DataFrame:
+    """A table of sums stored by run."""
+    return staged(t._spark, t._scope, name, build, "genid")
+
+
+@recipe
+def aging_unpaid(t, raw) -> DataFrame:
+    from ..operators.aging import unpaid_sums
+
+    return _aging_sums(t, "aging_unpaid", lambda: unpaid_sums(t.rac_rbpayments))
+
+
+@recipe
+def aging_settled(t, raw) -> DataFrame:
+    from ..operators.aging import settled_sums
+
+    return _aging_sums(t, "aging_settled", lambda: settled_sums(t.rac_rbaginghistory))
+
+
+@recipe
+def aging_current(t, raw) -> DataFrame:
+    from ..operators.aging import current_sums
+
+    return _aging_sums(t, "aging_current", lambda: current_sums(t.rac_rbpayments))
+
+
 @recipe
 def sales(t, raw) -> DataFrame:
     """Sales per run and branch, the input of the budget hierarchy."""

@@ -123,12 +123,40 @@ def apply(rows: DataFrame, emptied: DataFrame, path: str, partition_by: str) ->
         drop_partition(rows.sparkSession, path, partition_by, row[0])
 
 
+def append_batch(df: DataFrame, path: str, batch: str, partition_by: str | None = None) -> None:
+    """Add the rows of a named batch; writing the batch again replaces them.
+
+    A batch is a folder of its own (``batch=…``, a column of the table), so a
+    job that is repeated after a failure leaves no row twice and no row of the
+    failed attempt, whatever partitions that one had written.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
+        raise ValueError(f"not a name for a batch: {batch!r}")
+    save(df, f"{path}/batch={batch}", partition_by, mode="overwrite")
+
+
 def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Add rows to a stored table."""
     save(df, path, partition_by, mode="append")
 
 
 def save_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int,
-                  mode: str = "errorifexists") -> None:
-    """Store a large fact bucketed by its join key, so later joins on it need no shuffle."""
-    df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+                  mode: str = "errorifexists", path: str | None = None) -> None:
+    """Store a large fact bucketed by its join key, so later joins on it need no shuffle.
+
+    The rows are dealt by key first: a bucket is then one file, whatever the
+    number of tasks.  ``path`` puts the files elsewhere than in the warehouse.
+    """
+    writer = df.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys)
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+
+
+def staged_bucketed(spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame], keys: list[str], buckets: int) -> DataFrame:
+    """``staged`` as a bucketed table of the session catalog."""
+    key = (spark.sparkContext.applicationId, scope, name)
+    if key not in _staged:
+        path = scratch(spark, name)
+        table = f"remitloom_{name}_{uuid.uuid4().hex}"
+        save_bucketed(build(), table, keys, buckets, path=path)
+        _staged[key] = (path, table)
+    return spark.table(_staged[key][1])
