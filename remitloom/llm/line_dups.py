@@ -45,9 +45,13 @@ def text_id(text: Column) -> Column:
 
 
 def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(h1, h2, doc_id, text_id, pos) of every line whose key is long enough."""
+    """(h1, h2, doc_id, text_id, pos) of every line whose key is long enough.
+
+    The text is hashed and split before its lines become rows, and goes no further.
+    """
     key = F.col("_key")
-    return docs.select("doc_id", text_id(F.col("text")).alias("text_id"), F.posexplode(lines_of(F.col("text"))).alias("pos", "_line")).select(
+    split = docs.select("doc_id", text_id(F.col("text")).alias("text_id"), lines_of(F.col("text")).alias("_lines"))
+    return split.select("doc_id", "text_id", F.posexplode("_lines").alias("pos", "_line")).select(
         "doc_id", "text_id", "pos", line_key(F.col("_line")).alias("_key")).where(F.length(key) >= min_chars).select(
         F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"), "doc_id", "text_id", "pos")
 
@@ -76,14 +80,23 @@ def dropped_bitmaps(docs: DataFrame, min_docs: int, min_chars: int = 1, policy:
     return words.groupBy("doc_id", "text_id").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("dropped"))
 
 
+def dense(bitmap: Column) -> Column:
+    """A sparse bitmap as an array by word number, so that a line's bit is found at once."""
+    entries = F.array_sort(F.map_entries(bitmap))
+    before = F.concat(F.array(F.lit(-1)), F.transform(entries, lambda e: e["key"]))
+    words = F.zip_with(entries, F.slice(before, F.lit(1), F.size(bitmap)), lambda e, last: F.concat(
+        F.array_repeat(F.lit(0).cast("long"), e["key"] - last - 1), F.array(e["value"])))
+    return F.flatten(words)
+
+
 def split_documents(docs: DataFrame, min_docs: int, min_chars: int = 1, policy: str = "all") -> DataFrame:
     """(row, lines, kept) for every row of ``docs``: the row itself, its lines before dropping, and those that stay."""
     bitmaps = dropped_bitmaps(docs, min_docs, min_chars, policy).select(
-        F.col("doc_id").alias("b_doc"), F.col("text_id").alias("b_text"), "dropped")
+        F.col("doc_id").alias("b_doc"), F.col("text_id").alias("b_text"), dense(F.col("dropped")).alias("dropped"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("own_text", text_id(F.col("row.text")))
     joined = rows.join(bitmaps, F.col("row.doc_id").eqNullSafe(F.col("b_doc")) & (F.col("own_text") == F.col("b_text")), "left")
     lines = lines_of(F.col("row.text"))
-    goes = lambda i: F.coalesce(F.getbit(F.element_at("dropped", F.floor(i / 64).cast("int")), i % 64), F.lit(0)) == 1
+    goes = lambda i: F.coalesce(F.getbit(F.get("dropped", F.floor(i / 64).cast("int")), i % 64), F.lit(0)) == 1
     kept = F.when(F.col("dropped").isNull(), lines).otherwise(F.filter(lines, lambda line, i: ~goes(i)))
     return joined.select("row", lines.alias("lines"), kept.alias("kept"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from remitloom.llm import components, line_dups, near_dups, repeated_spans
+from remitloom.llm.scratch import freeze
 
 from .conftest import LONG, ODD
 
@@ -201,3 +203,29 @@ def test_odd_rows_of_lines(odd):
     assert line_dups.without_repeated_lines(odd.limit(0), 3).count() == 0
     repeated = line_dups.split_documents(odd.union(odd), 1, 1).where(F.size("kept") > 0)
     assert repeated.where("row.doc_id = 1").count() == 0
+
+
+def test_a_chain_of_versions_takes_few_rounds(spark, monkeypatch):
+    """Versions of one document, each linked with the next: rising ids, 2,000 links."""
+    rounds = []
+    monkeypatch.setattr(components, "freeze", lambda df, label: rounds.append(label) or freeze(df, label))
+    edges = spark.range(2000).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(9001, 9002), (9002, 9001), (9003, 9003)], "a long, b long"))
+    found = components.components(edges).groupBy("component").count().collect()
+    assert sorted(map(tuple, found)) == [(0, 2001), (9001, 2), (9003, 1)]
+    assert rounds.count("step") // 2 < 20
+
+
+def test_one_text_of_many_repeated_lines(spark, documents):
+    """Work grows with the lines: the text is hashed below the rows of its lines, and a line's bit is looked up at once."""
+    text = "\n".join(["same", "x"] * 200_000 + ["end"])
+    docs = documents([(1, text), (2, "same\nother"), (3, "same")])
+    plan = line_dups.hashed_lines(docs, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("xxhash64(coalesce(text") and "text#" not in plan[:plan.index("Generate")].replace("text_id#", "")
+    begin = time.perf_counter()
+    rows = {r.row.doc_id: (len(r["lines"]), len(r.kept)) for r in line_dups.split_documents(docs, 2).collect()}
+    assert rows == {1: (400_001, 200_001), 2: (2, 1), 3: (1, 0)} and time.perf_counter() - begin < 60
+
+
+def test_dense_bitmap(spark):
+    row = spark.sql("select map(3, 9L, 0, 5L, 6, 1L) as m, map_from_arrays(array(4), array(7L)) as n").select(line_dups.dense(F.col("m")).alias("m"), line_dups.dense(F.col("n")).alias("n")).first()
+    assert row.m == [5, 0, 0, 9, 0, 0, 1] and row.n == [0, 0, 0, 0, 7]
