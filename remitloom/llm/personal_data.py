@@ -11,6 +11,17 @@ a believed instance; an instance is as sure as its patterns together (one
 minus the product of their doubts).  Sure instances become spans of the kind
 most seeds of their patterns have, unless they touch a span of known form.
 
+A fifth kind, ``key``, has no known form.  Its seeds are words that look drawn
+at random: ``KEY_LENGTH`` or more letters and digits that change places at least
+three times, with three bits or more a character.  Such a word alone is nothing;
+it counts where a pattern is sure of it.  Besides the words before it a key has
+its shape as a pattern: four capitals it begins with, its length and its
+characters.  So keys without a context are found by what they share, and less
+random ones by the context or the shape that random ones have taught.  A word
+ends behind ``:`` and ``=``; quotes and brackets before an identifier are passed
+over.  Words of over 40 characters are no context, and none is looked for
+further than 400 characters back: neither is a word that recurs.
+
 Size: every pattern that qualifies is looked for, whatever their number.  A
 pattern is known by the hash of its words; up to ``broadcast_patterns`` the
 hashes, 8 bytes each, are sent to all tasks.  Beyond that the texts write the
@@ -24,6 +35,8 @@ the end is exclusive; rows that share an id are searched each by its own text.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +46,12 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .scratch import freeze, map_arrow
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "key")
+KEY, KEY_LENGTH = 4, 12
+_KEY = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % KEY_LENGTH)
+_CHANGES = re.compile(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
+_CAPITALS = re.compile(r"[A-Z]{4}")
+_OPENING = "\"'([{<"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match of these can begin only where a run of digits begins, so no long run is read again from each of its digits.
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -84,12 +102,49 @@ def fold(word: str) -> str:
 
 
 _FOLDED = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_WORD = re.compile(r"[^\x20\x09-\x0D:=]*[:=]|[^\x20\x09-\x0D:=]+")
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``arrays.word_spans`` with a word's end behind every ``:`` and ``=``."""
+    starts, ends, first = A.word_spans(data, offsets)
+    marks = np.flatnonzero((data == ord(":")) | (data == ord("="))) + 1
+    owner = np.searchsorted(starts, marks - 1, "right") - 1
+    inner = marks[marks < ends[owner]] if len(marks) else marks
+    if not len(inner):
+        return starts, ends, first
+    starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def random_looking(word: str) -> bool:
+    """Letters and digits that change places three times or more, with three bits or more a character."""
+    if len(_CHANGES.findall(word)) < 3:
+        return False
+    return -sum(n / len(word) * log2(n / len(word)) for n in Counter(word).values()) >= 3
+
+
+def shape(word: str) -> str | None:
+    """The shape of a word that begins with four capitals: those, its length and the kinds of its characters."""
+    if len(word) < KEY_LENGTH or not _CAPITALS.match(word) or not _KEY.fullmatch(word):
+        return None
+    kinds = "".join(k for k, c in (("a", "[a-z]"), ("A", "[A-Z]"), ("0", "[0-9]"), ("-", "[^A-Za-z0-9]")) if re.search(c, word[4:]))
+    return f"\x01{word[:4]}{len(word)}{kinds}"
+
+
+def keys(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of random-looking words that touch no span of known form."""
+    if not _MAYBE.search(text):
+        return []
+    found = [m.span() for m in _KEY.finditer(text) if random_looking(m.group())]
+    return [(a, b) for a, b in found if not any(x < b and a < y for _, x, y in taken)]
 
 
 def contexts(text: str, start: int, reach: int = 400) -> list[str]:
     """The word and the two words before a place, in lower case; words of at most 40 characters."""
-    if start and not text[start - 1].isspace():
+    while start and text[start - 1] in _OPENING:
+        start -= 1
+    if start and not text[start - 1].isspace() and text[start - 1] not in ":=":
         return []
     words = [fold(w) for w in _WORD.findall(text[max(0, start - reach):start])[-2:]]
     return [] if not words or max(map(len, words)) > 40 else [words[-1]] + ([" ".join(words)] if len(words) == 2 else [])
@@ -106,7 +161,10 @@ def seeds(docs: DataFrame) -> DataFrame:
             for text in batch.column(2).to_pylist():
                 found = base_spans(text or "")
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-                told.append([{"context": c, "kind": k, "instance": text[a:b]} for k, a, b in found for c in contexts(text, a)])
+                own = [{"context": c, "kind": k, "instance": text[a:b]} for k, a, b in found for c in contexts(text, a)]
+                for a, b in keys(text or "", found):
+                    own += [{"context": c, "kind": KEY, "instance": text[a:b]} for c in [*contexts(text, a), shape(text[a:b])] if c]
+                told.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(span)), pa.array(told, pa.list_(seed))],
                                              ["doc_id", "tag", "spans", "seeds"])
 
@@ -156,6 +214,18 @@ def occurrences(docs: DataFrame, patterns: DataFrame, broadcast_patterns: int) -
     return followed(docs, docs.sparkSession.sparkContext.broadcast(keys))
 
 
+def identifier(data: np.ndarray, start: int, end: int) -> tuple[str, str]:
+    """A word of a text's bytes, and the same without the quotes, brackets and stops around it."""
+    raw = data[start:end].tobytes().decode("utf-8", "replace")
+    return raw, raw.strip("\"'()[]{}<>,;:!?.")
+
+
+def place(data: np.ndarray, text: int, start: int, raw: str, word: str) -> tuple[int, int]:
+    """Where the identifier stands in its text, in code points."""
+    begin = int(np.count_nonzero((data[text:start] & 0xC0) != 0x80)) + raw.index(word)
+    return begin, begin + len(word)
+
+
 def followed(docs: DataFrame, shared) -> DataFrame:
     """The rows of ``occurrences`` for the sorted hashes that ``shared`` broadcasts, or for every context."""
 
@@ -164,31 +234,42 @@ def followed(docs: DataFrame, shared) -> DataFrame:
         for batch in batches:
             ids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, end, data, offsets in A.chunks(batch.column(2)):
-                starts, ends, first = A.word_spans(data, offsets)
+                starts, ends, first = split_words(data, offsets)
                 words = A.span_hashes(A.FOLD[data], starts, ends)
                 owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
                 like = np.concatenate([[0], np.cumsum(((data >= 48) & (data < 58)) | (data == 64))])
                 like = like[ends] > like[starts]
+                shaped = []
+                for w in np.flatnonzero(like & (ends - starts >= KEY_LENGTH)).tolist():
+                    raw, word = identifier(data, starts[w], ends[w])
+                    form = shape(word)
+                    if form:
+                        shaped.append((w, raw, word, form))
+                if shaped:
+                    h = pattern_keys([form for *_, form in shaped])
+                    hits = np.flatnonzero(known(h)) if shared is not None else np.arange(len(h))
+                    seen.append(np.unique(h[hits], return_counts=True))
+                    held += len(seen[-1][0])
+                    for i in hits:
+                        w, raw, word, _ = shaped[i]
+                        rows.append((int(h[i].view(np.int64)), 0, ids[at + owner[w]], tags[at + owner[w]], *place(data, offsets[owner[w]], starts[w], raw, word), word))
                 for size in (1, 2):
                     h = A.window_hashes(words, size)[:max(len(words) - size, 0)]  # a word follows
                     if not len(h):
                         continue
                     hits = owner[:len(h)] == owner[size:]
                     if shared is not None:
-                        keys = shared.value
-                        hits &= keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+                        hits &= known(h)
                     hits = np.flatnonzero(hits)
                     seen.append(np.unique(h[hits], return_counts=True))
                     held += len(seen[-1][0])
                     for i in hits[like[hits + size]]:
                         w = i + size
                         doc = owner[w]
-                        raw = data[starts[w]:ends[w]].tobytes().decode("utf-8", "replace")
-                        word = raw.strip("\"'()[]{}<>,;:!?.")
+                        raw, word = identifier(data, starts[w], ends[w])
                         if len(word) < 5 or not _MAYBE.search(word):
                             continue
-                        begin = int(np.count_nonzero((data[offsets[doc]:starts[w]] & 0xC0) != 0x80)) + raw.index(word)
-                        rows.append((int(h[i].view(np.int64)), 0, ids[at + doc], tags[at + doc], begin, begin + len(word), word))
+                        rows.append((int(h[i].view(np.int64)), 0, ids[at + doc], tags[at + doc], *place(data, offsets[doc], starts[w], raw, word), word))
                 if held > 1 << 20:
                     yield counts(seen)
                     seen, held = [], 0
@@ -197,6 +278,9 @@ def followed(docs: DataFrame, shared) -> DataFrame:
         if seen:
             yield counts(seen)
 
+    def known(h):
+        return shared.value[np.minimum(np.searchsorted(shared.value, h), len(shared.value) - 1)] == h
+
     def counts(seen):
         keys, back = np.unique(np.concatenate([k for k, _ in seen]), return_inverse=True)
         n = np.bincount(back, np.concatenate([n for _, n in seen]), len(keys)).astype(np.int64)

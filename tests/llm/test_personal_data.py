@@ -104,3 +104,42 @@ def test_odd_rows_of_personal_data(odd, documents):
     mixed = documents([(1, "a@b.co"), (1, "é c@d.org"), (None, "e@f.net"), (2, LONG + " g@h.info")])
     got = sorted(((r.doc_id, r.spans[0].start) for r in P.find(mixed).collect()), key=str)
     assert got == sorted([(1, 0), (1, 2), (None, 0), (2, len(LONG) + 1)], key=str)
+
+
+def some_key(rng, n=24):
+    return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+
+def test_keys_teach_their_contexts_and_shapes(documents):
+    """Random-looking words teach the words and heads before them and their shape; those find less random ones."""
+    rng = random.Random(3)
+    noise = lambda n: " ".join(f"w{rng.choice('abcdefgh')}{rng.choice('ijklmn')}" for _ in range(n))
+    account = lambda: "ACME" + "".join(rng.choice("ABCDEFGH0123456789") for _ in range(12))
+    rows = [(i, f'{noise(9)} pin = "{some_key(rng)}" {noise(5)}') for i in range(8)]
+    rows += [(20 + i, f"{noise(9)} Entry={some_key(rng, 18)} {noise(5)}") for i in range(8)]
+    rows += [(40 + i, f"{noise(9)} {account()} {noise(5)}") for i in range(30)]
+    rows += [(100, f'{noise(4)} pin = "hunter2000" {noise(4)}'), (101, f"{noise(4)} entry=summer2024 x"), (102, f"{noise(4)} ACMEAAAAAAAAAAA7. x")]
+    rows += [(200 + i, f"{noise(9)} {some_key(rng)} {noise(5)} and the summer2024 of ACMES and items 12345678901234") for i in range(8)]
+    rows += [(300, "plain words only"), (301, None)]
+    texts = dict(rows)
+    out = {r.doc_id: [(P.KINDS[s.kind], texts[r.doc_id][s.start:s.end]) for s in r.all_spans] for r in P.find(documents(rows)).collect()}
+    assert out[100] == [("key", "hunter2000")] and out[101] == [("key", "summer2024")] and out[102] == [("key", "ACMEAAAAAAAAAAA7")]
+    assert all(len(out[i]) == 1 for i in (*range(8), *range(20, 28), *range(40, 70)))
+    assert all(out[i] == [] for i in (*range(200, 208), 300, 301))
+
+
+def test_planted_secrets_are_found_and_clean_texts_left(spark):
+    """On the given table: all spans beyond the base are keys, every document with a planted secret has one, no other document."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()}
+    rows = queries.op5_personal_data(spark, "/root/testdata/sf0.1").collect()
+    planted = {d for d, t in docs.items() if re.search(r'(?i:token = "[0-9a-f]{40}")|password=[0-9a-f]{18}|AKIA[A-Z0-9]{16}', t)}
+    found = {r.doc_id for r in rows if "key:" in r.spans}
+    assert len(planted) > 100 and len(planted - found) <= 0.02 * len(planted) and not found - planted
+
+
+def test_words_end_behind_signs():
+    data, offsets = P.A.utf8(P.pa.array(["a=b: c ::d", "", "x:", "é=1"]))
+    starts, ends, first = P.split_words(data, offsets)
+    assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends)] == ["a=", "b:", "c", ":", ":", "d", "x:", "é=", "1"]
+    assert first.tolist() == [0, 6, 6, 7, 9]
+    assert [P._WORD.findall(t) for t in ("a=b: c ::d", "é=1")] == [["a=", "b:", "c", ":", ":", "d"], ["é=", "1"]]
