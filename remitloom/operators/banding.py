@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import or_zero, percent_of, total
 from ..functions.text import or_blank
+from .skew import heavy_keys, spread_join
 
 PAYEE_COLUMNS = ["pid", "pname", "class", "acctnum", "add1", "slpcode", "hosp", "telno", "actype",
                  "periodtype", "dispatchtype", "iscrosscheck", "isspecialtest", "isactive"]
@@ -57,16 +58,23 @@ def payee_scheme_banding(rebates: DataFrame, payees: DataFrame, scheme: DataFram
         F.when(F.col("rebatesamnt") >= exclusion, 1).otherwise(0).alias("payable"))
 
 
-def for_payment_flag(details: DataFrame, payees: DataFrame, scheme: DataFrame, codes: DataFrame) -> DataFrame:
+def for_payment_flag(details: DataFrame, payees: DataFrame, scheme: DataFrame, codes: DataFrame,
+                     slice_rows: int | None = None) -> DataFrame:
     """Details with ``isforpayment``: the payee's branch total reaches the exclusion amount.
 
     Totals are aggregated map-side first; only they are banded.  A payee listed
-    with several types is paid when any of them qualifies.
+    with several types is paid when any of them qualifies.  With ``slice_rows``
+    the rows of a payee with more of them in a branch and run are dealt into
+    slices, each joined to its own copy of the flag; ``details`` is read once
+    more for the three columns of the key.
     """
     sums = details.groupBy("genid", "u_paycode", "whscode").agg(total("rebatesamnt").alias("rebatesamnt"))
     flags = payee_scheme_banding(sums, payees, scheme, codes).groupBy("genid", "u_paycode", "whscode").agg(
         F.max("payable").alias("isforpayment"))
     rows = details.drop("isforpayment")
+    if slice_rows is not None:
+        keys = ["genid", "u_paycode", "whscode"]
+        return spread_join(rows, flags, {k: F.col(k) for k in keys}, ["docentry", "linenum"], heavy_keys(rows, keys, slice_rows), "left")
     return rows.join(flags, ["genid", "u_paycode", "whscode"], "left").select(
         *[rows[c] for c in rows.columns], "isforpayment")
 

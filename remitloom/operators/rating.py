@@ -17,6 +17,7 @@ from ..functions.money import at_scale, shared_amount
 from ..functions.text import clean_code, or_blank
 from ..sources.store import freeze
 from .banding import for_payment_flag
+from .skew import SLICE_ROWS, heavy_keys, spread_join
 
 # Codes the rating rules name.
 CLINICIAN, ACCOUNT = 102, 100
@@ -246,9 +247,31 @@ def rate_waterfall(lines: DataFrame, spcl_inhouse: DataFrame, rate_comb: DataFra
         "b_type", "b_desc", "b_rate", "b_amt", "b_pays", "b_hit", "ih_rate", "ih_amt", "ih_pays", "ih_hit", "rebrates")
 
 
+def holder_code() -> Column:
+    """Whose shares a line pays: the account's or the clinician's."""
+    return F.when(F.col("groupcode") == ACCOUNT, F.col("cardcode")).otherwise(F.col("u_doctorcode"))
+
+
+def heavy_holders(oinv: DataFrame, inv1: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(key, slices) of accounts and clinicians with many lines, for ``payee_sharing_split``.
+
+    Reads only the code columns: clinicians from the lines, accounts from the
+    heads, a head counted as one line of two.  It holds for every period, as a
+    holder has at least as many lines in all, so it can be stored beside the facts.
+    """
+    clinicians = inv1.select(F.lit(CLINICIAN).alias("g"), F.rtrim("u_doctorcode").alias("c"))
+    accounts = oinv.select(F.lit(ACCOUNT).alias("g"), F.col("cardcode").alias("c")).withColumn(
+        "two", F.explode(F.array(F.lit(1), F.lit(2)))).drop("two")
+    return heavy_keys(clinicians.unionByName(accounts).where("c is not null"), ["g", "c"], slice_rows)
+
+
 def payee_sharing_split(lines: DataFrame, payees: DataFrame, sharing: DataFrame, ocrd: DataFrame,
-                        odrs: DataFrame) -> DataFrame:
-    """One row per line and payee: accounts share by account code, clinicians by clinician code."""
+                        odrs: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+    """One row per line and payee: accounts share by account code, clinicians by clinician code.
+
+    With ``heavy`` (from ``heavy_holders``) the lines of a heavy holder are
+    dealt into slices, each joined to its own copy of the holder's shares.
+    """
     shares = payees.select("code", "pid", "pname").join(
         sharing.select("code", "pid", F.col("rate").alias("u_share"), F.col("fund").alias("u_fund")), ["code", "pid"])
     holders = ocrd.select(F.lit(ACCOUNT).alias("s_group"), F.col("cardcode").alias("code")).unionByName(
@@ -257,8 +280,9 @@ def payee_sharing_split(lines: DataFrame, payees: DataFrame, sharing: DataFrame,
         "s_group", "code", F.col("pid").alias("u_paycode"), F.col("pname").alias("u_payname"), "u_share", "u_fund")
     rated = lines.where("pays").drop("pays") if "pays" in lines.columns else lines.where(
         (F.coalesce("rate", F.lit(0)) != 0) | (F.coalesce("amt", F.lit(0)) != 0))
-    holder = F.when(F.col("groupcode") == ACCOUNT, F.col("cardcode")).otherwise(F.col("u_doctorcode"))
-    return rated.join(per_holder, (F.col("s_group") == F.col("groupcode")) & (F.col("code") == holder)).drop(
+    if heavy is not None:
+        return spread_join(rated, per_holder, {"s_group": F.col("groupcode"), "code": holder_code()}, ["docentry", "linenum"], heavy)
+    return rated.join(per_holder, (F.col("s_group") == F.col("groupcode")) & (F.col("code") == holder_code())).drop(
         "s_group", "code")
 
 
@@ -293,22 +317,26 @@ def rated_lines(t, frm=None, to=None, gen_id=None, runs=None, ledger=None, scale
     return rate_waterfall(lines, t.spclinhouse, t.rac_rebratecombination, t.ocrd, scale)
 
 
-def unflagged_details(t, **params) -> DataFrame:
+def unflagged_details(t, heavy: DataFrame | None = None, **params) -> DataFrame:
     """Rated details before the payment flag."""
     lines = rated_lines(t, **params)
-    split = payee_sharing_split(lines, t.rb_payees, t.rac_rbsharing, t.ocrd, t.odrs)
+    split = payee_sharing_split(lines, t.rb_payees, t.rac_rbsharing, t.ocrd, t.odrs, heavy)
     return rebate_amounts(split, params.get("scale", 0))
 
 
-def rebate_details(t, **params) -> DataFrame:
+def rebate_details(t, slice_rows: int | None = None, heavy: DataFrame | None = None, **params) -> DataFrame:
     """Rated details with the payment flag, for one run or for all runs at once.
 
     The flag needs the payee totals and the rows they came from.  The rows are
     written once in between: the chain of joins behind them costs far more than
-    writing and scanning its result.
+    writing and scanning its result.  With ``slice_rows`` heavy holders and
+    heavy payees of a branch are dealt into slices of about that many rows;
+    ``heavy`` spares the search for holders.
     """
-    rows = freeze(unflagged_details(t, **params), "rated")
-    return for_payment_flag(rows, t.rb_payees, t.rac_payeescheme, t.rac_maintenancecode)
+    if slice_rows is not None and heavy is None:
+        heavy = heavy_holders(t.oinv, t.inv1, slice_rows)
+    rows = freeze(unflagged_details(t, heavy=heavy, **params), "rated")
+    return for_payment_flag(rows, t.rb_payees, t.rac_payeescheme, t.rac_maintenancecode, slice_rows)
 
 
 def incremental_line_marking(details: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -345,9 +373,10 @@ class Generation(NamedTuple):
     marks: DataFrame
 
 
-def rebate_generation(t, gen_id: int, frm, to, ledger: DataFrame | None = None, scale: int = 0) -> Generation:
+def rebate_generation(t, gen_id: int, frm, to, ledger: DataFrame | None = None, scale: int = 0,
+                      slice_rows: int | None = None, heavy: DataFrame | None = None) -> Generation:
     """One run: its details, its run row and the extended ledger.  Rerunning rates nothing twice."""
-    details = rebate_details(t, frm=frm, to=to, gen_id=gen_id, ledger=ledger, scale=scale)
+    details = rebate_details(t, slice_rows, heavy, frm=frm, to=to, gen_id=gen_id, ledger=ledger, scale=scale)
     spark = details.sparkSession
     run = spark.range(1).select(
         F.lit(gen_id).cast("int").alias("genid"), day(frm).alias("fdate"), day(to).alias("tdate"),

@@ -38,6 +38,12 @@ def split(t, scale=0):
                                  t.odrs)
 
 
+def spread_details(t):
+    """All runs with holders and payees of over a thousandth of the lines dealt into slices."""
+    few = max(1, t.inv1.count() // 1000)
+    return r.rebate_details(t, slice_rows=few, runs=t.soadate)
+
+
 def run_totals(t):
     return t.rac_rbdetailstrans.groupBy("genid", "u_paycode", "whscode").agg(total("rebatesamnt").alias("rebatesamnt"))
 
@@ -103,6 +109,8 @@ register("incremental_line_marking_new", marked_later,
          and not exists (select 1 from st_detail e where e.genid <= 40 and e.docentry = d.docentry and e.linenum = d.linenum) group by 1, 2""")
 register("rebate_generation", lambda t: r.rebate_details(t, runs=t.soadate).select(*_DETAIL, "isforpayment"),
          f"select {', '.join(_DETAIL)}, isforpayment from st_details_s0")
+register("rebate_generation_spread", lambda t: spread_details(t).select(*_DETAIL, "isforpayment"),
+         f"select {', '.join(_DETAIL)}, isforpayment from st_details_s0")
 register("rebate_generation_exact", lambda t: r.rebate_details(t, runs=t.soadate, scale=2).select(*_DETAIL, "isforpayment"),
          f"select {', '.join(_DETAIL)}, isforpayment from st_details_s2")
 

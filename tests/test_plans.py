@@ -86,3 +86,73 @@ def test_line_table_moves_once_per_key_group(spark, large_tables):
         if "linenum#" in columns and "groupcode#" in columns:
             moves.append(re.sub(r"#\d+L?", "", keys))
     assert sorted(moves) in (["groupcode, ratecomb", "itemcode, whscode"], ["itemcode, whscode"]), moves
+
+
+@pytest.fixture
+def small_pieces(spark):
+    """Every join shuffles and nothing but the operators' own slices divides a key."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1",
+                "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+                "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def largest_share(df) -> float:
+    """The part of the rows that the fullest task of the last stage holds."""
+    # the hash keeps columns that nothing else reads, and with them their join
+    tasks = df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.max(F.hash(*df.columns)).alias("all"))
+    sizes = [r.n for r in tasks.collect()]
+    return max(sizes) / sum(sizes)
+
+
+def hot_lines(spark):
+    """Lines of which one account holds a third and one clinician a third, with their shares."""
+    lines = spark.range(30000, numPartitions=8).selectExpr(
+        "id as docentry", "1 as linenum", "if(id % 3 = 0, 100, 102) as groupcode", "if(id % 3 = 0, 'HOT', concat('C', id % 500)) as cardcode",
+        "if(id % 3 = 1, 'DOC', concat('D', id % 700)) as u_doctorcode", "5 as rate", "0 as amt")
+    accounts = spark.sql("select 'HOT' as cardcode union all select concat('C', id) from range(500)")
+    clinicians = spark.sql("select 'DOC' as dcode union all select concat('D', id) from range(700)")
+    codes = accounts.toDF("code").union(clinicians).selectExpr("code", "explode(array('-1', '-2')) as s")
+    payees = codes.selectExpr("code", "concat(code, s) as pid", "code as pname")
+    return lines, accounts, clinicians, payees, payees.selectExpr("code", "pid", "50 as rate", "0 as fund")
+
+
+def test_hot_holders_of_the_payee_split_are_dealt_out(spark, small_pieces):
+    lines, accounts, clinicians, payees, sharing = hot_lines(spark)
+    heavy = rating.heavy_holders(lines, lines, 500)
+    counted = {r.key: r.slices for r in heavy.collect()}
+    # 10,000 lines each; a head counts as two, and C0 to C499 and D0 to D699 stay below two slices
+    assert sorted(counted.values()) == [20, 40]
+    whole = rating.payee_sharing_split(lines, payees, sharing, accounts, clinicians)
+    dealt = rating.payee_sharing_split(lines, payees, sharing, accounts, clinicians, heavy)
+    assert dealt.columns == whole.columns
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
+    assert largest_share(whole) > 0.3 and largest_share(dealt) < 0.2
+
+
+def test_hot_payee_of_the_payment_flag_is_dealt_out(spark, small_pieces):
+    from remitloom.operators.banding import for_payment_flag
+    t = bind(spark, SF)
+    details = spark.range(20000, numPartitions=8).selectExpr(
+        "1 as genid", "id as docentry", "1 as linenum", "if(id % 2 = 0, 'D1', concat('D', id % 300)) as u_paycode",
+        "if(id % 2 = 0, '001', lpad(id % 25, 3, '0')) as whscode", "cast(id % 90 as decimal(18,2)) as rebatesamnt").union(
+        spark.sql("select 1, 20000L, 1, null, '001', 5.00bd"))
+    masters = (t.rb_payees, t.rac_payeescheme, t.rac_maintenancecode)
+    whole, dealt = for_payment_flag(details, *masters), for_payment_flag(details, *masters, slice_rows=400)
+    assert dealt.columns == whole.columns
+    key = lambda rows: sorted(map(repr, map(tuple, rows.collect())))
+    assert key(dealt) == key(whole) and dealt.count() == 20001
+    assert largest_share(whole) > 0.4 and largest_share(dealt) < 0.2
+
+
+def test_no_heavy_key_leaves_one_slice(spark):
+    lines, accounts, clinicians, payees, sharing = hot_lines(spark)
+    heavy = rating.heavy_holders(lines, lines)
+    assert heavy.count() == 0
+    assert rating.payee_sharing_split(lines, payees, sharing, accounts, clinicians, heavy).count() == 2 * lines.count()
