@@ -11,7 +11,10 @@ its ranges, so a source with most of the rows is spread over all of them.
 Defined cases: a null text or one without words has size 0 and is taken 0
 words; a null source is a source of its own, last in order; a null ``doc_id``
 takes the place of an empty one; repeated rows count as often as they stand in
-the table; rows that are equal in id and size are interchangeable.
+the table; rows that are equal in id and size are interchangeable.  ``mix`` keeps
+rows of one id in one range, so ids should be near to unique there;
+``mixed_documents`` tells them apart by text and counts equal rows first.
+Sources are ranked in one task, at a few numbers a source.
 """
 
 from __future__ import annotations
@@ -75,14 +78,14 @@ def measured(docs: DataFrame, seed: str) -> DataFrame:
     return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), sort_key(F.col("doc_id"), seed).alias("key"))
 
 
-def prefix_sums(sized: DataFrame) -> DataFrame:
-    """Adds ``before``: the words of the same source that stand before a row in key order."""
+def prefix_sums(sized: DataFrame, ties=("doc_id", "size")) -> DataFrame:
+    """Adds ``before``: the words of the same source that stand before a row in order of key, then ``ties``."""
     ranged = sized.withColumn("_range", F.substring("key", 1, RANGE_DIGITS))
     sums = ranged.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"),
                           F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("source", "_range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "_range").orderBy("key", *ties).rowsBetween(Window.unboundedPreceding, -1)
     running = ranged.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     return running.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))).withColumn(
         "before", F.col("_before") + F.col("_offset")).drop("_s", "_r", "_range", "_before", "_offset")
@@ -105,25 +108,46 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share_pct: int = 150, most: int = 2,
         "taken", (F.col("_epochs") * F.col("size") + last).cast("long")).drop("_source", "_epochs", "_rest")
 
 
+def text_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """As ``sort_key``, with the text: rows without id, or that share one, are told apart by what they hold."""
+    return sort_key(F.concat_ws("\n", F.coalesce(doc_id.cast("string"), F.lit("")), F.xxhash64(text).cast("string")), seed)
+
+
 def mixed_documents(docs: DataFrame, weights=(5, 2, 1), share_pct: int = 150, most: int = 2, seed: str = "mix") -> DataFrame:
     """The mix itself: whole documents, a row for each time one is taken.
 
     A document is taken in the last, partial epoch if it begins before the
     source's budget ends.  Where that is becomes one key per source, so the
-    texts are neither shuffled nor sorted.  A source without words gives nothing.
+    texts are neither shuffled nor sorted.  Rows of equal id and text have one
+    key and are counted before keys are sorted; if the budget ends among them,
+    as many of them are taken as it still asks for, in order of all columns
+    (which must be of types that Spark can group).  A source without words
+    gives nothing.
     """
-    sized = freeze(measured(docs, seed), "mix-sizes")
+    keyed = docs.select("source", word_count(F.col("text")).alias("size"), text_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
+    sized = freeze(keyed.groupBy("source", "key").agg(
+        F.sum("size").alias("size"), F.max("size").alias("one"), F.count(F.lit(1)).alias("rows")), "mix-sizes")
     targets = freeze(source_targets(
         sized.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share_pct, most), "mix-targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = targets.select(F.col("source").alias("_source"), epochs.cast("long").alias("_epochs"), (
         F.floor("target").cast("long") - epochs.cast("long") * F.col("source_size")).alias("_rest"))
-    begun = prefix_sums(sized).where("size > 0").join(plan, F.col("source").eqNullSafe(F.col("_source"))).where("before < _rest")
-    cuts = begun.groupBy("_source").agg(F.max("key").alias("_last"))
-    cuts = freeze(plan.join(cuts.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").select(
-        F.col("_source").alias("mix_source"), F.col("_epochs").alias("epochs"), F.col("_last").alias("last")), "mix-cuts")
+    begun = prefix_sums(sized, ties=[]).where("size > 0").join(plan, F.col("source").eqNullSafe(F.col("_source"))).where("before < _rest")
+    wanted = F.least(F.col("rows"), F.ceil((F.col("_rest") - F.col("before")) / F.col("one"))).alias("wanted")
+    cuts = begun.groupBy(F.col("_source").alias("_s")).agg(F.max(F.struct("key", wanted)).alias("cut"))
+    cuts = freeze(plan.join(cuts, F.col("_source").eqNullSafe(F.col("_s")), "left").select(
+        F.col("_source").alias("mix_source"), F.col("_epochs").cast("int").alias("epochs"), F.col("cut.key").alias("last"),
+        F.col("cut.wanted").alias("wanted")), "mix-cuts")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    in_last = F.coalesce((sort_key(F.col("row.doc_id"), seed) <= F.col("last")).cast("int"), F.lit(0))
-    times = F.when(F.col("row.text").rlike(WORD), F.col("epochs").cast("int") + in_last)
-    taken = rows.join(cuts, F.col("row.source").eqNullSafe(F.col("mix_source"))).withColumn("times", F.coalesce(times, F.lit(0)))
-    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
+    key = text_key(F.col("row.doc_id"), F.col("row.text"), seed)
+    of_source = F.col("row.source").eqNullSafe(F.col("mix_source"))
+    in_last = F.coalesce((key < F.col("last")).cast("int"), F.lit(0))
+    times = F.when(F.col("row.text").rlike(WORD), F.col("epochs") + in_last)
+    taken = rows.join(cuts, of_source).withColumn("times", F.coalesce(times, F.lit(0)))
+    at_cut = rows.join(cuts.where("last is not null"), of_source & (key == F.col("last"))).groupBy("row", "mix_source", "wanted").agg(
+        F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy("mix_source").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    ends = at_cut.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).withColumn(
+        "times", F.greatest(F.lit(0), F.least(F.col("rows"), F.col("wanted") - F.col("before"))).cast("int"))
+    return taken.select("row", "times").unionByName(ends.select("row", "times")).where("times > 0").select(
+        "row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")

@@ -69,6 +69,24 @@ def test_documents_of_a_mix_come_near_the_budget(documents):
     assert all(target[s] - 1 <= got[s] <= target[s] + longest for s in target if target[s]) and max(times.values()) <= 2
 
 
+@pytest.mark.parametrize("text", [lambda i: f"n{i} b c d e f g h i j", lambda i: "a b c d e f g h i j"])
+def test_rows_without_id_keep_to_the_budget(documents, text):
+    """Neither many texts without id nor many equal rows make a mix pass its budget by more than a document."""
+    rows = [(i, f"w{i} b c d e f g h i j", None, "only") for i in range(20)] + [(None, text(i), None, "only") for i in range(200)]
+    for share in (50, 141, 150):
+        docs = documents(rows)
+        got = mixing.mixed_documents(docs, share_pct=share)
+        words = got.count() * 10
+        assert 2200 * share / 100 - 1 <= words <= 2200 * share / 100 + 10
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, mixing.mixed_documents(docs.repartition(5), share_pct=share).collect()))
+
+
+def test_equal_texts_that_differ_elsewhere(documents):
+    rows = [(1, "a b c d", lang, "only") for lang in ("en", "de", "fr")] * 5
+    got = Counter(r.lang for r in mixing.mixed_documents(documents(rows), share_pct=50).collect())
+    assert sum(got.values()) == 8 and got == Counter(r.lang for r in mixing.mixed_documents(documents(rows[::-1]), share_pct=50).collect())
+
+
 def test_weights_epochs_and_one_source(documents):
     rows = [(i, "a b c", None, "only") for i in range(10)]
     got = mixing.mix(documents(rows), weights=[3], share_pct=300, most=4).agg(F.sum("taken"), F.max("target")).first()
