@@ -30,6 +30,16 @@ RECEIPT_TYPE = 24
 INVOICE_OBJECT = 13
 
 
+def never_sent(table: DataFrame) -> DataFrame:
+    """A master that a join shuffles, whatever size the planner expects.
+
+    Facts by (item, branch) grow with items times branches; where they come from an explode, Spark takes them for
+    the size of the items alone and would gather all of them on the driver to send them to every task.  Masters of
+    accounts and payees that only meet one another are cheaper to shuffle than to send.
+    """
+    return table.hint("merge")
+
+
 def assign_run(headers: DataFrame, runs: DataFrame) -> DataFrame:
     """Give each invoice the first run whose dates cover it.
 
@@ -60,8 +70,8 @@ def rebate_eligible_lines(oinv: DataFrame, inv1: DataFrame, ocrd_ext: DataFrame,
         heads = heads.where(F.col("recondate").between(day(frm), day(to))).withColumn("genid", F.lit(gen_id).cast("int"))
     senior = F.greatest(*[F.coalesce(F.col(c), F.lit(0)) for c in ("rbsenior", "member", "pwd")])
     accounts = (ocrd_ext.where("cardtype <> 'S'").select("cardcode", "groupcode").join(
-        ocrd.select("cardcode", F.when(senior == 1, 1).otherwise(0).alias("rbsenior"),
-                    F.coalesce("rbprclvl", F.lit(0)).alias("rbprclvl"), "rebrates"), "cardcode"))
+        never_sent(ocrd.select("cardcode", F.when(senior == 1, 1).otherwise(0).alias("rbsenior"),
+                               F.coalesce("rbprclvl", F.lit(0)).alias("rbprclvl"), "rebrates")), "cardcode"))
     levels = prclvl.select(F.col("whs").alias("h_whs"), "prclvltype")
     heads = heads.join(accounts, "cardcode").join(levels, "h_whs", "left").drop("h_whs")
     lines = inv1.where(
@@ -90,7 +100,7 @@ def special_test_set(item_h: DataFrame, spcl_inhouse: DataFrame) -> DataFrame:
     listed = spcl_inhouse.select(F.col("itemcode").alias("imh_code"), "whscode")
     sp = item_h.where("ti_test_grp = 'SP'").select("imh_code", "whscode")
     other = item_h.where("ti_test_grp <> 'SP'").select("imh_code", "whscode").join(
-        listed, ["imh_code", "whscode"], "left_semi")
+        never_sent(listed), ["imh_code", "whscode"], "left_semi")
     return sp.unionByName(other).distinct()
 
 
@@ -127,17 +137,17 @@ def rate_combination_key(lines: DataFrame, special: DataFrame, item_h: DataFrame
     keys = ["itemcode", "whscode"]
     profile = (item_h.where(~F.col("imh_billcode").isin(SUPPLY_BILL_CODES))
                .select(F.col("imh_code").alias("itemcode"), "whscode", "ti_test_grp")
-               .join(special.select(F.col("imh_code").alias("itemcode"), "whscode", F.lit(True).alias("special")),
+               .join(never_sent(special.select(F.col("imh_code").alias("itemcode"), "whscode", F.lit(True).alias("special"))),
                      keys, "left"))
     if inhouse is not None:
-        profile = profile.join(inhouse, keys, "left")
+        profile = profile.join(never_sent(inhouse), keys, "left")
     pay = F.right(F.concat(F.lit("00"), F.col("u_paymenttyp").cast("string")), F.lit(2))
     package = F.when(F.col("u_packageno") == "", "0").when(F.col("special"), "3").otherwise("2")
     tail = [pay, F.col("rbsenior").cast("string"), package]
     clinician = F.concat(F.col("pmode").cast("string"), *tail, F.col("prclvltype").cast("string"),
                          F.col("whscode"), F.col("ti_test_grp"))
     account = F.concat(*tail, F.col("ti_test_grp"))
-    return (lines.where(F.col("cardcode") != PROMO_ACCOUNT).join(profile, keys)
+    return (lines.where(F.col("cardcode") != PROMO_ACCOUNT).join(never_sent(profile), keys)
             .withColumn("ratecomb", F.when(F.col("groupcode") == CLINICIAN, clinician).otherwise(account))
             .drop("special", "ti_test_grp"))
 
@@ -223,7 +233,7 @@ def rate_waterfall(lines: DataFrame, spcl_inhouse: DataFrame, rate_comb: DataFra
     nested conditions would outgrow what the JVM compiles for a whole stage.
     """
     if "ih_hit" not in lines.columns:
-        lines = lines.join(inhouse_rates(spcl_inhouse, scale), ["itemcode", "whscode"], "left")
+        lines = lines.join(never_sent(inhouse_rates(spcl_inhouse, scale)), ["itemcode", "whscode"], "left")
     if "rebrates" not in lines.columns:
         lines = lines.join(ocrd.select("cardcode", "rebrates"), "cardcode", "left")
     rows = lines.join(rate_book(rate_comb, scale),
@@ -273,10 +283,10 @@ def payee_sharing_split(lines: DataFrame, payees: DataFrame, sharing: DataFrame,
     dealt into slices, each joined to its own copy of the holder's shares.
     """
     shares = payees.select("code", "pid", "pname").join(
-        sharing.select("code", "pid", F.col("rate").alias("u_share"), F.col("fund").alias("u_fund")), ["code", "pid"])
+        never_sent(sharing.select("code", "pid", F.col("rate").alias("u_share"), F.col("fund").alias("u_fund"))), ["code", "pid"])
     holders = ocrd.select(F.lit(ACCOUNT).alias("s_group"), F.col("cardcode").alias("code")).unionByName(
         odrs.select(F.lit(CLINICIAN).alias("s_group"), F.col("dcode").alias("code")))
-    per_holder = holders.join(shares, "code").select(
+    per_holder = holders.join(never_sent(shares), "code").select(
         "s_group", "code", F.col("pid").alias("u_paycode"), F.col("pname").alias("u_payname"), "u_share", "u_fund")
     rated = lines.where("pays").drop("pays") if "pays" in lines.columns else lines.where(
         (F.coalesce("rate", F.lit(0)) != 0) | (F.coalesce("amt", F.lit(0)) != 0))

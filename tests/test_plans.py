@@ -156,3 +156,19 @@ def test_no_heavy_key_leaves_one_slice(spark):
     heavy = rating.heavy_holders(lines, lines)
     assert heavy.count() == 0
     assert rating.payee_sharing_split(lines, payees, sharing, accounts, clinicians, heavy).count() == 2 * lines.count()
+
+
+def test_item_tables_are_shuffled(spark):
+    """Items times branches come from an explode, which the planner takes for a small table: still none is sent to all tasks."""
+    items = spark.range(40).selectExpr("cast(id as string) as imh_code", "if(id % 4 = 0, 'SP', 'A') as ti_test_grp", "'1000' as imh_billcode",
+                                       "explode(sequence(0, 4)) as b").selectExpr("*", "cast(b as string) as whscode").drop("b")
+    listed = spark.range(0, 40, 3).selectExpr("cast(id as string) as itemcode", "explode(array('1', '3')) as whscode", "'C1' as cardcode", "'S' as itemtype",
+                                              "cast(5 as decimal(18,2)) as rate", "cast(0 as decimal(18,2)) as amt")
+    lines = spark.range(200).selectExpr("id as docentry", "cast(id % 40 as string) as itemcode", "cast(id % 5 as string) as whscode", "'1' as u_paymenttyp",
+                                        "0 as rbsenior", "if(id % 2 = 0, 'P1', '') as u_packageno", "'1' as pmode", "1 as prclvltype", "102 as groupcode", "'C1' as cardcode")
+    special = rating.special_test_set(items, listed)
+    for inhouse in (None, rating.inhouse_rates(listed)):
+        keyed = rating.rate_combination_key(lines, special, items, inhouse)
+        for result in (keyed, keyed.drop("ratecomb")):  # without the key nothing asks which items are special
+            assert "Broadcast" not in physical(result)
+        assert keyed.count() == 200
