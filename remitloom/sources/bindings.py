@@ -77,9 +77,14 @@ def oinv(t, raw) -> DataFrame:
 
 @recipe
 def line_base(t, raw) -> DataFrame:
-    """Line items brought to one row per (order, line number), with their branch."""
+    """Line items brought to one row per (order, line number), with their branch.
+
+    Dealt by order before anything else: the least of a text is found by sorting, which so happens in partitions of
+    a bounded size and not over all that a task has read, and the join by order finds its lines in place.
+    """
     def build():
-        lines = raw.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+        lines = raw.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")
+        lines = lines.repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
             F.min("l_partkey").alias("partkey"), F.min("l_suppkey").alias("suppkey"),
             F.sum(F.col("l_extendedprice").cast(AMOUNT)).cast(AMOUNT).alias("linetotal"),
             F.min("l_returnflag").alias("rf"), F.min("l_linestatus").alias("ls"))

@@ -172,3 +172,20 @@ def test_item_tables_are_shuffled(spark):
         for result in (keyed, keyed.drop("ratecomb")):  # without the key nothing asks which items are special
             assert "Broadcast" not in physical(result)
         assert keyed.count() == 200
+
+
+def test_lines_are_dealt_by_order_once(spark, tmp_path):
+    """Line items are sorted after they were dealt, never over all that a task reads, and their heads find them in place."""
+    for name, columns in {"lineitem": ["cast(id / 3 as bigint) as l_orderkey", "cast(id % 3 as int) as l_linenumber", "id as l_partkey", "id as l_suppkey",
+                                       "cast(id as double) as l_extendedprice", "'N' as l_returnflag", "'O' as l_linestatus"],
+                          "orders": ["id as o_orderkey", "id as o_custkey", "timestamp'1996-01-01' as o_orderdate", "'1-X' as o_orderpriority"],
+                          "customer": ["id as c_custkey", "'n' as c_name", "1 as c_nationkey"]}.items():
+        spark.range(300).selectExpr(*columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    built = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("remitloom.sources.bindings.staged", lambda s, scope, name, build, *rest: built.append(build()) or built[-1])
+        lines = bind(spark, str(tmp_path)).line_base
+    assert lines.count() == 300
+    plan = physical(lines)
+    assert plan.count("Aggregate(") == 0 or re.search(r"Aggregate[\s\S]*Exchange hashpartitioning\(l_orderkey", plan)
+    assert not re.search(r"hashpartitioning\(l_orderkey#\w+, l_linenumber", plan)
