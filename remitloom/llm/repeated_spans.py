@@ -36,6 +36,8 @@ from .scratch import freeze, map_arrow
 SLICES, CELLS, DEPTH = 64, 1 << 20, 3
 #: Cells in one row of a task's sketch.
 PIECE = 8192
+#: Values a task holds before it tells their cells; sorting them takes some 200 bytes for each.
+FLUSH = 1 << 19
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -71,7 +73,7 @@ def task_sketches(docs: DataFrame, size: int) -> DataFrame:
                 starts, ends, first = A.word_spans(data, offsets)
                 least = minimisers(A.span_hashes(data, starts, ends), size)
                 seen += [np.unique(least[a:b - size + 1]) for a, b in zip(first[:-1], first[1:]) if b - a >= size]
-            if sum(map(len, seen)) > 1 << 21:
+            if sum(map(len, seen)) > FLUSH:
                 yield from pieces(np.concatenate(seen))
                 seen = []
         if seen:

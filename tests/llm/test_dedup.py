@@ -135,6 +135,15 @@ def test_passage_of_very_many_documents(spark, documents):
     assert got == {i: 60 * (i > 0) for i in range(400)}
 
 
+def test_a_sketch_told_piece_by_piece_is_the_same(spark, documents, monkeypatch):
+    """A task holds a bounded number of values; telling them in many pieces changes no counter."""
+    assert repeated_spans.FLUSH <= 1 << 19
+    docs = documents(near_copies(seed=9, groups=2, copies=4, alone=4)).coalesce(1)
+    at_once = repeated_spans.merged_sketch(docs, 20)
+    monkeypatch.setattr(repeated_spans, "FLUSH", 1)
+    assert at_once.any() and np.array_equal(repeated_spans.merged_sketch(docs, 20), at_once)
+
+
 def test_an_overfull_sketch_loses_nothing(spark, documents, monkeypatch):
     rows = near_copies(seed=9, groups=2, copies=4, alone=4)
     want = brute_spans(rows, 20)
