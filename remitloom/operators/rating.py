@@ -17,7 +17,7 @@ from ..functions.money import at_scale, shared_amount
 from ..functions.text import clean_code, or_blank
 from ..sources.store import freeze
 from .banding import for_payment_flag
-from .skew import SLICE_ROWS, heavy_keys, spread_join
+from .skew import SLICE_ROWS, heavy_keys, never_sent, spread_join
 
 # Codes the rating rules name.
 CLINICIAN, ACCOUNT = 102, 100
@@ -30,16 +30,6 @@ RECEIPT_TYPE = 24
 INVOICE_OBJECT = 13
 
 
-def never_sent(table: DataFrame) -> DataFrame:
-    """A master that a join shuffles, whatever size the planner expects.
-
-    Facts by (item, branch) grow with items times branches; where they come from an explode, Spark takes them for
-    the size of the items alone and would gather all of them on the driver to send them to every task.  Masters of
-    accounts and payees that only meet one another are cheaper to shuffle than to send.
-    """
-    return table.hint("merge")
-
-
 def assign_run(headers: DataFrame, runs: DataFrame) -> DataFrame:
     """Give each invoice the first run whose dates cover it.
 
@@ -79,20 +69,20 @@ def rebate_eligible_lines(oinv: DataFrame, inv1: DataFrame, ocrd_ext: DataFrame,
     ).select("docentry", "linenum", "whscode", "itemcode", F.rtrim("u_labno").alias("u_labno"),
              F.rtrim("u_doctorcode").alias("u_doctorcode"), F.rtrim(or_blank("u_packageno")).alias("u_packageno"),
              "linetotal", "u_paymenttyp")
-    rows = lines.join(heads, "docentry")
+    rows = lines.join(never_sent(heads), "docentry")
     if ledger is None:
         return rows
     if runs is None and "month" in ledger.columns:
         ledger = ledger.where(F.col("month").between(month_start(day(frm)), month_start(day(to))))
     rated = of_documents(ledger.select("docentry", "linenum"), heads)
-    return rows.join(rated, ["docentry", "linenum"], "left_anti")
+    return rows.join(never_sent(rated), ["docentry", "linenum"], "left_anti")
 
 
 def of_documents(rows: DataFrame, heads: DataFrame | None, key: str = "docentry") -> DataFrame:
     """The rows of the documents in ``heads``; all rows without it."""
     if heads is None:
         return rows
-    return rows.join(heads.select(F.col("docentry").alias(key)), key, "left_semi")
+    return rows.join(never_sent(heads.select(F.col("docentry").alias(key))), key, "left_semi")
 
 
 def special_test_set(item_h: DataFrame, spcl_inhouse: DataFrame) -> DataFrame:
@@ -172,19 +162,19 @@ def linked_credits(lines: DataFrame, rin1: DataFrame, scale: int = 0, heads: Dat
     linked = of_documents(rin1.where("baseline is not null"), heads, "baseref").groupBy(
         F.col("baseref").alias("docentry"), F.col("baseline").alias("linenum")).agg(
         _stored(F.sum("linetotal"), scale).alias("cm_l"))
-    return lines.join(linked, ["docentry", "linenum"], "left")
+    return lines.join(never_sent(linked), ["docentry", "linenum"], "left")
 
 
 def loose_credits(lines: DataFrame, rin1: DataFrame, scale: int = 0, cases: DataFrame | None = None) -> DataFrame:
     """Add ``cm``: the linked credits plus those of the same branch, item and case; with ``cases``, only theirs are summed."""
     loose = rin1.where("baseline is null")
     if cases is not None:
-        loose = loose.join(cases.select("u_labno"), "u_labno", "left_semi")
+        loose = loose.join(never_sent(cases.select("u_labno")), "u_labno", "left_semi")
     loose = loose.groupBy("whscode", "itemcode", "u_labno").agg(
         F.sum("linetotal").cast("decimal(18,2)").alias("cm_u"))
     first = F.coalesce(F.col("cm_l"), F.lit(0).cast(f"decimal(18,{scale})"))
     both = F.when(F.col("cm_u").isNull(), first).otherwise(_stored(first + F.col("cm_u"), scale))
-    return lines.join(loose, ["whscode", "itemcode", "u_labno"], "left").withColumn("cm", both).drop("cm_l", "cm_u")
+    return lines.join(never_sent(loose), ["whscode", "itemcode", "u_labno"], "left").withColumn("cm", both).drop("cm_l", "cm_u")
 
 
 def credit_memo_net(lines: DataFrame, rin1: DataFrame, scale: int = 0) -> DataFrame:
@@ -206,11 +196,11 @@ def installment_paid(lines: DataFrame, aopdet2: DataFrame, jdt1: DataFrame, oact
               .join(revenue, F.col("account") == F.col("acctcode"), "left_semi")
               .select(F.col("baseref").alias("docnum")))
     valid = orct.where("canceled = 'N'").select("docnum")
-    receipts = (of_documents(rct2.select("docnum", "docentry"), heads).join(booked, "docnum", "left_semi")
-                .join(valid, "docnum", "left_semi"))
-    paid = of_documents(aopdet2, heads).join(receipts, ["docentry", "docnum"], "left_semi").groupBy("docentry", "linenum").agg(
+    receipts = (of_documents(rct2.select("docnum", "docentry"), heads).join(never_sent(booked), "docnum", "left_semi")
+                .join(never_sent(valid), "docnum", "left_semi"))
+    paid = of_documents(aopdet2, heads).join(never_sent(receipts), ["docentry", "docnum"], "left_semi").groupBy("docentry", "linenum").agg(
         _stored(F.sum("linetotal"), scale).alias("ip_sum"))
-    return lines.join(paid, ["docentry", "linenum"], "left").withColumn(
+    return lines.join(never_sent(paid), ["docentry", "linenum"], "left").withColumn(
         "ip", F.coalesce(F.col("ip_sum"), F.lit(0).cast(f"decimal(18,{scale})"))).drop("ip_sum")
 
 
@@ -235,7 +225,7 @@ def rate_waterfall(lines: DataFrame, spcl_inhouse: DataFrame, rate_comb: DataFra
     if "ih_hit" not in lines.columns:
         lines = lines.join(never_sent(inhouse_rates(spcl_inhouse, scale)), ["itemcode", "whscode"], "left")
     if "rebrates" not in lines.columns:
-        lines = lines.join(ocrd.select("cardcode", "rebrates"), "cardcode", "left")
+        lines = lines.join(never_sent(ocrd.select("cardcode", "rebrates")), "cardcode", "left")
     rows = lines.join(rate_book(rate_comb, scale),
                       (F.col("b_type") == F.col("groupcode")) & (F.col("b_desc") == F.col("ratecomb")), "left")
 
@@ -292,7 +282,7 @@ def payee_sharing_split(lines: DataFrame, payees: DataFrame, sharing: DataFrame,
         (F.coalesce("rate", F.lit(0)) != 0) | (F.coalesce("amt", F.lit(0)) != 0))
     if heavy is not None:
         return spread_join(rated, per_holder, {"s_group": F.col("groupcode"), "code": holder_code()}, ["docentry", "linenum"], heavy)
-    return rated.join(per_holder, (F.col("s_group") == F.col("groupcode")) & (F.col("code") == holder_code())).drop(
+    return rated.join(never_sent(per_holder), (F.col("s_group") == F.col("groupcode")) & (F.col("code") == holder_code())).drop(
         "s_group", "code")
 
 
@@ -357,7 +347,7 @@ def incremental_line_marking(details: DataFrame, ledger: DataFrame) -> DataFrame
 def new_marks(details: DataFrame, ledger: DataFrame) -> DataFrame:
     """The lines that now have a detail and are not in the ledger yet: what an append adds to it."""
     return details.groupBy("docentry", "linenum").agg(F.min("genid").alias("genid")).join(
-        ledger.select("docentry", "linenum"), ["docentry", "linenum"], "left_anti")
+        never_sent(ledger.select("docentry", "linenum")), ["docentry", "linenum"], "left_anti")
 
 
 def monthly_marks(details: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
@@ -371,7 +361,7 @@ def monthly_marks(details: DataFrame, ledger: DataFrame | None = None) -> DataFr
     if "month" in ledger.columns:
         months = details.agg(F.collect_set(month_start(F.col("recondate"))).alias("m")).scalar()
         ledger = ledger.where(F.array_contains(months, F.col("month")))
-    return marks.join(ledger.select("docentry", "linenum"), ["docentry", "linenum"], "left_anti")
+    return marks.join(never_sent(ledger.select("docentry", "linenum")), ["docentry", "linenum"], "left_anti")
 
 
 class Generation(NamedTuple):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import AMOUNT
+from ..operators.skew import never_sent
 from ..session import tune
 from .store import staged, staged_bucketed
 from .tables import Tables
@@ -67,7 +68,7 @@ def _nn(key: str) -> str:
 @recipe
 def oinv(t, raw) -> DataFrame:
     def build():
-        return raw.orders.join(raw.customer, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
+        return raw.orders.join(never_sent(raw.customer), F.col("o_custkey") == F.col("c_custkey")).selectExpr(
             "o_orderkey as docentry", "concat('L', o_orderkey) as labno",
             "concat('C', c_custkey) as cardcode", "c_name as cardname",
             "to_date(o_orderdate) as docdate", "to_date(o_orderdate) as recondate",
@@ -89,7 +90,7 @@ def line_base(t, raw) -> DataFrame:
             F.sum(F.col("l_extendedprice").cast(AMOUNT)).cast(AMOUNT).alias("linetotal"),
             F.min("l_returnflag").alias("rf"), F.min("l_linestatus").alias("ls"))
         head = t.oinv.selectExpr("docentry", "labno", "whscode", "docdate")
-        return lines.join(head, F.col("l_orderkey") == F.col("docentry")).drop("l_orderkey").withColumnRenamed(
+        return lines.join(never_sent(head), F.col("l_orderkey") == F.col("docentry")).drop("l_orderkey").withColumnRenamed(
             "l_linenumber", "linenum")
     return staged(t._spark, t._scope, "invoice_lines", build)
 
@@ -567,7 +568,7 @@ def rbdets(t, raw) -> DataFrame:
 
 @recipe
 def rac_rbpayments(t, raw) -> DataFrame:
-    return raw.orders.join(raw.customer, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
+    return raw.orders.join(never_sent(raw.customer), F.col("o_custkey") == F.col("c_custkey")).selectExpr(
         "o_orderkey as recid", f"cast({_gen('o_orderdate')} as int) as genid",
         f"{_nn('c_nationkey')} as whscode", "concat('A', o_custkey) as pcode",
         "cast(cast(o_totalprice as decimal(18,2)) * 0.02 as decimal(18,2)) as grossrebates",
@@ -580,7 +581,7 @@ def rac_rbpayments(t, raw) -> DataFrame:
 @recipe
 def rac_rbaginghistory(t, raw) -> DataFrame:
     paid = raw.orders.where("o_orderkey % 4 = 0")
-    return paid.join(raw.customer, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
+    return paid.join(never_sent(raw.customer), F.col("o_custkey") == F.col("c_custkey")).selectExpr(
         "o_orderkey as docid",
         f"cast(if(o_orderkey % 3 = 0, {LAST_RUN}, {_gen('o_orderdate')}) as int) as genid",
         f"{_nn('c_nationkey')} as whscode", "concat('A', o_custkey) as pcode",

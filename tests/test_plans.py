@@ -189,3 +189,52 @@ def test_lines_are_dealt_by_order_once(spark, tmp_path):
     plan = physical(lines)
     assert plan.count("Aggregate(") == 0 or re.search(r"Aggregate[\s\S]*Exchange hashpartitioning\(l_orderkey", plan)
     assert not re.search(r"hashpartitioning\(l_orderkey#\w+, l_linenumber", plan)
+
+
+def built(recipe: str, spark, folder: str):
+    """What a staged recipe would write."""
+    kept = {}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("remitloom.sources.bindings.staged", lambda s, scope, name, build, *rest: kept.setdefault(name, build()))
+        return getattr(bind(spark, folder), recipe)
+
+
+@pytest.mark.parametrize("recipe", ["oinv", "line_base", "rac_rbpayments", "rac_rbaginghistory"])
+def test_accounts_and_heads_are_shuffled_by_recipes(spark, recipe):
+    """Files of accounts are small for what they hold: no join of theirs gathers them on the driver."""
+    assert "Broadcast" not in physical(built(recipe, spark, SF))
+
+
+def payees(spark, n=30):
+    from remitloom.operators.banding import PAYEE_COLUMNS
+    row = {c: "'x'" for c in PAYEE_COLUMNS} | {"pid": "concat('A', id)", "actype": "'ACCOUNT'", "iscrosscheck": "0", "isspecialtest": "0", "isactive": "1"}
+    return spark.range(n).selectExpr(*[f"{v} as {c}" for c, v in row.items()])
+
+
+def test_payees_are_shuffled(spark):
+    """Banding, gate, candidates, posting and ageing join payees without sending them."""
+    from remitloom.operators import aging, banding, budget, review
+    who = payees(spark)
+    details = spark.range(60).selectExpr("1 as genid", "id as docentry", "1 as linenum", "concat('A', id % 30) as u_paycode", "'001' as whscode", "'K' as comtype",
+                                         "5.00bd as rebatesamnt", "5.00bd as rebate", "0 as isexcluded", "0 as isforpaymnt", "1 as isforpayment", "1 as stat",
+                                         "date'2001-01-01' as recondate")
+    bands = spark.sql("select '001' as whs, '2' as payeetype, 0bd as rangefrom, 100bd as rangeto, 80bd as percnt, 5bd as amntexclusion")
+    codes = spark.sql("select 'PayeeType' as type, '2' as code, 'ACCOUNT' as `desc`")
+    sums = details.groupBy("genid", "u_paycode", "whscode").agg(F.sum("rebatesamnt").alias("rebatesamnt"))
+    plans = {
+        "gate": (budget.rated_rows(details, who), "u_paycode"),
+        "typed": (budget.rated_rows(details, who, payee_type="ACCOUNT"), "u_paycode"),
+        "bands": (banding.payee_scheme_banding(sums, who, bands, codes), "u_paycode"),
+        "post": (review.cheque_post(details, who, "2001-01-31").headers, "pid"),
+        "post_run": (review.cheque_post_run(spark.sql("select 1 status, 1 isforpayment, 2bd actualreb, 1bd agingreb, 'A1' u_paycode, '001' whscode, '1' slpcode, 1 genid"),
+                                            who, "2001-01-31").headers, "pid")}
+    for name, (rows, key) in plans.items():
+        assert re.search(rf"SortMergeJoin \[{key}#", physical(rows)), name
+        assert rows.count() > 0, name
+
+
+def test_documents_of_a_run_are_shuffled(spark):
+    """A run over all invoices names as many documents as there are; nothing sends them."""
+    rows, heads = (spark.range(50).selectExpr("id as docentry", "1 as linenum") for _ in range(2))
+    assert "Broadcast" not in physical(rating.of_documents(rows, heads))
+    assert "Broadcast" not in physical(rating.new_marks(rows.selectExpr("*", "1 as genid"), heads))
