@@ -238,3 +238,12 @@ def test_documents_of_a_run_are_shuffled(spark):
     rows, heads = (spark.range(50).selectExpr("id as docentry", "1 as linenum") for _ in range(2))
     assert "Broadcast" not in physical(rating.of_documents(rows, heads))
     assert "Broadcast" not in physical(rating.new_marks(rows.selectExpr("*", "1 as genid"), heads))
+
+
+def test_lines_meet_heads_and_accounts_by_shuffle(spark):
+    """The plan of the commission fact is the same at every size: its traffic grows with the lines."""
+    from remitloom.operators import commission
+    t = bind(spark, SF)
+    assert "Broadcast" not in physical(commission.invoice_line_fact(t.oinv, t.inv1, t.rin1, t.aopdet2))
+    segments = commission.account_segment(commission.invoice_line_fact(t.oinv, t.inv1, t.rin1, t.aopdet2), t.ocrd_ext, t.odrs, commission.special_item_set(t.item_masterh))
+    assert re.search(r"SortMergeJoin \[cardcode#", physical(segments))
