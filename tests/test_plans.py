@@ -226,7 +226,8 @@ def test_payees_are_shuffled(spark):
         "typed": (budget.rated_rows(details, who, payee_type="ACCOUNT"), "u_paycode"),
         "bands": (banding.payee_scheme_banding(sums, who, bands, codes), "u_paycode"),
         "post": (review.cheque_post(details, who, "2001-01-31").headers, "pid"),
-        "post_run": (review.cheque_post_run(spark.sql("select 1 status, 1 isforpayment, 2bd actualreb, 1bd agingreb, 'A1' u_paycode, '001' whscode, '1' slpcode, 1 genid"),
+        "post_run": (review.cheque_post_run(spark.range(30).selectExpr("1 as status", "1 as isforpayment", "2bd as actualreb", "1bd as agingreb", "concat('A', id) as u_paycode",
+                                                                      "'001' as whscode", "'1' as slpcode", "1 as genid"),
                                             who, "2001-01-31").headers, "pid")}
     for name, (rows, key) in plans.items():
         assert re.search(rf"SortMergeJoin \[{key}#", physical(rows)), name
