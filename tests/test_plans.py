@@ -248,3 +248,24 @@ def test_lines_meet_heads_and_accounts_by_shuffle(spark):
     assert "Broadcast" not in physical(commission.invoice_line_fact(t.oinv, t.inv1, t.rin1, t.aopdet2))
     segments = commission.account_segment(commission.invoice_line_fact(t.oinv, t.inv1, t.rin1, t.aopdet2), t.ocrd_ext, t.odrs, commission.special_item_set(t.item_masterh))
     assert re.search(r"SortMergeJoin \[cardcode#", physical(segments))
+
+
+def test_commission_lines_do_not_move_for_accounts(spark, frame):
+    """All of history: accounts are brought to the documents, special items are never sent; repeated rows count as before."""
+    from remitloom.operators import commission
+    lines = spark.range(60).selectExpr("id % 20 as docentry", "date'2001-01-01' as docdate", "'L' as labno", "cast(id % 7 as string) as itemcode", "'001' as whscode",
+                                       "concat('C', id % 20 % 5) as cardcode", "'D1' as u_doctorcode", "5.00bd as amount", "1.00bd as adjamt", "0.00bd as paid",
+                                       "id as linenum").repartition("docentry")
+    heads = lines.select("docentry", "cardcode")  # every document three times
+    accounts = frame([("C0", 100, "a", "01"), ("C1", 102, "b", "04"), ("C1", 102, "c", "04"), ("C2", 100, "d", "06"), ("C3", 100, "e", None), (None, 100, "f", "01")],
+                     "cardcode string, groupcode int, address string, u_accounttype string")
+    clinicians = frame([("D1", "NORTH")], "dcode string, hosp string")
+    special = commission.special_item_set(frame([("1", "P", "SP"), ("1", "S", "SP"), ("1", "S", "SP"), ("2", "P", "A")], "imh_code string, imh_type string, ti_test_grp string"))
+    plain, by_document = (commission.account_segment(lines, accounts, clinicians, special, h) for h in (None, heads))
+    assert sorted(map(str, by_document.collect())) == sorted(map(str, plain.collect()))
+    assert plain.count() == 42  # 12 lines of C0 and C1 each, C1 twice; two of each have item 1, which has two types
+    plan = physical(by_document)
+    assert re.search(r"SortMergeJoin \[itemcode#", plan)
+    assert re.search(r"SortMergeJoin \[docentry#\w+, cardcode#", plan)
+    whole = physical(commission.commission_lines(bind(spark, SF)))
+    assert re.search(r"SortMergeJoin \[docentry#\w+, cardcode#", whole) and not re.search(r"Exchange hashpartitioning\(docentry#\w+, cardcode", whole)
