@@ -241,6 +241,31 @@ def test_documents_of_a_run_are_shuffled(spark):
     assert "Broadcast" not in physical(rating.new_marks(rows.selectExpr("*", "1 as genid"), heads))
 
 
+def test_credits_receipts_and_flags_are_shuffled(spark):
+    """What is summed per line, case or payee grows with the lines: of all these tables only the revenue accounts are sent."""
+    from remitloom.operators import banding
+    lines = spark.range(60).selectExpr("id as docentry", "1 as linenum", "'001' as whscode", "'I' as itemcode", "concat('L', id) as u_labno", "5.00bd as linetotal")
+    credits = spark.range(60).selectExpr("if(id % 2 = 0, id, null) as baseref", "if(id % 2 = 0, 1, null) as baseline", "concat('L', id) as u_labno", "'001' as whscode",
+                                         "'I' as itemcode", "1.50bd as linetotal")
+    credited = rating.credit_memo_net(lines, credits, 2)
+    assert "Broadcast" not in physical(credited)
+    assert sorted(str(r.cm) for r in credited.collect()) == ["1.50"] * 60
+    receipts = spark.range(60).selectExpr("id as docnum", "id as docentry")
+    postings = spark.range(60).selectExpr("24 as transtype", "if(id % 2 = 0, 'A1', 'A2') as account", "id as baseref")
+    accounts = spark.range(2).selectExpr("if(id = 0, '40100', '50000') as segment_0", "concat('A', id + 1) as acctcode")
+    heads = spark.range(60).selectExpr("id as docnum", "if(id % 3 = 0, 'Y', 'N') as canceled")
+    paid = rating.installment_paid(credited, receipts.selectExpr("*", "1 as linenum", "2.00bd as linetotal"), postings, accounts, receipts, heads, 2)
+    sent = re.findall(r"BroadcastExchange", physical(paid))
+    assert len(sent) == 1 and re.search(r"BroadcastHashJoin \[account#\w+\], \[acctcode#", physical(paid))
+    assert [str(r.ip) for r in paid.orderBy("docentry").limit(6).collect()] == ["0.00", "0.00", "2.00", "0.00", "2.00", "0.00"]
+    details = spark.range(60).selectExpr("cast(id % 2 as int) as genid", "id as docentry", "1 as linenum", "concat('A', id % 30) as u_paycode",
+                                         "if(id < 99, '001', '002') as whscode", "3.00bd as rebatesamnt")
+    bands = spark.sql("select '001' as whs, '2' as payeetype, 0bd as rangefrom, 100bd as rangeto, 80bd as percnt, 5bd as amntexclusion")
+    flagged = banding.for_payment_flag(details, payees(spark), bands, spark.sql("select 'PayeeType' as type, '2' as code, 'ACCOUNT' as `desc`"))
+    assert re.search(r"SortMergeJoin \[genid#\w+, u_paycode#\w+, whscode#", physical(flagged))
+    assert {r.isforpayment for r in flagged.collect()} == {1} and flagged.count() == 60
+
+
 def test_lines_meet_heads_and_accounts_by_shuffle(spark):
     """The plan of the commission fact is the same at every size: its traffic grows with the lines."""
     from remitloom.operators import commission
