@@ -14,6 +14,7 @@ from ..functions.text import holds, labelled, optional, optional_contains, or_bl
 from .commission import NO_REP, NO_REP_NAME
 from .keyed import insert_if_absent, keyed_update, number_rows, unique_batch
 from .product import product
+from .skew import never_sent
 
 # Defaults and names the masters use.
 DEFAULT_PRICE_LEVEL = 3
@@ -379,7 +380,10 @@ def rate_batch_update(rates: DataFrame, batch: DataFrame, rate, amount, rate_typ
 
 def test_rate_list(item_h: DataFrame, item_d: DataFrame, rates: DataFrame, kind: str = "all", text: str = "",
                    whs=None, shown: int | None = None) -> DataFrame:
-    """Test rates: ``all``, ``single`` tests without a package, or ``package`` tests; with ``shown``, the last codes first."""
+    """Test rates: ``all``, ``single`` tests without a package, or ``package`` tests; with ``shown``, the last codes first.
+
+    Packages and rates stand once per item and branch, which no file size tells: they are shuffled, never sent.
+    """
     items = optional(item_h.select("imh_code", "imh_desc", "whscode"), whscode=whs)
     packs = item_d.select(F.col("imd_pkg_code").alias("imh_code"), "whscode", F.col("imd_pkg_code"), "imd_pkg_item")
     prices = rates.select("imh_code", "whscode", F.col("imd_pkg_item").alias("r_item"), "rate", "amnt")
@@ -393,7 +397,7 @@ def test_rate_list(item_h: DataFrame, item_d: DataFrame, rates: DataFrame, kind:
         rows = items.join(packs, keys).join(
             prices.withColumnRenamed("r_item", "imd_pkg_item"), [*keys, "imd_pkg_item"], "left")
     else:
-        rows = items.join(packs, keys, "left").join(prices, keys, "left")
+        rows = items.join(never_sent(packs), keys, "left").join(never_sent(prices), keys, "left")
     rows = rows.select("imh_code", "imh_desc", "imd_pkg_code", "imd_pkg_item", or_zero("rate").alias("rate"),
                        or_zero("amnt").alias("amnt"), "whscode").orderBy(F.desc("imh_code"), "whscode")
     return rows if shown is None else rows.limit(shown)

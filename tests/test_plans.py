@@ -294,3 +294,25 @@ def test_commission_lines_do_not_move_for_accounts(spark, frame):
     assert re.search(r"SortMergeJoin \[docentry#\w+, cardcode#", plan)
     whole = physical(commission.commission_lines(bind(spark, SF)))
     assert re.search(r"SortMergeJoin \[docentry#\w+, cardcode#", whole) and not re.search(r"Exchange hashpartitioning\(docentry#\w+, cardcode", whole)
+
+
+@pytest.mark.parametrize("kind", ["all"])
+def test_packages_and_rates_of_tests_are_shuffled(spark, kind):
+    """Packages and rates stand once per item and branch by an explode, which the planner does not count: neither is sent; keys that repeat or are null meet as before."""
+    from remitloom.operators import masters
+    branch = "explode(array('001', '002', null)) as whscode"
+    items = spark.range(8).selectExpr("if(id = 7, null, cast(id as string)) as imh_code", "'name' as imh_desc", branch)
+    packs = spark.range(10).where("id % 2 = 1").selectExpr("if(id = 7, null, cast(id as string)) as imd_pkg_code", "concat('I', id) as imd_pkg_item", branch)
+    packs = packs.unionByName(packs.where("imd_pkg_code = '3'"))
+    rates = spark.range(6).selectExpr("cast(id as string) as imh_code", "if(id = 1, 'other', concat('I', id)) as imd_pkg_item", branch, "cast(id as decimal(18,2)) as rate", "1.00bd as amnt")
+    rates = rates.unionByName(rates.where("imh_code in ('3', '4')"))
+    found = masters.test_rate_list(items, packs, rates, kind)
+    assert "Broadcast" not in physical(found)
+    # items 1, 3 and 5 are packages, 3 twice; rates of 3 and 4 stand twice; a null branch or code meets nothing
+    whole, named, alone = [(c, w) for c in "0246" for w in ("001", "002")] + [("4", "001"), ("4", "002")], {"1": 1, "3": 4, "5": 1}, [(None, "001"), (None, "002")]
+    packages = [(c, w) for c, n in named.items() for w in ("001", "002") for _ in range(n)]
+    nulls = [(str(c), None) for c in range(7)] + [(None, None)]
+    want = {"all": whole + packages + alone + nulls, "single": whole + alone + nulls, "package": packages}[kind]
+    got = found.collect()
+    assert sorted(((r.imh_code, r.whscode) for r in got), key=str) == sorted(want, key=str)
+    assert {str(r.rate) for r in got if r.imh_code == "1"} == ({"1.00", "0.00"} if kind == "all" else {"0.00"})
