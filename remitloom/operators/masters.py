@@ -394,8 +394,8 @@ def test_rate_list(item_h: DataFrame, item_d: DataFrame, rates: DataFrame, kind:
         rows = items.join(packs, keys, "left_anti").withColumns(
             {c: F.lit(None).cast("string") for c in ("imd_pkg_code", "imd_pkg_item")}).join(prices, keys, "left")
     elif kind == "package":
-        rows = items.join(packs, keys).join(
-            prices.withColumnRenamed("r_item", "imd_pkg_item"), [*keys, "imd_pkg_item"], "left")
+        rows = items.join(never_sent(packs), keys).join(
+            never_sent(prices.withColumnRenamed("r_item", "imd_pkg_item")), [*keys, "imd_pkg_item"], "left")
     else:
         rows = items.join(never_sent(packs), keys, "left").join(never_sent(prices), keys, "left")
     rows = rows.select("imh_code", "imh_desc", "imd_pkg_code", "imd_pkg_item", or_zero("rate").alias("rate"),
