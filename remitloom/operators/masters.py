@@ -391,8 +391,8 @@ def test_rate_list(item_h: DataFrame, item_d: DataFrame, rates: DataFrame, kind:
     if kind != "all":
         items = items.where(holds("imh_desc", text))
     if kind == "single":
-        rows = items.join(packs, keys, "left_anti").withColumns(
-            {c: F.lit(None).cast("string") for c in ("imd_pkg_code", "imd_pkg_item")}).join(prices, keys, "left")
+        rows = items.join(never_sent(packs), keys, "left_anti").withColumns(
+            {c: F.lit(None).cast("string") for c in ("imd_pkg_code", "imd_pkg_item")}).join(never_sent(prices), keys, "left")
     elif kind == "package":
         rows = items.join(never_sent(packs), keys).join(
             never_sent(prices.withColumnRenamed("r_item", "imd_pkg_item")), [*keys, "imd_pkg_item"], "left")

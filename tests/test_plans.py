@@ -296,7 +296,7 @@ def test_commission_lines_do_not_move_for_accounts(spark, frame):
     assert re.search(r"SortMergeJoin \[docentry#\w+, cardcode#", whole) and not re.search(r"Exchange hashpartitioning\(docentry#\w+, cardcode", whole)
 
 
-@pytest.mark.parametrize("kind", ["all", "package"])
+@pytest.mark.parametrize("kind", ["all", "package", "single"])
 def test_packages_and_rates_of_tests_are_shuffled(spark, kind):
     """Packages and rates stand once per item and branch by an explode, which the planner does not count: neither is sent; keys that repeat or are null meet as before."""
     from remitloom.operators import masters
