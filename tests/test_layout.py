@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,25 @@ def test_tables_of_the_catalog(spark, frame, tmp_path):
         spark.sql("drop table default.layout_fact")
 
 
+def test_stored_tables_leave_no_shuffle_on_disk(spark):
+    """What staging and freezing have shuffled goes with the write, not when the driver's garbage is collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    blocks = lambda: set(re.findall(r"shuffle_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(",")))
+    sums = lambda n: spark.range(200).selectExpr("id % 20 as docentry").groupBy("docentry").agg(F.count(F.lit(n)).alias("v"))
+    before, setting = blocks(), spark.conf.get(key, None)
+    stored = [store.freeze(sums(1)), store.staged(spark, "layout", "sums", lambda: sums(2)), store.staged(spark, "layout", "sums_by_v", lambda: sums(3), "v"),
+              store.staged_bucketed(spark, "layout", "sums_bucketed", lambda: sums(4), ["docentry"], 2)]
+    for _ in range(100):
+        if not blocks() - before:
+            break
+        time.sleep(0.1)
+    assert not blocks() - before and spark.conf.get(key, None) == setting
+    for table in stored:
+        assert rows(table) == sorted([(n, 10) for n in range(20)], key=str)
+    result = sums(5)
+    assert rows(result) == rows(result) == rows(stored[0])
+
+
 def test_a_batch_written_twice_counts_once(spark, tmp_path):
     path = f"{tmp_path}/t"
     store.append_batch(spark.range(5).selectExpr("id", "id % 2 as genid"), path, "run-7", "genid")
