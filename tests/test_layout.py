@@ -70,6 +70,21 @@ def test_an_account_with_ten_thousand_intervals(spark, nothing_broadcast):
     assert months.groupBy("_bin").count().agg(F.max("count")).first()[0] < 150 and months.select("_bin").distinct().count() > 80
 
 
+def test_an_open_interval_by_month_costs_the_months_of_its_lines(spark, nothing_broadcast):
+    """Every code by month: an interval is repeated for the months its code has lines in, not for all it spans; rows and columns stay."""
+    start = dt.date(2001, 1, 15)
+    lines = [(n, 100 if n % 3 else 102, None if n % 17 == 0 else f"C{n % 9}", f"D{n % 4}", start + dt.timedelta(31 * (n % 5)) if n % 13 else None) for n in range(120)]
+    lines = spark.createDataFrame(lines + lines[:9] + [(-1, None, "C1", "D1", start)], "docentry long, groupcode int, cardcode string, u_doctorcode string, docdate date")
+    tags = [(100, f"C{n}", "c", str(n), dt.date(1990, 1, 1), dt.date(2099, 12, 31)) for n in (1, 1, 2, 3, 50)] + [
+        (102, "D1", "d", "7", start, start + dt.timedelta(40)), (102, "D1", "d", "8", dt.date(2001, 2, 28), start), (102, "D2", "d", "9", None, start),
+        (100, None, "e", "5", start, dt.date(2099, 12, 31)), (None, "C1", "f", "6", start, dt.date(2099, 12, 31))]
+    tags = spark.createDataFrame(tags, "stype int, bpcode string, bpname string, slpcode string, sdate date, edate date")
+    found, plain = commission.asof_rep_assignment(lines, tags, dense=0), commission.asof_rep_assignment(lines, tags)
+    assert found.columns == plain.columns and rows(found) == rows(plain)
+    assert found.where("bpcode is not null").count() == 45 and found.where("docdate is null").count() == 11
+    assert "Generate" not in plan(found) and "SortMergeJoin [_key" in plan(found)
+
+
 def test_bucketed_facts_are_not_moved(spark, nothing_broadcast):
     """Joins by document of tables that lie by document need no exchange of the lines."""
     t = by_document(bind(spark, SF))
